@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, jaccard, packing
+from . import chat, decontaminate, idstore, jaccard, lattice, packing, secrets, sharding
 from .common import Store
 
 
@@ -28,10 +28,46 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(narrow)
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op3_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "<|im_end|><|im_start|>assistant ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(
+        spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    )
+    return chat.conversation_digests(chat.format_examples(turns))
+
+
+def op4_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"), n=4, num=85)
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = tuple(r for r in secrets.RULES if r.base)
+    count = lambda kind: F.size(F.filter("findings", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(r.kind) for r in base),
+        F.sha2(secrets.span_list(F.col("findings"), base).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_list(F.col("findings")).alias("spans"),
+    )
+
+
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Store(spark, "op10").path("store")
     idstore.write(_table(spark, sf_dir, "documents"), path, _tokenizer())
@@ -39,7 +75,10 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op7_ngram_jaccard_join, op10_id_store)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing, op2_benchmark_decontamination, op3_chat_prefix_targets, op4_label_propagation_shards,
+        op6_lattice_near_duplicates, op7_ngram_jaccard_join, op9_secret_scans, op10_id_store,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
