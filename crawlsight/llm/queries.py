@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, idstore, jaccard, lattice, packing, secrets, sharding
+from . import chat, decontaminate, idstore, jaccard, lattice, packing, quality, secrets, sharding
 from .common import Store
 
 
@@ -57,6 +57,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents"), n=4, num=85)
 
 
+def op8_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=("doc_id",))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(_table(spark, sf_dir, "documents"))
     base = tuple(r for r in secrets.RULES if r.base)
@@ -77,7 +81,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_benchmark_decontamination, op3_chat_prefix_targets, op4_label_propagation_shards,
-        op6_lattice_near_duplicates, op7_ngram_jaccard_join, op9_secret_scans, op10_id_store,
+        op6_lattice_near_duplicates, op7_ngram_jaccard_join, op8_empirical_bayes_quality, op9_secret_scans, op10_id_store,
     )}
 
 
