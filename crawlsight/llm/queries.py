@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, idstore, jaccard, lattice, packing, quality, secrets, sharding
+from . import chat, decontaminate, idstore, jaccard, lattice, packing, quality, secrets, sharding, wrapper
 from .common import Store
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, "op1")
-    pieces = store.put(packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer()), "pieces")
+    pieces = store.put(packing.token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
     narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.assign(narrow)
 
@@ -49,6 +49,10 @@ def op4_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -74,14 +78,14 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Store(spark, "op10").path("store")
-    idstore.write(_table(spark, sf_dir, "documents"), path, _tokenizer())
+    idstore.write(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return idstore.digests(spark, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_benchmark_decontamination, op3_chat_prefix_targets, op4_label_propagation_shards,
-        op6_lattice_near_duplicates, op7_ngram_jaccard_join, op8_empirical_bayes_quality, op9_secret_scans, op10_id_store,
+        op5_wrapper_text, op6_lattice_near_duplicates, op7_ngram_jaccard_join, op8_empirical_bayes_quality, op9_secret_scans, op10_id_store,
     )}
 
 
