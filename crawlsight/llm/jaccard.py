@@ -134,9 +134,19 @@ def signatures(hashes: np.ndarray, g: int, plan: Allocation) -> tuple[np.ndarray
     return whole, np.unique(np.concatenate([_mixed(sums[: plan.d] ^ where[: plan.d]), less]))
 
 
+def parity_sketch(hashes: np.ndarray, apart: int) -> np.ndarray:
+    """For each of about 4 x ``apart`` cells, whether an odd number of hashes is in it, as 64-bit words.
+
+    Two sets that differ by h members differ in at most h cells; unrelated sets differ in half of all cells.
+    """
+    cells = 64 * -(-4 * max(1, apart) // 64)
+    odd = np.bincount((_mixed(hashes ^ np.uint64(_MIX)) % np.uint64(cells)).astype("i8"), minlength=cells) & 1
+    return np.packbits(odd.astype("u1")).view("i8")
+
+
 _LONGS = pa.list_(pa.int64())
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-_GROUP = pa.struct([("g", pa.int32()), ("whole", _LONGS), ("near", _LONGS)])
+_GROUP = pa.struct([("g", pa.int32()), ("whole", _LONGS), ("near", _LONGS), ("sketch", _LONGS)])
 _SIGNED = pa.schema([*_SETS, ("groups", pa.list_(_GROUP))])
 
 
@@ -168,7 +178,7 @@ def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]
                         if reach.largest(edges[g + 1] - 1) < len(h):
                             break
                         whole, near = signatures(h, g, plans[g])
-                        groups.append({"g": g, "whole": whole.view("i8"), "near": near.view("i8")})
+                        groups.append({"g": g, "whole": whole.view("i8"), "near": near.view("i8"), "sketch": parity_sketch(h, plans[g].apart)})
                 rows.append((doc_id, len(h), h1, h2, groups))
             if len(done) > 1_000_000:
                 done.clear()
@@ -177,7 +187,7 @@ def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]
 
     ks = [p.k for p in plans]
     out = docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, h1 long, h2 long, groups array<struct<g:int,whole:array<long>,near:array<long>>>"
+        run, "doc_id long, n long, h1 long, h2 long, groups array<struct<g:int,whole:array<long>,near:array<long>,sketch:array<long>>>"
     )
     return out, ks
 
@@ -240,7 +250,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     )
 
     groups = signed.where("groups is not null and doc_id is not null").select("doc_id", "n", F.explode("groups").alias("x")).select(
-        "doc_id", "n", "x.g", "x.whole", "x.near"
+        "doc_id", "n", "x.g", "x.whole", "x.near", "x.sketch"
     )
     rows = groups.select("doc_id", "n", "g", F.lit(True).alias("is_whole"), F.explode("whole").alias("sig")).union(
         groups.where(F.size("near") > 0).select("doc_id", "n", "g", F.lit(False).alias("is_whole"), F.explode("near").alias("sig"))
@@ -248,8 +258,8 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     shared = _shared(store, rows, ks)
     ids = store.put(shared.select("doc_id").distinct(), "ids")
     some = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    vectors = store.put(
-        groups.select("doc_id", "g", "whole").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "g"]), "vectors"
+    sketches = store.put(
+        groups.select("doc_id", "g", "sketch").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "g"]), "sketches"
     )
     texts = store.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
     edges = store.put(equal, "equal")
@@ -259,7 +269,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
             here = _split_buckets(shared, comp)
         else:
             here = shared.withColumn("component_id", F.col("doc_id"))
-        pairs = _all_pairs(here, vectors, num) if turn == 2 else _some_pairs(here, vectors, turn, num)
+        pairs = _all_pairs(here, sketches, num) if turn == 2 else _some_pairs(here, turn, num, ks)
         pairs = store.put(pairs, f"pairs{turn}")
         edges = edges.union(store.put(_linked(pairs, texts, n, num), f"links{turn}"))
     comp = components(store, edges, "cc3_")
@@ -268,7 +278,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
         ), "result",
     )
-    store.drop("signed", "shared", "ids", "vectors", "texts", "equal", *(f"{x}{t}" for x in ("comp", "pairs", "links") for t in range(3)))
+    store.drop("signed", "shared", "ids", "sketches", "texts", "equal", *(f"{x}{t}" for x in ("comp", "pairs", "links") for t in range(3)))
     return out
 
 
@@ -295,46 +305,41 @@ def _split_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
     return known.join(split.select("sig"), "sig", "left_semi")
 
 
-def _in_reach(num: int, wa: str = "wa", wb: str = "wb") -> Column:
-    """Sets of n and n2 shingles whose whole-segment signatures agree often enough for the threshold.
-
-    Each differing segment takes one of the shingles by which the two sets may differ.
-    """
-    most = F.expr(f"n + n2 - 2 * cast(ceil({num} * (n + n2) / {100 + num}D - 1e-9) as long)")
-    return F.expr(f"100 * least(n, n2) >= {num} * greatest(n, n2)") & (
-        F.size(F.array_intersect(wa, wb)) >= F.size(wa) - most
-    )
+def _sizes_in_reach(num: int) -> Column:
+    return F.expr(f"100 * least(n, n2) >= {num} * greatest(n, n2)")
 
 
-def _some_pairs(shared: DataFrame, vectors: DataFrame, turn: int, num: int) -> DataFrame:
-    """(a, b): three members of each bucket with everyone in it, once each.
+def _some_pairs(shared: DataFrame, turn: int, num: int, ks: list[int]) -> DataFrame:
+    """(a, b): three members of each bucket with everyone in it, where two buckets say so.
 
-    In turn 0 like buckets choose the same members, in turn 1 each its own.
+    In turn 0 like buckets choose the same members, in turn 1 each its own. These turns only join components
+    early, at little cost; what they leave out is compared in the last turn.
     """
     member = F.struct("doc_id", "n", "component_id")
     keys = ["doc_id"] if turn == 0 else ["sig", "doc_id"]
     chosen = shared.groupBy("sig").agg(
         *(F.min_by(member, F.xxhash64(*keys, F.lit(10 * turn + j))).alias(f"p{j}") for j in range(3))
     )
-    pairs = (
+    k = F.element_at(F.array(*map(F.lit, ks or [0])), F.col("g") + 1)
+    return (
         shared.join(chosen, "sig")
-        .select("doc_id", "n", "g", "component_id", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("q"))
-        .where("component_id <> q.component_id")
-        .select(
-            "g", F.least("doc_id", "q.doc_id").alias("a"), F.greatest("doc_id", "q.doc_id").alias("b"),
-            F.least("n", "q.n").alias("n"), F.greatest("n", "q.n").alias("n2"),
-        ).distinct()
+        .select("sig", "doc_id", "n", "g", "component_id", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("q"))
+        .withColumn("n2", F.col("q.n"))
+        .where((F.col("component_id") != F.col("q.component_id")) & _sizes_in_reach(num))
+        .groupBy("g", F.least("doc_id", "q.doc_id").alias("a"), F.greatest("doc_id", "q.doc_id").alias("b"))
+        .agg(F.min("sig").alias("low"), F.max("sig").alias("high"))
+        .where((F.col("low") < F.col("high")) | (k == 0)).select("a", "b").distinct()
     )
-    wa = vectors.select(F.col("doc_id").alias("a"), "g", F.col("whole").alias("wa"))
-    wb = vectors.select(F.col("doc_id").alias("b"), "g", F.col("whole").alias("wb"))
-    return pairs.join(wa, ["a", "g"]).join(wb, ["b", "g"]).where(_in_reach(num)).select("a", "b").distinct()
 
 
-def _all_pairs(shared: DataFrame, vectors: DataFrame, num: int) -> DataFrame:
-    """(a, b): all in a bucket that are in different components and agree often enough, once each."""
-    rows = shared.join(vectors, ["doc_id", "g"])
-    left = rows.select("sig", F.col("doc_id").alias("a"), "n", F.col("component_id").alias("ca"), F.col("whole").alias("wa"))
-    right = rows.select(
-        F.col("sig").alias("sig2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("component_id").alias("cb"), F.col("whole").alias("wb")
-    )
-    return left.join(right, F.expr("sig = sig2 and a < b and ca <> cb") & _in_reach(num)).select("a", "b").distinct()
+def _all_pairs(shared: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
+    """(a, b): all in a bucket that are in different components and that their sketches allow, once each."""
+    left = shared.select("sig", "g", F.col("doc_id").alias("a"), "n", F.col("component_id").alias("ca"))
+    right = shared.select(F.col("sig").alias("sig2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("component_id").alias("cb"))
+    pairs = left.join(right, F.expr("sig = sig2 and a < b and ca <> cb") & _sizes_in_reach(num)).select("g", "a", "b", "n", "n2").distinct()
+    sa = sketches.select(F.col("doc_id").alias("a"), "g", F.col("sketch").alias("sa"))
+    sb = sketches.select(F.col("doc_id").alias("b"), "g", F.col("sketch").alias("sb"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    # the most that sets of n and n2 in reach differ by; shared >= num (n + n2) / (100 + num), rounded up
+    most = F.expr(f"n + n2 - 2 * ((({num} * (n + n2)) + {99 + num}) div {100 + num})")
+    return pairs.join(sa, ["a", "g"]).join(sb, ["b", "g"]).where(apart <= most).select("a", "b").distinct()
