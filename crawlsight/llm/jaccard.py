@@ -97,7 +97,7 @@ def allocate(smallest: int, largest: int, sets: int, reach: Reach) -> Allocation
     """
     top = largest + reach.largest(largest)
     apart = max(0, *(reach.apart(t) for t in range(max(2 * smallest, top - 50), top + 1)))
-    k = 0 if apart < 3 else 1 + apart // 8
+    k = 0 if apart < 3 else 1 + apart // 4
     best = None
     for d in range(0, min(apart + 1, 4)):
         m = apart + 1 + k - d
@@ -144,9 +144,14 @@ def parity_sketch(hashes: np.ndarray, apart: int) -> np.ndarray:
     return np.packbits(odd.astype("u1")).view("i8")
 
 
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """A parity sketch of four words: it differs in no more cells than the whole one."""
+    return np.bitwise_xor.reduce(np.resize(np.pad(sketch, (0, -len(sketch) % 4)), (-(-len(sketch) // 4), 4)), 0)
+
+
 _LONGS = pa.list_(pa.int64())
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-_GROUP = pa.struct([("g", pa.int32()), ("whole", _LONGS), ("near", _LONGS), ("sketch", _LONGS)])
+_GROUP = pa.struct([("g", pa.int32()), ("whole", _LONGS), ("near", _LONGS), ("sketch", _LONGS), ("fold", _LONGS)])
 _SIGNED = pa.schema([*_SETS, ("groups", pa.list_(_GROUP))])
 
 
@@ -178,7 +183,8 @@ def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]
                         if reach.largest(edges[g + 1] - 1) < len(h):
                             break
                         whole, near = signatures(h, g, plans[g])
-                        groups.append({"g": g, "whole": whole.view("i8"), "near": near.view("i8"), "sketch": parity_sketch(h, plans[g].apart)})
+                        sketch = parity_sketch(h, plans[g].apart)
+                        groups.append({"g": g, "whole": whole.view("i8"), "near": near.view("i8"), "sketch": sketch, "fold": folded(sketch)})
                 rows.append((doc_id, len(h), h1, h2, groups))
             if len(done) > 1_000_000:
                 done.clear()
@@ -187,7 +193,7 @@ def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]
 
     ks = [p.k for p in plans]
     out = docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, h1 long, h2 long, groups array<struct<g:int,whole:array<long>,near:array<long>,sketch:array<long>>>"
+        run, "doc_id long, n long, h1 long, h2 long, groups array<struct<g:int,whole:array<long>,near:array<long>,sketch:array<long>,fold:array<long>>>"
     )
     return out, ks
 
@@ -228,6 +234,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, num: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+#: Members of each bucket that are compared with everyone in it, turn by turn, before what is left is compared.
+CHOSEN = (3, 8, 16)
+LAST = len(CHOSEN)
 #: Candidate documents up to this many are sent to every executor to pick their texts (8 bytes each).
 SENT_IDS = 1_000_000
 
@@ -250,7 +259,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     )
 
     groups = signed.where("groups is not null and doc_id is not null").select("doc_id", "n", F.explode("groups").alias("x")).select(
-        "doc_id", "n", "x.g", "x.whole", "x.near", "x.sketch"
+        "doc_id", "n", "x.g", "x.whole", "x.near", "x.sketch", "x.fold"
     )
     rows = groups.select("doc_id", "n", "g", F.lit(True).alias("is_whole"), F.explode("whole").alias("sig")).union(
         groups.where(F.size("near") > 0).select("doc_id", "n", "g", F.lit(False).alias("is_whole"), F.explode("near").alias("sig"))
@@ -259,26 +268,26 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     ids = store.put(shared.select("doc_id").distinct(), "ids")
     some = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     sketches = store.put(
-        groups.select("doc_id", "g", "sketch").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "g"]), "sketches"
+        groups.select("doc_id", "g", "sketch", "fold").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "g"]), "sketches"
     )
     texts = store.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
     edges = store.put(equal, "equal")
-    for turn in range(3):
+    for turn in range(LAST + 1):
         if turn:
             comp = store.put(components(store, edges, f"cc{turn}_"), f"comp{turn}")
             here = _split_buckets(shared, comp)
         else:
             here = shared.withColumn("component_id", F.col("doc_id"))
-        pairs = _all_pairs(here, sketches, num) if turn == 2 else _some_pairs(here, turn, num, ks)
+        pairs = _all_pairs(here, sketches, num) if turn == LAST else _some_pairs(here, turn, num, ks)
         pairs = store.put(pairs, f"pairs{turn}")
         edges = edges.union(store.put(_linked(pairs, texts, n, num), f"links{turn}"))
-    comp = components(store, edges, "cc3_")
+    comp = components(store, edges, "cc_")
     out = store.put(
         sets.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
         ), "result",
     )
-    store.drop("signed", "shared", "ids", "sketches", "texts", "equal", *(f"{x}{t}" for x in ("comp", "pairs", "links") for t in range(3)))
+    store.drop("signed", "shared", "ids", "sketches", "texts", "equal", *(f"{x}{t}" for x in ("comp", "pairs", "links") for t in range(LAST + 1)))
     return out
 
 
@@ -310,20 +319,19 @@ def _sizes_in_reach(num: int) -> Column:
 
 
 def _some_pairs(shared: DataFrame, turn: int, num: int, ks: list[int]) -> DataFrame:
-    """(a, b): three members of each bucket with everyone in it, where two buckets say so.
+    """(a, b): some members of each bucket with everyone in it, where two buckets say so.
 
-    In turn 0 like buckets choose the same members, in turn 1 each its own. These turns only join components
-    early, at little cost; what they leave out is compared in the last turn.
+    Like buckets choose the same members, others in each turn. These turns only join components early, at
+    little cost; what they leave out is compared in the last turn.
     """
     member = F.struct("doc_id", "n", "component_id")
-    keys = ["doc_id"] if turn == 0 else ["sig", "doc_id"]
     chosen = shared.groupBy("sig").agg(
-        *(F.min_by(member, F.xxhash64(*keys, F.lit(10 * turn + j))).alias(f"p{j}") for j in range(3))
+        F.array_distinct(F.array(*(F.min_by(member, F.xxhash64("doc_id", F.lit(100 * turn + j))) for j in range(CHOSEN[turn])))).alias("p")
     )
     k = F.element_at(F.array(*map(F.lit, ks or [0])), F.col("g") + 1)
     return (
         shared.join(chosen, "sig")
-        .select("sig", "doc_id", "n", "g", "component_id", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("q"))
+        .select("sig", "doc_id", "n", "g", "component_id", F.explode("p").alias("q"))
         .withColumn("n2", F.col("q.n"))
         .where((F.col("component_id") != F.col("q.component_id")) & _sizes_in_reach(num))
         .groupBy("g", F.least("doc_id", "q.doc_id").alias("a"), F.greatest("doc_id", "q.doc_id").alias("b"))
@@ -334,12 +342,17 @@ def _some_pairs(shared: DataFrame, turn: int, num: int, ks: list[int]) -> DataFr
 
 def _all_pairs(shared: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
     """(a, b): all in a bucket that are in different components and that their sketches allow, once each."""
-    left = shared.select("sig", "g", F.col("doc_id").alias("a"), "n", F.col("component_id").alias("ca"))
-    right = shared.select(F.col("sig").alias("sig2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("component_id").alias("cb"))
-    pairs = left.join(right, F.expr("sig = sig2 and a < b and ca <> cb") & _sizes_in_reach(num)).select("g", "a", "b", "n", "n2").distinct()
+    rows = shared.join(sketches.select("doc_id", "g", "fold"), ["doc_id", "g"])
+    left = rows.select("sig", "g", F.col("doc_id").alias("a"), "n", F.col("component_id").alias("ca"), F.col("fold").alias("fa"))
+    right = rows.select(
+        F.col("sig").alias("sig2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("component_id").alias("cb"), F.col("fold").alias("fb")
+    )
+    # the most that sets of n and n2 in reach differ by; shared >= num (n + n2) / (100 + num), rounded up
+    most = F.expr(f"n + n2 - 2 * ((({num} * (n + n2)) + {99 + num}) div {100 + num})")
+    seen = sum((F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(4)), F.lit(0))
+    pairs = left.join(right, F.expr("sig = sig2 and a < b and ca <> cb") & _sizes_in_reach(num) & (seen <= most))
+    pairs = pairs.select("g", "a", "b", "n", "n2").distinct()
     sa = sketches.select(F.col("doc_id").alias("a"), "g", F.col("sketch").alias("sa"))
     sb = sketches.select(F.col("doc_id").alias("b"), "g", F.col("sketch").alias("sb"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    # the most that sets of n and n2 in reach differ by; shared >= num (n + n2) / (100 + num), rounded up
-    most = F.expr(f"n + n2 - 2 * ((({num} * (n + n2)) + {99 + num}) div {100 + num})")
     return pairs.join(sa, ["a", "g"]).join(sb, ["b", "g"]).where(apart <= most).select("a", "b").distinct()
