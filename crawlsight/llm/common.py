@@ -119,6 +119,7 @@ def components(store: Store, edges: DataFrame, name: str = "cc") -> DataFrame:
 # ---------------------------------------------------------------- token ids
 
 _ODD = re.compile("[\x1c-\x1f]")
+_MARKS = ".,;:!?*%$#&|"
 _SPACE = re.compile("[ \t\n\r]+")
 
 
@@ -137,6 +138,24 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: Iterable[str]) -> None:
+        """Encode new words. Letters and the marks after them are encoded apart, so a word is encoded once for
+        all its endings; the vocabulary's own splitting parts them as well."""
+        joined, parts = [], set()
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and core.isalpha() and max(core) < "\u0250":
+                tail = w[len(core) :]
+                low = core.lower() if core.isascii() else core
+                if tail or low != w:
+                    joined.append((w, low, tail))
+                    parts.update((low, tail) if tail else (low,))
+                    continue
+            parts.add(w)
+        self._encode_new(parts.difference(self.known))
+        for w, low, tail in joined:
+            self.known[w] = self.known[low] + self.known[tail] if tail else self.known[low]
+
+    def _encode_new(self, words: Iterable[str]) -> None:
         plain = []
         for w in words:
             if "<|" in w or w.isspace():

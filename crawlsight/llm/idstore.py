@@ -4,7 +4,8 @@ A rolling hash over the ids cuts each document's stream into chunks, so equal pa
 Chunks are addressed by SHA-256 and stored once. A recipe per document, in ascending doc_id order, lists its
 chunks and carries the Merkle root over them; a manifest carries roots over blocks of recipes.
 
-Files below a store's folder, all Parquet: ``chunks`` (digest, n, ids: little-endian unsigned 32-bit),
+Files below a store's folder, all Parquet: ``chunks`` (digest, n, ids: little-endian unsigned, of 16 bits each where
+all are below 65,536, else of 32; addresses are always of the 32-bit form),
 ``recipes`` (part, block, doc_id, start, n_tokens, root, chunks[digest, n]; ascending), ``manifest`` (part,
 block, first_doc, last_doc, docs, tokens, root).
 """
@@ -12,6 +13,7 @@ block, first_doc, last_doc, docs, tokens, root).
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -69,6 +71,15 @@ def merkle_root(digests: Sequence[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+def _narrow(raw: bytes) -> bytes:
+    ids = np.frombuffer(raw, "<u4")
+    return ids.astype("<u2").tobytes() if ids.max() < 65536 else raw
+
+
+def _wide(raw: bytes, n: int) -> bytes:
+    return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if len(raw) == 2 * n else raw
+
+
 def _coded(docs: DataFrame, tokenizer_path: str, end_id: int, by_word: bool) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
@@ -83,7 +94,7 @@ def _coded(docs: DataFrame, tokenizer_path: str, end_id: int, by_word: bool) ->
                 for stop in cut_points(np.frombuffer(raw, "<u4")):
                     part = raw[4 * begin : 4 * stop]
                     digest = hashlib.sha256(part).digest()
-                    chunks.append({"digest": digest, "n": stop - begin, "ids": None if digest in sent else part})
+                    chunks.append({"digest": digest, "n": stop - begin, "ids": None if digest in sent else _narrow(part)})
                     sent.add(digest)
                     begin = stop
                 rows.append((doc_id, len(raw) // 4, merkle_root([c["digest"] for c in chunks]), chunks))
@@ -148,14 +159,25 @@ def read_recipes(spark, path: str) -> DataFrame:
     return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
 
 
-def _checked_chunks(spark, path: str) -> DataFrame:
-    """The chunks, each proven by its own address: (digest, n, crc, ids)."""
-    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    sound = (F.unhex(F.sha2("ids", 256)) == F.col("digest")) & (F.octet_length("ids") == F.col("n") * 4)
-    return chunks.select(
-        "digest", "n", F.crc32("ids").alias("crc"),
-        F.when(sound, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk does not match its address"))).alias("ids"),
-    )
+_CHECKED = pa.schema([("digest", pa.binary()), ("size", pa.int32()), ("crc", pa.int64()), ("ids", pa.binary())])
+
+
+def _checked_chunks(spark, path: str, with_ids: bool) -> DataFrame:
+    """The chunks, each proven by its own address: (digest, size, crc, ids), ids of 32 bits or left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            crcs, wide = [], []
+            for digest, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = _wide(raw, n)
+                if hashlib.sha256(ids).digest() != digest or len(ids) != 4 * n:
+                    raise ValueError("a chunk does not match its address")
+                crcs.append(zlib.crc32(ids))
+                wide.append(ids if with_ids else None)
+            yield pa.RecordBatch.from_arrays([batch["digest"], batch["n"], pa.array(crcs, pa.int64()), pa.array(wide, pa.binary())], schema=_CHECKED)
+
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("digest", "n", "ids")
+    return chunks.mapInArrow(run, "digest binary, size int, crc long, ids binary")
 
 
 @lru_cache(maxsize=20_000)
@@ -199,7 +221,7 @@ def digests(spark, path: str) -> DataFrame:
     and CRCs move. A document's CRC is that of its chunks put together in recipe order; its Merkle root is
     computed again from the addresses. ``documents`` gives the ids themselves.
     """
-    chunks = _checked_chunks(spark, path).select("digest", F.col("n").alias("size"), F.when(F.col("ids").isNotNull(), F.col("crc")).alias("crc"))
+    chunks = _checked_chunks(spark, path, False).select("digest", "size", "crc")
     steps = read_recipes(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("at", "c")).select(
         "doc_id", "start", "n_tokens", "root", "at", F.col("c.digest").alias("digest")
     )
@@ -222,7 +244,7 @@ def digests(spark, path: str) -> DataFrame:
 
 def documents(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) put together from a store; ids little-endian unsigned 32-bit."""
-    chunks = _checked_chunks(spark, path).select("digest", "ids")
+    chunks = _checked_chunks(spark, path, True).select("digest", "ids")
     steps = read_recipes(spark, path).select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("at", "c"))
     rows = steps.select("doc_id", "start", "n_tokens", "at", F.col("c.digest").alias("digest")).join(chunks, "digest")
     ordered = F.array_sort(F.collect_list(F.struct("at", F.hex("ids").alias("h"))))
