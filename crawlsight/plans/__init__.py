@@ -1,0 +1,5 @@
+"""The registered queries; importing the package registers those of every module."""
+
+from . import queries, sites
+
+__all__ = ["queries", "sites"]

@@ -62,7 +62,7 @@ def _host(u: str) -> str:
 
 
 def _round(x: str, d: int) -> str:
-    return f"floor(({x}) * {10**d}.0 + 0.5) / {10**d}.0"
+    return f"(floor(({x}) * {10**d}.0 + 0.5) / {10**d}.0)"
 
 
 def _plain(x: str) -> str:
