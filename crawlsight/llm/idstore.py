@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import Store, encoder, slices
 
 END_ID = 1
-#: Ids in a chunk, and the ids that the rolling hash sees. A cut needs MASK_BITS zero bits.
+#: Ids in a chunk, and the ids that the rolling hash sees (a power of two). A cut needs MASK_BITS zero bits.
 LEAST, MOST, SEEN, MASK_BITS = 128, 2048, 16, 9
 #: Documents in a block of the manifest.
 BLOCK = 1024
@@ -47,9 +47,11 @@ def cut_points(ids: np.ndarray) -> list[int]:
     mixed = ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    rolled = mixed.copy()
-    for j in range(1, SEEN):
-        rolled[j:] += mixed[:-j] << np.uint64(j)
+    rolled, seen = mixed, 1  # ids i - j, j < SEEN, each shifted by j; doubling the span needs log2(SEEN) sums
+    while seen < SEEN:
+        wider = rolled.copy()
+        wider[seen:] += rolled[:-seen] << np.uint64(seen)
+        rolled, seen = wider, 2 * seen
     wanted = (np.flatnonzero(rolled >> np.uint64(64 - MASK_BITS) == 0) + 1).tolist()
     ends, begin = [], 0
     for at in [*wanted, len(ids)]:
