@@ -130,6 +130,9 @@ class WordEncoder:
     does); each distinct word is then encoded once and remembered, at most ``limit`` of them at a time.
     """
 
+    #: Characters of texts whose new words are encoded together.
+    AT_ONCE = 300_000
+
     def __init__(self, path: str, by_word: bool = True, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -143,9 +146,10 @@ class WordEncoder:
         joined, parts = [], set()
         for w in words:
             core = w.rstrip(_MARKS)
-            if core and core.isalpha() and max(core) < "\u0250":
+            plain = core.isascii()
+            if core.isalpha() and (plain or max(core) < "\u0250"):
                 tail = w[len(core) :]
-                low = core.lower() if core.isascii() else core
+                low = core.lower() if plain else core
                 if tail or low != w:
                     joined.append((w, low, tail))
                     parts.update((low, tail) if tail else (low,))
@@ -175,17 +179,35 @@ class WordEncoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-        out = []
+        out: list[bytes] = []
+        held: list[tuple[int, list[str]]] = []  # texts with words not yet known; those of several are learnt together
+        chars = 0
         for text in texts:
             words = (_SPACE.split(text) if _ODD.search(text) else text.split()) if text else []
-            if new := set(words).difference(self.known):
-                if len(self.known) > self.limit:
-                    self.known.clear()
-                    new = set(words)
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            try:
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            except KeyError:
+                held.append((len(out), words))
+                out.append(b"")
+                chars += len(text)
+                if chars > self.AT_ONCE:
+                    self._fill(out, held)
+                    chars = 0
+        self._fill(out, held)
         return out
 
+    def _fill(self, out: list[bytes], held: list[tuple[int, list[str]]]) -> None:
+        every = set().union(*(words for _, words in held))
+        new = every.difference(self.known)
+        if len(self.known) > self.limit:
+            self.known.clear()
+            new = every
+        if new:
+            self._learn(new)
+        for at, words in held:
+            out[at] = b"".join(map(self.known.__getitem__, words))
+        held.clear()
+
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what a task holds at a time stays small."""
