@@ -1,14 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-A few different pages of each host are parsed to trees and aligned by simple tree matching. Nodes whose text
-is the same on all of them become the host's template; the others are slots. Every page of the host is aligned
-with the template; what matches a constant node is boilerplate. The article (or main) element, where a page
-has one, is its content slot; elsewhere the slots left after boilerplate are. Navigation, forms, notices and
-the like are told by element and by the words of class, id and role.
+Every page is parsed to a tree and read as text blocks, each with its path of elements and names. The pages of a
+host that hold the same text at the same path are counted, over all different pages of the host: blocks that are
+on nearly all of them are the host's template and are dropped, the others are its slots and stay. (Tree matching
+only pairs nodes of equal paths, so these counts find what an alignment of the pages would find.) This holds
+inside the article or main element, where a page has one, and over the whole page elsewhere. Navigation, forms,
+notices and the like are told by element and by the words of class, id and role.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -21,10 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import Store, slices
 
-#: Pages of a host that its template is induced from; nodes up to this depth are aligned.
-REFERENCES, DEPTH = 3, 60
-#: Templates of up to this many hosts (a few kilobytes each) are sent to every executor.
-SENT_HOSTS = 2_000
+#: A block is constant if it is on this share of a layout's different pages, and on so many at least: outside and
+#: inside content elements (two pages alone may be two versions of one article).
+SHARE, LEAST, LEAST_INSIDE = 0.9, 2, 3
+#: It is so as well if a host's pages that have its path, of all layouts, hold it to that share: so many pages, and
+#: this share of the host's, at least.
+HOST_LEAST, HOST_SHARE = 5, 0.1
+#: Templates with up to this many constant blocks (8 bytes each) in all are sent to every executor.
+SENT_BLOCKS = 200_000
 
 # HTML's void, raw-text, inline and paragraph-like elements, and what is never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +50,7 @@ CHROME_WORDS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=\s|/|$)", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
+_NUMBER = re.compile(r"[0-9]+")
 
 
 @dataclass(slots=True)
@@ -55,8 +62,9 @@ class Node:
     children: list = field(default_factory=list)  # nodes and strings
 
     @property
-    def kind(self) -> tuple:
-        return self.tag, self.marks
+    def step(self) -> str:
+        """The element's part of a path; numbers in names, which differ from page to page, count as equal."""
+        return f"{self.tag}.{_NUMBER.sub('#', ' '.join(self.marks))}" if self.marks else self.tag
 
 
 @lru_cache(maxsize=50_000)
@@ -172,116 +180,70 @@ def content_root(top: Node) -> Node | None:
     return max(best, key=lambda n: len(text_of(n))) if best else None
 
 
-def blocks(root: Node, inside: bool, constant: set[int] = frozenset()) -> list[str]:
-    """The text blocks below ``root`` in page order, without chrome and without the nodes in ``constant``."""
-    out: list[str] = []
+def blocks(root: Node, inside: bool, path: str = "") -> list[tuple[str, str]]:
+    """(path, text) of the text blocks below ``root`` in page order, without chrome."""
+    out: list[tuple[str, str]] = []
     now: list[str] = []
 
     def flush() -> None:
         if now:
             text = " ".join(entities.unescape("".join(now)).split())
             if text:
-                out.append(text)
+                out.append((at, text))
             now.clear()
 
+    at = path
     todo: list = [root]
     while todo:
         n = todo.pop()
-        if n is None:
+        if isinstance(n, tuple):  # the end of a block
             flush()
+            at = n[0]
         elif isinstance(n, str):
             now.append(n)
         elif n.tag == "br":
             now.append(" ")
-        elif n is not root and (is_chrome(n, inside) or id(n) in constant):
+        elif n is not root and is_chrome(n, inside):
             if n.tag not in INLINE and n.tag not in RAW:
                 flush()
         elif n.tag in INLINE:
             todo += reversed(n.children)
         else:
             flush()
-            todo.append(None)
+            todo.append((at,))
+            at = f"{at}/{n.step}"
             todo += reversed(n.children)
     flush()
     return out
 
 
-def matched(a: Node, b: Node, stop: frozenset[str], depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest order-keeping match of two trees with equal roots, and its pairs.
-
-    Elements in ``stop`` are leaves.
-    """
-    if a.kind != b.kind:
-        return 0, []
-    if a.tag in stop or depth > DEPTH:
-        return 1, [(a, b)]
-    x = [c for c in a.children if not isinstance(c, str)]
-    y = [c for c in b.children if not isinstance(c, str)]
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, c in enumerate(x):
-        for j, d in enumerate(y):
-            w = 0
-            if c.kind == d.kind:
-                pairs[i, j] = matched(c, d, stop, depth + 1)
-                w = pairs[i, j][0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    out, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out += pairs[i, j][1]
-    return best[-1][-1] + 1, out
-
-
-#: Where a page has a content element, what is in it is a slot, so it needn't be aligned.
-SLOTS = frozenset(["article", "main"])
-
-
-@dataclass
-class Template:
-    """A reference tree and its constant nodes, by id, with the text they always have."""
-
-    tree: Node
-    constant: dict[int, str]
-
-    @staticmethod
-    def induce(sources: list[str]) -> Template | None:
-        """From different pages of one host; none from fewer than two."""
-        if len(sources) < 2:
-            return None
-        first, *rest = [parse(s) for s in sources]
-        constant: dict[int, str] | None = None
-        for other in rest:
-            same = {id(a): t for a, b in matched(first, other, SLOTS)[1] if (t := text_of(a)) and t == text_of(b)}
-            constant = same if constant is None else {k: t for k, t in constant.items() if k in same}
-        return Template(first, constant or {})
-
-    def constant_in(self, page: Node) -> set[int]:
-        """The page's nodes that match a constant node and have its text."""
-        if not self.constant:
-            return set()
-        pairs = matched(self.tree, page, SLOTS)[1]
-        return {id(b) for a, b in pairs if b.tag not in SLOTS and id(a) in self.constant and text_of(b) == self.constant[id(a)]}
-
-
-def main_text(source: str | None, template: Template | None) -> str:
-    """The main text of one page."""
-    if not source or "<" not in source:
-        return " ".join(entities.unescape(source or "").split())
+def read(source: str | None) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether a page has a content element, and its blocks: those in it, or else those of the whole page."""
+    if not source:
+        return False, []
+    if "<" not in source:
+        return False, [("", text)] if (text := " ".join(entities.unescape(source).split())) else []
     page = parse(source)
     root = content_root(page)
-    if root is not None:
-        return "\n".join(blocks(root, True))
-    left = blocks(page, False, template.constant_in(page)) if template else []
-    return "\n".join(left or blocks(page, False))
+    return root is not None, blocks(page if root is None else root, root is not None)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def block_key(path: str, text: str) -> int:
+    return _hash(f"{path}\0{text}")
+
+
+def main_text(found: list[tuple[str, str]], constant: frozenset[int] = frozenset()) -> str:
+    """A page's blocks but for the constant ones; all of them if nothing else is there."""
+    left = [text for path, text in found if block_key(path, text) not in constant] if constant else []
+    return "\n".join(left or [text for _, text in found])
 
 
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+_OUTLINE = pa.schema([("host", pa.string()), ("h", pa.int64()), ("layout", pa.int64()), ("least", pa.int32()), ("keys", pa.list_(pa.int64())), ("paths", pa.list_(pa.int64()))])
 
 
 def host_of(url: str = "url"):
@@ -289,46 +251,107 @@ def host_of(url: str = "url"):
     return F.lower(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def references(pages: DataFrame, store: Store, count: int = REFERENCES) -> DataFrame:
-    """(host, sources): up to ``count`` different pages of each host, those with the smallest hash of their source."""
-    keyed = pages.select(host_of().alias("host"), F.xxhash64("html").alias("h"), F.col("page_id").alias("p"), "html").where("host is not null and html is not null")
-    narrow = keyed.groupBy("host", "h").agg(F.min("p").alias("p"))
-    # the least hashes of a host, one after another: plain minima, however many pages it has
-    chosen, left = None, store.put(narrow, "narrow")
-    for _ in range(count):
-        least = left.groupBy("host").agg(F.min("h").alias("h"))
-        chosen = least if chosen is None else chosen.union(least)
-        left = left.join(least, ["host", "h"], "left_anti")
-    picked = chosen.join(narrow, ["host", "h"])
-    rows = keyed.join(store.put(picked, "picked"), ["host", "h", "p"]).dropDuplicates(["host", "h"])
-    return store.put(rows.groupBy("host").agg(F.sort_array(F.collect_list("html")).alias("sources")), "references")
+def layout_of(source: str | None, inside: bool) -> int:
+    """Pages that are counted together have the same one."""
+    return int(inside)
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        layouts, least, keys, paths = [], [], [], []
+        for source in batch["html"].to_pylist():
+            inside, found = read(source)
+            layouts.append(layout_of(source, inside))
+            least.append(LEAST_INSIDE if inside else LEAST)
+            mine = {block_key(p, t): _hash(p) for p, t in found}
+            keys.append(list(mine))
+            paths.append(list(mine.values()))
+        yield pa.RecordBatch.from_arrays(
+            [batch["host"], batch["h"], *(pa.array(x, f.type) for x, f in zip((layouts, least, keys, paths), list(_OUTLINE)[2:], strict=True))], schema=_OUTLINE
+        )
 
 
-def extract(pages: DataFrame, count: int = REFERENCES) -> DataFrame:
+def templates(pages: DataFrame, store: Store) -> DataFrame:
+    """(host, layout, keys): the constant blocks of each layout of a host; with a null layout, of all its pages.
+
+    Equal sources of a host count once. Only counts per key are shuffled, added up before, so no host is in one task.
+    """
+    sources = pages.select(host_of().alias("host"), F.xxhash64("html").alias("h"), "html").where("host is not null and html is not null")
+    one = store.put(
+        sources.mapInArrow(_outlines, "host string, h long, layout long, least int, keys array<long>, paths array<long>")
+        .groupBy("host", "h").agg(*(F.any_value(c).alias(c) for c in ("layout", "least", "keys", "paths"))), "outlines"
+    )
+    at = one.select("host", "layout", F.explode(F.arrays_zip("keys", "paths")).alias("b")).select("host", "layout", F.col("b.keys").alias("k"), F.col("b.paths").alias("q"))
+    sizes = store.put(one.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("pages"), F.max("least").alias("least")), "sizes")
+    few = sizes.count() <= SENT_BLOCKS
+    sent = lambda df: F.broadcast(df) if few else df
+    share = lambda of: F.col("n") >= SHARE * F.col(of)
+    by_layout = at.groupBy("host", "layout", "k").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {LEAST}").join(
+        sent(sizes), ["host", "layout"]
+    ).where((F.col("n") >= F.col("least")) & share("pages")).select("host", "layout", "k")
+    having = one.select("host", F.explode(F.array_distinct("paths")).alias("q")).groupBy("host", "q").agg(F.count(F.lit(1)).alias("having"))
+    by_host = at.groupBy("host", "k", "q").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {HOST_LEAST}").join(
+        sent(sizes.groupBy("host").agg(F.sum("pages").alias("pages"))), "host"
+    ).where(F.col("n") >= HOST_SHARE * F.col("pages")).join(having, ["host", "q"]).where(share("having"))
+    both = by_layout.union(by_host.select("host", F.lit(None).cast("long").alias("layout"), "k"))
+    return store.put(both.groupBy("host", "layout").agg(F.collect_set("k").alias("keys")), "templates")
+
+
+def _texts(batch: pa.RecordBatch, constant) -> pa.RecordBatch:
+    """``constant``: the constant blocks of row i, given its layout."""
+    texts = []
+    for i, source in enumerate(batch["html"].to_pylist()):
+        inside, found = read(source)
+        texts.append(main_text(found, constant(i, source, inside)))
+    return pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], schema=_TEXT)
+
+
+def extract(pages: DataFrame, sent_blocks: int = SENT_BLOCKS) -> DataFrame:
     """(page_id, url, text) of ``pages`` (page_id, url, html, more).
 
     A null or empty source gives an empty text; a page without a host, or of a host with one page only, is
     read without a template; repeated rows are read each; no rows give no rows; further columns are not read.
     Sources are read whole.
     """
-    store = Store(pages.sparkSession, "wrapper")
-    refs = references(pages, store, count)
+    spark = pages.sparkSession
+    known = templates(pages, Store(spark, "wrapper"))
     rows = pages.select("page_id", "url", "html", host_of().alias("host"))
-    joined = rows.join(F.broadcast(refs) if refs.count() <= SENT_HOSTS else refs, "host", "left")
+    total = known.agg(F.sum(F.size("keys"))).first()[0] or 0
+    ways = "page_id long, url string, text string"
+    if total <= sent_blocks:
+        table = spark.sparkContext.broadcast({(r["host"], r["layout"]): frozenset(r["keys"]) for r in known.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, none = table.value, frozenset()
+            hosts: list = []
+
+            def constant(i: int, source: str | None, inside: bool) -> frozenset[int]:
+                own = of.get((hosts[i], layout_of(source, inside)), none)
+                return own | more if (more := of.get((hosts[i], None))) else own
+
+            for batch in slices(batches, 64):
+                hosts = batch["host"].to_pylist()
+                yield _texts(batch, constant)
+
+        return rows.mapInArrow(run, ways)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            layouts = [layout_of(s, read(s)[0]) for s in batch["html"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64())], names=[*batch.schema.names, "layout"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            yield _texts(batch, lambda i, *_, b=batch: frozenset((b["keys"][i].as_py() or []) + (b["more"][i].as_py() or [])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates: dict[str, Template | None] = {}
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            texts = []
-            hosts = batch["host"].to_pylist()
-            sources = batch["sources"]
-            for i, source in enumerate(batch["html"].to_pylist()):
-                host = hosts[i]
-                if host is not None and host not in templates:
-                    if len(templates) >= 500:
-                        templates.clear()
-                    templates[host] = Template.induce(sources[i].as_py() or [])
-                texts.append(main_text(source, templates.get(host)))
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], schema=_TEXT)
-
-    return joined.select("page_id", "url", "html", "host", "sources").mapInArrow(run, "page_id long, url string, text string")
+            yield _texts(batch, lambda *_: frozenset())
+
+    hosted = rows.where("host is not null").mapInArrow(marked, "page_id long, url string, html string, host string, layout long")
+    hosted = hosted.join(known.where("layout is not null"), ["host", "layout"], "left").join(
+        known.where("layout is null").select("host", F.col("keys").alias("more")), "host", "left"
+    )
+    return hosted.select("page_id", "url", "html", "keys", "more").mapInArrow(joined, ways).union(
+        rows.where("host is null").mapInArrow(alone, ways)
+    )

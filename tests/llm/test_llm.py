@@ -197,3 +197,22 @@ def test_secret_ledger(spark):
     assert grown.count() == 4 and {r.doc_id: len(r.findings) for r in again.collect()} == {9: 3, 10: 1}
     text = found.where("doc_id = 1").join(texts, "doc_id").select(secrets.redact(texts.text, found.findings).alias("x")).first()["x"]
     assert text == "é [access] [assign] token: ab [hex]"
+
+
+def pages_of(spark, sources, host="a.test"):
+    return spark.createDataFrame([(i, f"https://{host}/{i}", s) for i, s in enumerate(sources)], "page_id long, url string, html string")
+
+
+def test_constant_blocks_in_articles(spark):
+    box = "<div class=box><p>We may earn money from links.</div>"
+    pages = pages_of(spark, [f"<body><article><h1>Title {i}</h1><p>Story {i}</p>{box}</article></body>" for i in range(6)])
+    for sent in (wrapper.SENT_BLOCKS, 0):
+        assert {r.page_id: r.text for r in wrapper.extract(pages, sent).collect()} == {i: f"Title {i}\nStory {i}" for i in range(6)}
+    same = [f"<article><h1>One</h1><p>Same story.</p><p>Version {i}</p></article>" for i in range(2)]
+    assert {r.text for r in wrapper.extract(pages_of(spark, same)).collect()} == {f"One\nSame story.\nVersion {i}" for i in range(2)}
+
+
+def test_chance_equals_stay(spark):
+    sources = [f"<body><div class=top>Menu</div><div class=c><p>{'Sold out.' if i < 9 else f'Left: {i}'}</p><p>Item {i}</p></div></body>" for i in range(30)]
+    got = {r.page_id: r.text for r in wrapper.extract(pages_of(spark, sources)).collect()}
+    assert got == {i: f"{'Sold out.' if i < 9 else f'Left: {i}'}\nItem {i}" for i in range(30)}
