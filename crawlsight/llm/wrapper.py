@@ -4,7 +4,7 @@ Every page is parsed to a tree and read as text blocks, each with its path of el
 host that hold the same text at the same path are counted, over all different pages of the host: blocks that are
 on nearly all of them are the host's template and are dropped, the others are its slots and stay. (Tree matching
 only pairs nodes of equal paths, so these counts find what an alignment of the pages would find.) This holds
-inside the article or main element, where a page has one, and over the whole page elsewhere. Navigation, forms,
+inside all article and main elements, where a page has any, and over the whole page elsewhere. Navigation, forms,
 notices and the like are told by element and by the words of class, id and role.
 """
 
@@ -40,6 +40,7 @@ CLOSED_BY_BLOCK = frozenset(["p"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 CHROME = frozenset("nav footer aside form head button select input dialog svg canvas object audio video map menu".split()) | RAW
+CONTENT = frozenset(["article", "main"])
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -163,21 +164,23 @@ def text_of(node: Node | str) -> str:
     return " ".join(entities.unescape(" ".join(parts)).split())
 
 
-def content_root(top: Node) -> Node | None:
-    """The page's article or main element, the one with most text, outside navigation and the like."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    todo = [(top, "")]
+def content_roots(top: Node) -> list[tuple[Node, str]]:
+    """The page's outermost article and main elements outside navigation and the like, in page order, each with
+    its parent's path. What they hold is kept whole: a main with its articles and what is beside them, and all
+    sibling articles."""
+    found: list[tuple[Node, str]] = []
+    todo: list[tuple[Node, str]] = [(c, "") for c in reversed(top.children) if not isinstance(c, str)]
     while todo:
-        node, within = todo.pop()
-        for c in node.children:
-            if isinstance(c, str) or is_chrome(c, bool(within)):
-                continue
-            kind = "article" if c.tag == "article" or c.role == "article" else "main" if c.tag == "main" or c.role == "main" else ""
-            if kind and not (kind == within == "article"):
-                found[kind].append(c)
-            todo.append((c, kind or within))
-    best = found["article"] or found["main"]
-    return max(best, key=lambda n: len(text_of(n))) if best else None
+        node, path = todo.pop()
+        content = node.tag in CONTENT or node.role in CONTENT
+        if is_chrome(node, content):
+            continue
+        if content:
+            found.append((node, path))
+        else:
+            path = f"{path}/{node.step}"
+            todo += [(c, path) for c in reversed(node.children) if not isinstance(c, str)]
+    return found
 
 
 def blocks(root: Node, inside: bool, path: str = "") -> list[tuple[str, str]]:
@@ -218,14 +221,14 @@ def blocks(root: Node, inside: bool, path: str = "") -> list[tuple[str, str]]:
 
 
 def read(source: str | None) -> tuple[bool, list[tuple[str, str]]]:
-    """Whether a page has a content element, and its blocks: those in it, or else those of the whole page."""
+    """Whether a page has content elements with text, and its blocks: those in them, or else those of the whole page."""
     if not source:
         return False, []
     if "<" not in source:
         return False, [("", text)] if (text := " ".join(entities.unescape(source).split())) else []
     page = parse(source)
-    root = content_root(page)
-    return root is not None, blocks(page if root is None else root, root is not None)
+    found = [b for root, path in content_roots(page) for b in blocks(root, True, path)]
+    return (True, found) if found else (False, blocks(page, False))
 
 
 def _hash(text: str) -> int:

@@ -216,3 +216,12 @@ def test_chance_equals_stay(spark):
     sources = [f"<body><div class=top>Menu</div><div class=c><p>{'Sold out.' if i < 9 else f'Left: {i}'}</p><p>Item {i}</p></div></body>" for i in range(30)]
     got = {r.page_id: r.text for r in wrapper.extract(pages_of(spark, sources)).collect()}
     assert got == {i: f"{'Sold out.' if i < 9 else f'Left: {i}'}\nItem {i}" for i in range(30)}
+
+
+def test_content_roots_are_whole(spark):
+    beside = "<body><main><div><p>Story one.</p><p>Story two.</p></div><article class=card>Teaser</article></main></body>"
+    parts = "<body><div class=c><article>Part one is long.</article><article>Two</article><aside><article>Else</article></aside></div></body>"
+    empty = "<body><article></article><div>Body text</div></body>"
+    rows = [(i, f"https://h{i}.test/", s) for i, s in enumerate([beside, parts, empty])]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "Story one.\nStory two.\nTeaser", 1: "Part one is long.\nTwo", 2: "Body text"}
