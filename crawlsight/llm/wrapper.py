@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 Every page is parsed to a tree and read as text blocks, each with its path of elements and names. The pages of a
-host that hold the same text at the same path are counted, over all different pages of the host: blocks that are
-on nearly all of them are the host's template and are dropped, the others are its slots and stay. (Tree matching
+host that hold the same text at the same path are counted, over all different pages of the host and of each of
+its layouts (pages whose outer sections have the same paths): blocks that are on nearly all pages of a layout are
+its template and are dropped, the others are its slots and stay. (Tree matching
 only pairs nodes of equal paths, so these counts find what an alignment of the pages would find.) This holds
 inside all article and main elements, where a page has any, and over the whole page elsewhere. Navigation, forms,
 notices and the like are told by element and by the words of class, id and role.
@@ -41,6 +42,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 CHROME = frozenset("nav footer aside form head button select input dialog svg canvas object audio video map menu".split()) | RAW
 CONTENT = frozenset(["article", "main"])
+#: Elements that make a layout, of so many levels below the body.
+SECTIONS, DEPTH = frozenset("html body div section header footer nav main article aside".split()), 3
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -220,19 +223,39 @@ def blocks(root: Node, inside: bool, path: str = "") -> list[tuple[str, str]]:
     return out
 
 
-def read(source: str | None) -> tuple[bool, list[tuple[str, str]]]:
-    """Whether a page has content elements with text, and its blocks: those in them, or else those of the whole page."""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def layout_of(page: Node, inside: bool) -> int:
+    """Hash of the paths of a page's outer sections; pages of one layout are counted together."""
+    paths: set[str] = set()
+    todo: list[tuple[Node, str, int]] = [(page, str(inside), 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        for c in node.children:
+            if isinstance(c, str) or c.tag not in SECTIONS:
+                continue
+            below = f"{path}/{c.step}"
+            if c.tag in ("html", "body"):
+                todo.append((c, path, depth))
+                continue
+            paths.add(below)
+            if c.tag not in CONTENT and depth + 1 < DEPTH:
+                todo.append((c, below, depth + 1))
+    return _hash("\n".join(sorted(paths)) + f"\n{inside}")
+
+
+def read(source: str | None) -> tuple[bool, int, list[tuple[str, str]]]:
+    """Whether a page has content elements with text, its layout, and its blocks: those in them, or else of the whole page."""
     if not source:
-        return False, []
+        return False, 0, []
     if "<" not in source:
-        return False, [("", text)] if (text := " ".join(entities.unescape(source).split())) else []
+        return False, 0, [("", text)] if (text := " ".join(entities.unescape(source).split())) else []
     page = parse(source)
     found = [b for root, path in content_roots(page) for b in blocks(root, True, path)]
-    return (True, found) if found else (False, blocks(page, False))
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    inside = bool(found)
+    return inside, layout_of(page, inside), found or blocks(page, False)
 
 
 def block_key(path: str, text: str) -> int:
@@ -254,17 +277,12 @@ def host_of(url: str = "url"):
     return F.lower(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def layout_of(source: str | None, inside: bool) -> int:
-    """Pages that are counted together have the same one."""
-    return int(inside)
-
-
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
         layouts, least, keys, paths = [], [], [], []
         for source in batch["html"].to_pylist():
-            inside, found = read(source)
-            layouts.append(layout_of(source, inside))
+            inside, layout, found = read(source)
+            layouts.append(layout)
             least.append(LEAST_INSIDE if inside else LEAST)
             mine = {block_key(p, t): _hash(p) for p, t in found}
             keys.append(list(mine))
@@ -304,8 +322,8 @@ def _texts(batch: pa.RecordBatch, constant) -> pa.RecordBatch:
     """``constant``: the constant blocks of row i, given its layout."""
     texts = []
     for i, source in enumerate(batch["html"].to_pylist()):
-        inside, found = read(source)
-        texts.append(main_text(found, constant(i, source, inside)))
+        _, layout, found = read(source)
+        texts.append(main_text(found, constant(i, layout)))
     return pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], schema=_TEXT)
 
 
@@ -328,8 +346,8 @@ def extract(pages: DataFrame, sent_blocks: int = SENT_BLOCKS) -> DataFrame:
             of, none = table.value, frozenset()
             hosts: list = []
 
-            def constant(i: int, source: str | None, inside: bool) -> frozenset[int]:
-                own = of.get((hosts[i], layout_of(source, inside)), none)
+            def constant(i: int, layout: int) -> frozenset[int]:
+                own = of.get((hosts[i], layout), none)
                 return own | more if (more := of.get((hosts[i], None))) else own
 
             for batch in slices(batches, 64):
@@ -340,7 +358,7 @@ def extract(pages: DataFrame, sent_blocks: int = SENT_BLOCKS) -> DataFrame:
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            layouts = [layout_of(s, read(s)[0]) for s in batch["html"].to_pylist()]
+            layouts = [read(s)[1] for s in batch["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64())], names=[*batch.schema.names, "layout"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

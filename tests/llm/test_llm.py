@@ -225,3 +225,12 @@ def test_content_roots_are_whole(spark):
     rows = [(i, f"https://h{i}.test/", s) for i, s in enumerate([beside, parts, empty])]
     got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "Story one.\nStory two.\nTeaser", 1: "Part one is long.\nTwo", 2: "Body text"}
+
+
+def test_each_layout_has_its_template(spark):
+    kinds = ("blog", "product", "forum", "wiki")
+    page = lambda i: f"<body><div class={kinds[i % 4]}><div class=head>{kinds[i % 4]} menu</div><div class=text><p>Own text {i}</p></div></div></body>"
+    got = {r.page_id: r.text for r in wrapper.extract(pages_of(spark, [page(i) for i in range(24)])).collect()}
+    assert got == {i: f"Own text {i}" for i in range(24)}
+    shared = [f"<body><div class={kinds[i % 4]}>Own text {i}</div><div class=c>{kinds[i % 4]} box</div></body>" for i in range(24)]
+    assert {r.page_id: r.text for r in wrapper.extract(pages_of(spark, shared), 0).collect()} == {i: f"Own text {i}" for i in range(24)}
