@@ -1,13 +1,17 @@
 """Shards by balanced label propagation.
 
-Documents with equal group keys are linked. All start in shards of equal counts; then, round after round,
-documents move to the shard that holds most of their group, as far as the shard has room for linked documents;
-unlinked documents fill up what is left. Every shard ends within one document of the others.
+Documents with equal group keys are linked. All start with a label, a shard; then, round after round, each group
+that isn't placed asks for the shard that holds most of it among those with room, else for any shard with room,
+and is let in whole as far as the room goes, until every group is placed or none that is left fits anywhere. The
+largest groups come first; one larger than a shard fills as few shards as it can. What fits nowhere whole fills
+the largest room left, and unlinked documents the rest. Every shard ends within one document of the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,48 +19,136 @@ from pyspark.sql.window import Window
 
 from .common import Store, numbered
 
-SHARDS, ROUNDS = 16, 4
-#: Parts into which the moves towards a shard are dealt to be added up.
+SHARDS = 16
+#: Parts into which the groups that ask for a shard are dealt to be added up.
 PARTS = 256
+#: Up to so many groups, the largest ones and the last ones left over, are placed on the driver.
+PLACED = 4096
 
 
-def _room(linked: DataFrame, quota: Sequence[int], spark) -> DataFrame:
-    """(shard, room): how many more linked documents each shard can take; one row per shard."""
-    held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return spark.createDataFrame([(i, q - held.get(i, 0)) for i, q in enumerate(quota)], "shard int, room long")
+def place(groups: Sequence[tuple], room: list[int], labels: bool = True) -> tuple[dict[tuple, int], list[tuple]]:
+    """Whole ``groups`` (key, size, documents per shard) into ``room``, which shrinks: ({key: shard}, those that fit nowhere).
+
+    The largest come first. Each goes to that of its shards with room that holds most of it, else (or without
+    ``labels``) to the shard where least room is left over; ties go by a hash of the group.
+    """
+    at, left = {}, []
+    for g in sorted(groups, key=lambda g: (-g[1], g[0])):
+        key, n, held = g
+        fit = [s for s, r in enumerate(room) if r >= n]
+        if not fit:
+            left.append(g)
+            continue
+        best = max(fit, key=lambda s: (held[s] if labels else 0, 0 if labels and held[s] else -room[s], crc32(repr((key, s)).encode())))
+        at[key] = best
+        room[best] -= n
+    return at, left
+
+
+def place_large(groups: Sequence[tuple], room: list[int]) -> tuple[dict[tuple, int], dict[tuple, list[tuple[int, int]]], list[tuple], list[int]]:
+    """(whole, pieces, left, room): as ``place``, where a group larger than every shard first fills whole ones.
+
+    pieces: {key: [(shard, documents)]} of those; what is left of them is placed as a group under key + (0,).
+    If some groups fit nowhere by their labels, the shard where least room is left over decides, if that splits fewer.
+    """
+    room, pieces, rest = list(room), {}, []
+    most = max(room)
+    for key, n, held in sorted(groups, key=lambda g: (-g[1], g[0])):
+        while n > most:
+            s = max(range(len(room)), key=lambda s: (room[s], held[s], -s))
+            if not room[s]:
+                break
+            take = min(room[s], n)
+            pieces.setdefault(key, []).append((s, take))
+            room[s], n = room[s] - take, n - take
+        if n:
+            rest.append(((*key, 0) if key in pieces else key, n, held))
+    tries = []
+    for labels in (True, False):
+        r = list(room)
+        tries.append((*place(rest, r, labels), r))
+        if not tries[-1][1]:
+            break
+    whole, left, room = min(tries, key=lambda t: len(t[1]))
+    return whole, pieces, left, room
 
 
-def _round(linked: DataFrame, quota: Sequence[int], turn: int) -> DataFrame:
-    """One round of propagation over ``linked`` (doc_id, row, g1, g2, shard); counts per shard stay within quota."""
-    spark = linked.sparkSession
-    here = linked.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("n"))
-    wanted = here.groupBy("g1", "g2").agg(
-        F.max_by("shard", F.struct("n", -F.col("shard"))).alias("target"), (F.sum("n") - F.max("n")).alias("movers")
-    ).where("movers > 0")
+def _round(left: DataFrame, room: Sequence[int], turn: int) -> DataFrame:
+    """``left`` (g1, g2, n, held) with ``target``, null if no shard has room, and ``ok``: whether the target takes it.
+
+    A group asks for that of its shards with room that holds most of it, else for any shard with room.
+    """
+    rooms = F.array(*(F.lit(r).cast("long") for r in room))
+    ask = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.when(
+        F.get(rooms, s) >= F.col("n"), F.struct(F.get(F.col("held"), s).alias("held"), F.xxhash64("g1", "g2", s).alias("tie"), s.alias("s"))
+    )))
+    wanted = left.withColumn("target", ask["s"]).withColumn("part", F.pmod(F.xxhash64("g1", "g2", F.lit(turn)), F.lit(PARTS)).cast("int"))
     # groups are let in part by part, until the room of their target is used up
-    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("g1", "g2", F.lit(turn)), F.lit(PARTS)).cast("int"))
-    parts = wanted.groupBy("target", "part").agg(F.sum("movers").alias("n"))
+    parts = wanted.groupBy("target", "part").agg(F.sum("n").alias("m"))
     before = Window.partitionBy("target").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("target", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = parts.select("target", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("target", "part").orderBy("g1", "g2").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.broadcast(_room(linked, quota, spark).withColumnRenamed("shard", "target"))
-    admitted = (
-        wanted.withColumn("mine", F.coalesce(F.sum("movers").over(inside), F.lit(0)))
-        .join(F.broadcast(starts), ["target", "part"]).join(room, "target")
-        .withColumn("let_in", F.least("movers", F.greatest(F.lit(0), F.col("room") - F.col("start") - F.col("mine"))))
-        .where("let_in > 0").select("g1", "g2", "target", "movers", "let_in")
-    )
-    moved = linked.join(admitted, ["g1", "g2"], "left")
-    # a group that is let in only in part (at most one per shard) needs its movers numbered
-    some = moved.where("target is not null and shard <> target and let_in < movers")
-    chosen = numbered(some.select("row", "target", "let_in"), ["target"], ["row"], "k").where("k < let_in").select("row", F.lit(True).alias("picked"))
-    goes = F.col("target").isNotNull() & ((F.col("let_in") == F.col("movers")) | F.col("picked"))
-    return moved.join(chosen, "row", "left").select(
-        "doc_id", "row", "g1", "g2", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")
+    return (
+        wanted.withColumn("mine", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .join(F.broadcast(starts), ["target", "part"], "left")
+        .select("g1", "g2", "n", "held", "target", F.coalesce(F.col("start") + F.col("mine") + F.col("n") <= F.get(rooms, F.col("target")), F.lit(False)).alias("ok"))
     )
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _placed(store: Store, facts: DataFrame, quota: list[int], driver: int) -> tuple[DataFrame, list[int]]:
+    """(row, shard) of ``facts``, shard null for unlinked documents, and the room that these have in each shard."""
+    spark, shards, total = facts.sparkSession, len(quota), sum(quota)
+    label = F.pmod(F.xxhash64("row"), F.lit(shards))
+    groups = store.put(facts.groupBy("g1", "g2").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*(F.count(F.when(label == i, 1)) for i in range(shards))).alias("held")
+    ).where("n > 1"), "groups")
+    listed = lambda df: [((r["g1"], r["g2"]), r["n"], r["held"]) for r in df.collect()]
+    large = max(quota) + 1  # groups larger than a shard are always among the large ones
+    if driver:
+        large = min(large, max(2, -(-total // driver)))
+    whole, pieces, rest, room = place_large(listed(groups.where(F.col("n") >= large)), quota)
+    left, settled = groups.where(F.col("n") < large), []
+    turn, many = 0, left.count()
+    while many > driver:
+        now = store.put(_round(left, room, turn), f"round{turn}")
+        for r in now.where("ok").groupBy("target").agg(F.sum("n").alias("n")).collect():
+            room[r["target"]] -= r["n"]
+        settled.append(now.where("ok").select("g1", "g2", F.col("target").alias("shard")))
+        rest += listed(now.where("target is null"))  # no more than fill what little room is left
+        left, turn = now.where("target is not null and not ok").select("g1", "g2", "n", "held"), turn + 1
+        many = left.count()
+    at, unfit = place(listed(left) if many else [], room)
+    whole |= at
+    for key, n, _ in sorted(rest + unfit, key=lambda g: (-g[1], g[0])):  # these fit nowhere whole: fill the largest room first
+        while n:
+            s = max(range(shards), key=room.__getitem__)
+            take = min(room[s], n)
+            pieces.setdefault(key[:2], []).append((s, take))
+            room[s], n = room[s] - take, n - take
+    sizes = {}
+    for key, s in whole.items():
+        if key[2:]:
+            sizes[key[:2]] = s
+    rows = [(*k, [s], [0]) for k, s in whole.items() if not k[2:]]
+    for key, parts in pieces.items():
+        to, ends = [s for s, _ in parts], [0]
+        for _, take in parts:
+            ends.append(ends[-1] + take)
+        rows.append((*key, [*to, sizes[key]], ends[1:]) if key in sizes else (*key, to, ends[1:-1]))
+    known = spark.createDataFrame(rows, "g1 long, g2 long, to array<int>, ends array<long>")
+    docs = facts.select("row", "g1", "g2").join(F.broadcast(known), ["g1", "g2"], "left")
+    one = docs.where("size(to) = 1").select("row", F.col("to")[0].alias("shard"))
+    cut = numbered(docs.where("size(to) > 1"), ["g1", "g2"], ["row"], "k")
+    cut = cut.select("row", F.get("to", F.size(F.filter("ends", lambda e: e <= F.col("k")))).alias("shard"))
+    other = docs.where("to is null").select("row", "g1", "g2")
+    if settled:
+        other = other.join(reduce(DataFrame.union, settled), ["g1", "g2"], "left").select("row", "shard")
+    else:
+        other = other.select("row", F.lit(None).cast("int").alias("shard"))
+    return store.put(one.union(cut).union(other), "placed"), room
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, driver: int = PLACED) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of ``docs`` (doc_id, text, more); counts at most one apart.
 
     Equal texts are linked (null and empty alike are one group); a group larger than a shard fills several.
@@ -74,27 +166,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     ), "facts")
     total = facts.count()
     quota = [total // shards + (i < total % shards) for i in range(shards)]
-    groups = facts.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g1", "g2")
-    # the start: dealt by number, so within quota
-    dealt = numbered(facts.select("doc_id", "row", "g1", "g2").withColumn("_all", F.lit(0)), ["_all"], ["row"], "no", salts=1024)
-    dealt = dealt.select("doc_id", "row", "g1", "g2", F.pmod("no", F.lit(shards)).cast("int").alias("shard"))
-    linked = store.put(dealt.join(groups, ["g1", "g2"], "left_semi"), "linked0")
-    for i in range(rounds):
-        nxt = store.put(_round(linked, quota, i), f"linked{i + 1}")
-        moved = nxt.join(linked.select("row", F.col("shard").alias("was")), "row").where("shard <> was").count()
-        store.drop(f"linked{i}")
-        linked = nxt
-        if not moved:
-            break
-    room = [r["room"] for r in _room(linked, quota, spark).orderBy("shard").collect()]
-    single = facts.join(linked.select("row"), "row", "left_anti").select("doc_id", "row").withColumn("_all", F.lit(0))
+    placed, room = _placed(store, facts, quota, driver)
+    single = placed.where("shard is null").select("row").withColumn("_all", F.lit(0))
     ends, at = [], 0
     for r in room:
         at += r
         ends.append(at)
     free = numbered(single, ["_all"], ["row"], "no", salts=1024)
     free = free.select("row", F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in ends)), lambda e: e <= F.col("no"))).alias("shard"))
-    placed = facts.join(linked.select("row", "shard").union(free), "row")
-    return numbered(placed.select("doc_id", "row", "size", "text_crc32", "shard"), ["shard"], ["row"], "slot").select(
+    every = facts.join(placed.where("shard is not null").union(free), "row")
+    return numbered(every.select("doc_id", "row", "size", "text_crc32", "shard"), ["shard"], ["row"], "slot").select(
         "doc_id", "size", "text_crc32", "shard", "slot"
     )

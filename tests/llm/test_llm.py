@@ -234,3 +234,23 @@ def test_each_layout_has_its_template(spark):
     assert got == {i: f"Own text {i}" for i in range(24)}
     shared = [f"<body><div class={kinds[i % 4]}>Own text {i}</div><div class=c>{kinds[i % 4]} box</div></body>" for i in range(24)]
     assert {r.page_id: r.text for r in wrapper.extract(pages_of(spark, shared), 0).collect()} == {i: f"Own text {i}" for i in range(24)}
+
+
+def test_shards_under_skew(spark):
+    texts = ["hot"] * 800 + [f"ten {i // 10}" for i in range(450)] + [f"pair {i // 2}" for i in range(300)] + [f"own {i}" for i in range(850)]
+    random.Random(4).shuffle(texts)
+    for driver in (sharding.PLACED, 16, 0):
+        rows = sharding.shard(docs(spark, list(enumerate(texts))), driver=driver).collect()
+        on, slots = {}, {}
+        for r in rows:
+            on.setdefault(texts[r.doc_id], []).append(r["shard"])
+            slots.setdefault(r["shard"], []).append(r.slot)
+        assert len(rows) == len(texts) and all(sorted(s) == list(range(150)) for s in slots.values())
+        assert len(set(on.pop("hot"))) == 6
+        assert all(len(set(s)) == 1 for s in on.values())
+
+
+def test_shards_without_unlinked_documents(spark):
+    texts = [f"group {i // 5}" for i in range(400)]
+    rows = sharding.shard(docs(spark, list(enumerate(texts))), driver=0).collect()
+    assert len({(texts[r.doc_id], r["shard"]) for r in rows}) == 80 and sorted(r.slot for r in rows if r["shard"] == 3) == list(range(25))
