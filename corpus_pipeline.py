@@ -14,13 +14,23 @@ from crawlsight.llm.common import Store
 from crawlsight.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids of up to this many documents (8 bytes each) are sent to every executor.
+#: Rows of up to this many documents (8 bytes each) are sent to every executor.
 SENT_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for those in ``ids``; the texts stay where they are if the ids are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+def _known(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, which tells apart null and repeated ids with different texts; only exact repeats share one."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` as the operators take them, with the row for an id."""
+    return _known(docs).select(F.col("row").alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` and their row but for those in ``rows``; the texts stay where they are if these are few."""
+    return _known(docs).join(F.broadcast(rows) if rows.count() <= SENT_IDS else rows, "row", "left_anti")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,27 +40,34 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group that five-word shingles link at 0.8."""
-    groups = jaccard.similar(docs, n=5, num=80)
-    copies = Store(spark, "copies").put(groups.where("component_id <> doc_id").select("doc_id").distinct(), "ids")
-    return _without(docs, copies).dropDuplicates(["doc_id"])
+    """One document, that with the smallest doc_id, of each group that five-word shingles link at 0.8.
+
+    Null ids come last. Exact repeats, of id and text, are one; other documents under one id are documents each.
+    """
+    store = Store(spark, "copies")
+    groups = jaccard.similar(_by_row(docs), n=5, num=80).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    ids = store.put(groups.join(_known(docs).select("row", "doc_id").distinct(), "row"), "groups")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")).select(F.col("f.row").alias("row"))
+    copies = store.put(ids.select("row").join(first, "row", "left_anti"), "rows")
+    return _without(docs, copies).dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a run of ten words of a benchmark item."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, Store(spark, "leaks").put(found.where("contaminated").select("doc_id").distinct(), "ids"))
+    found = decontaminate.contamination(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = found.where("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    return _without(docs, Store(spark, "leaks").put(leaks, "rows")).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by the name of its kind."""
-    found, _ = secrets.scan(docs)
-    hits = Store(spark, "redactions").put(found.where(F.size("findings") > 0).select("doc_id", "blob", "findings").dropDuplicates(["doc_id", "blob"]), "hits")
+    found, _ = secrets.scan(_by_row(docs))
+    hits = found.where(F.size("findings") > 0).select(F.col("doc_id").alias("row"), "findings").dropDuplicates(["row"])
+    hits = Store(spark, "redactions").put(hits, "hits")
     few = hits.count() <= SENT_IDS // 10
-    rows = docs.withColumn("blob", secrets.address(F.coalesce("text", F.lit(""))))
     text = secrets.redact(F.col("text"), F.coalesce("findings", F.array().cast(secrets.FINDINGS)))
     return (
-        rows.join(F.broadcast(hits) if few else hits, ["doc_id", "blob"], "left")
+        _known(docs).join(F.broadcast(hits) if few else hits, "row", "left")
         .withColumn("text", text)
         .withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
         .select(*COLUMNS)

@@ -176,7 +176,7 @@ def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]
                 key = xxhash.xxh3_128_digest(h.tobytes())
                 h1, h2 = np.frombuffer(key, "i8").tolist()
                 groups = None
-                if len(h) and key not in done:
+                if len(h) and doc_id is not None and key not in done:  # a row without an id links with nothing
                     done.add(key)
                     own, groups = int(np.searchsorted(edges, len(h), side="right")) - 1, []
                     for g in range(own, -1, -1):

@@ -254,3 +254,37 @@ def test_shards_without_unlinked_documents(spark):
     texts = [f"group {i // 5}" for i in range(400)]
     rows = sharding.shard(docs(spark, list(enumerate(texts))), driver=0).collect()
     assert len({(texts[r.doc_id], r["shard"]) for r in rows}) == 80 and sorted(r.slot for r in rows if r["shard"] == 3) == list(range(25))
+
+
+def test_null_ids_leave_links_alone(spark):
+    words = prose(11, 60).split()
+    near = " ".join([*words[:-1], "other"])
+    rows = docs(spark, [(None, " ".join(words)), (1, " ".join(words)), (2, near)]).coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in jaccard.similar(rows, 4, 85).collect()} == {(None, None), (1, 1), (2, 1)}
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    leak = prose(21, 30)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    a, b, c, d = (prose(30 + i, 60) for i in range(4))
+    key = prose(40, 40) + " AKIA" + "A" * 16
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (7, a), (None, leak), (None, key), (8, None), (8, "")]
+    base = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    store = Store(spark, "t")
+    one, at = base, str(tmp_path)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    one = store.put(cp.good_documents(spark, base, at), "good")
+    assert texts(one) == sorted(rows, key=str)
+    one = store.put(cp.one_of_each(spark, one, at), "one")
+    left = [(None, b), (5, c), (5, d), (7, a), (None, leak), (None, key), (8, None), (8, "")]
+    assert texts(one) == sorted(left, key=str)
+    one = store.put(cp.decontaminated(spark, one, at), "clean")
+    left.remove((None, leak))
+    assert texts(one) == sorted(left, key=str)
+    one = store.put(cp.without_secrets(spark, one, at), "safe")
+    assert texts(one) == sorted(((i, t.replace("AKIA" + "A" * 16, "[access]") if t else t) for i, t in left), key=str)
+    packed = cp.packed(spark, one, at).collect()
+    assert sum(r.piece == 0 for r in packed) == len(left)
