@@ -192,7 +192,7 @@ def passage_flaws(spark, sf_dir):
   SELECT page_id, host, liftable, facts_found, lead, passages, facts, structure, CASE WHEN shell THEN 0 ELSE lead + passages + facts + structure END AS part_score FROM pts""")
 def page_citability(spark, sf_dir):
     c = citability.page_citability(_signals(spark, sf_dir))
-    return c.select("page_id", "host", "liftable", "facts_found", "lead", "passages", "facts", "structure", F.when(F.col("score") == 0, 0).otherwise(F.col("score") - F.col("questions")).alias("part_score"))
+    return c.select("page_id", "host", "liftable", "facts_found", "lead", "passages", "facts", "structure", F.when(F.col("score") == 0, 0).otherwise(F.col("score") - F.col("questions") - F.col("provenance") - F.col("schema")).alias("part_score"))
 
 
 @query()

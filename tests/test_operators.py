@@ -105,3 +105,21 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.start, r.n) for r in spark.table("w").collect()}
     assert got and got <= {(r.start, r.n) for r in jobs.windowed_counts(events).collect()}
+
+
+def test_provenance_and_schema_are_scored(spark):
+    from crawlsight.operators import citability, signals
+
+    data = '<script type="application/ld+json">{"@graph": [{"@type" : ["Article", "NewsArticle"], "author": {"@type": "Person"}, "datePublished": "2024"}]}</script>'
+    bodies = [
+        data, "<time datetime='2024-01-01'>then</time>", "<meta content='Ann' name='author'>", "<a href=/a rel=\"author\">Ann</a>",
+        "<script type='application/ld+json'>{\"@type\": \"Thing\", oops}</script>", "<!-- <time datetime=x> --><meta name=\"author\" content=\"\">plain",
+    ]
+    pages = spark.createDataFrame([(i, f"https://a.test/{i}", f"<html><body>{b}<p>Text</p></body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    s = signals.page_signals(pages)
+    got = {r.page_id: (r.has_date, r.has_author, sorted(r.jsonld_types)) for r in s.collect()}
+    assert got == {
+        0: (True, True, ["Article", "NewsArticle", "Person"]), 1: (True, False, []), 2: (False, True, []), 3: (False, True, []), 4: (False, False, []), 5: (False, False, []),
+    }
+    points = {r.page_id: (r.provenance, r.schema) for r in citability.page_citability(s).collect()}
+    assert points == {0: (10, 10), 1: (5, 0), 2: (5, 0), 3: (5, 0), 4: (0, 0), 5: (0, 0)}
