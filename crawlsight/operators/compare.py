@@ -78,3 +78,12 @@ def fixed_and_broke(checks: DataFrame) -> DataFrame:
     return failing.withColumn("_b", before).where("_b is not null").select(
         "host", "run", F.array_except("_b", "failing").alias("fixed"), F.array_except("failing", "_b").alias("broke")
     )
+
+
+def lost_questions(best: DataFrame) -> DataFrame:
+    """``best`` (query_id, host, score, coverage, more), a row per query and host, with lost.
+
+    A host loses a question to another whose best page covers more of it, or as much with a higher score.
+    """
+    top = best.groupBy("query_id").agg(F.max(F.struct("coverage", "score")).alias("_top"))
+    return best.join(top, "query_id").withColumn("lost", F.col("_top") > F.struct("coverage", "score")).drop("_top")

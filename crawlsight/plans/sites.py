@@ -109,6 +109,20 @@ def briefs(spark, sf_dir):
     return br.briefs(hits).select("host", "rank", "query_id", "reason", "action", F.size("missing_terms").alias("n_missing"))
 
 
+@query(f"""WITH {_BEST}, t AS (SELECT query_id, max(c) AS tc, arg_max(s, (c, s)) AS ts FROM best GROUP BY query_id),
+  g AS (SELECT host, query_id, b.text AS query, len(tokens) - len(list_distinct(found)) AS n, list_sort(tokens) AS k, c,
+    CASE WHEN tc > c OR (tc = c AND ts > s) THEN 'lost' ELSE status END AS reason
+    FROM best JOIN t USING (query_id) JOIN asked USING (query_id) JOIN found USING (query_id, page_id) JOIN benchmark b ON b.item_id = query_id),
+  one AS (SELECT host, k, arg_min(query_id, query_id) AS query_id, arg_min(query, query_id) AS query, arg_min(n, query_id) AS n, arg_min(reason, query_id) AS reason, arg_min(c, query_id) AS c FROM g WHERE reason <> 'answered' GROUP BY host, k),
+  r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY CASE reason WHEN 'lost' THEN 0 WHEN 'missing' THEN 1 ELSE 2 END, n DESC, query, query_id)::INT AS rank FROM one)
+  SELECT host, rank, query_id, reason, CASE WHEN c >= 0.4 THEN 'extend' ELSE 'write' END AS action, n::INT AS n_missing FROM r WHERE rank <= 8""")
+def briefs_with_rivals(spark, sf_dir):
+    """As ``briefs``, with the questions that another host answers better as lost."""
+    pages = _signals(spark, sf_dir).select("page_id", "url")
+    hits = compare.lost_questions(_best(spark, sf_dir)).join(_questions(spark, sf_dir), "query_id").join(pages, "page_id")
+    return br.briefs(hits).select("host", "rank", "query_id", "reason", "action", F.size("missing_terms").alias("n_missing"))
+
+
 @query(f"""WITH {_SIGNALS}, {_INDEX}, {_SCORES}, found AS (SELECT query_id, page_id, list(token) AS found FROM qs JOIN idx USING (term) GROUP BY ALL),
   rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 1000000.0 + 0.5) DESC, page_id) AS rank FROM sc),
   top AS (SELECT query_id, page_id, {_VERDICT} AS status FROM rk WHERE rank = 1),

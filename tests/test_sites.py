@@ -90,3 +90,14 @@ def test_briefs(spark):
     blocked = spark.createDataFrame([("a", "access")], "host string, layer string")
     assert {r.layer: (r.state, r.gaps) for r in briefs.stage_states(checks, blocked).collect()} == {"content": ("fail", 2), "access": ("fail", 0), "entity": ("na", 0)}
     assert [r.check_id for r in briefs.gaps(checks).orderBy("rank").collect()] == ["h1", "lang"]
+
+
+def test_lost_questions(spark):
+    best = spark.createDataFrame(
+        [(1, "a", 2.0, 0.8, "answered"), (1, "b", 3.0, 0.8, "answered"), (2, "a", 1.0, 0.5, "weak"), (2, "b", 1.0, 0.5, "weak"), (3, "a", 9.0, 0.1, "missing"), (3, "b", 1.0, 0.9, "answered")],
+        "query_id int, host string, score double, coverage double, status string",
+    )
+    lost = compare.lost_questions(best)
+    assert {(r.query_id, r.host) for r in lost.where("lost").collect()} == {(1, "a"), (3, "a")}
+    hits = lost.withColumns({"query": F.concat(F.lit("word"), "query_id"), "url": F.lit(""), "missing_terms": F.array(F.lit("x"))})
+    assert [(r.query_id, r.reason) for r in briefs.briefs(hits).where("host = 'a'").orderBy("rank").collect()] == [(1, "lost"), (3, "lost"), (2, "weak")]
