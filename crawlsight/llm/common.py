@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,95 +120,211 @@ def components(store: Store, edges: DataFrame, name: str = "cc") -> DataFrame:
 
 # ---------------------------------------------------------------- token ids
 
-_ODD = re.compile("[\x1c-\x1f]")
 _MARKS = ".,;:!?*%$#&|"
 _SPACE = re.compile("[ \t\n\r]+")
+#: Letters below this code point are composed already and are lower-cased alike everywhere.
+_PLAIN = "\u0250"
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + size] one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+class _Codes(dict):
+    """Numbers words in the order in which they are first asked for; ``new`` lists those since it was last emptied."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, through the tokenizers library.
+    """Token ids of texts through the tokenizers library.
 
     With ``by_word`` the vocabulary must drop white space and never join across it (the 49k word vocabulary
-    does); each distinct word is then encoded once and remembered, at most ``limit`` of them at a time.
+    does); each distinct word is then encoded once and remembered. Of more than ``limit`` words the less used
+    half is forgotten.
     """
 
-    #: Characters of texts whose new words are encoded together.
-    AT_ONCE = 300_000
+    #: Characters that are split into words at a time.
+    AT_ONCE = 3_000_000
 
-    def __init__(self, path: str, by_word: bool = True, limit: int = 900_000):
+    def __init__(self, path: str, by_word: bool = True, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer, self.by_word, self.limit = Tokenizer.from_file(path), by_word, limit
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: Iterable[str]) -> None:
+        self.light = None
+        if by_word:
+            with open(path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            suffix = model.get("end_of_word_suffix")
+            if suffix:  # the same model without the steps that lower-case letters don't need
+                merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+                self.light = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=suffix))
+                self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+                self.ends_word = np.zeros(max(model["vocab"].values()) + 1, bool)
+                self.ends_word[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self._reset(_Codes(), np.zeros(0, "<u4"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"))
+
+    def _reset(self, known: _Codes, pool: np.ndarray, start: np.ndarray, size: np.ndarray, used: np.ndarray) -> None:
+        """``known``: words and their codes; the ids of code c are pool[start[c] : start[c] + size[c]]."""
+        self.known, self.pool, self.filled, self.start, self.size, self.used = known, pool, len(pool), start, size, used
+
+    def _append(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        end = self.filled + len(ids)
+        if end > len(self.pool):
+            self.pool = np.resize(self.pool, max(end, 2 * len(self.pool)))
+        self.pool[self.filled : end] = ids
+        self.start[codes] = self.filled + np.cumsum(sizes) - sizes
+        self.size[codes] = sizes
+        self.filled = end
+
+    def _learn(self) -> None:
         """Encode new words. Letters and the marks after them are encoded apart, so a word is encoded once for
         all its endings; the vocabulary's own splitting parts them as well."""
-        joined, parts = [], set()
-        for w in words:
+        known = self.known
+        new, at = known.new, len(known) - len(known.new)
+        joined, letters, other = [], [], []
+        for w in new:  # grows while parts of words are added
             core = w.rstrip(_MARKS)
-            plain = core.isascii()
-            if core.isalpha() and (plain or max(core) < "\u0250"):
-                tail = w[len(core) :]
-                low = core.lower() if plain else core
-                if tail or low != w:
-                    joined.append((w, low, tail))
-                    parts.update((low, tail) if tail else (low,))
-                    continue
-            parts.add(w)
-        self._encode_new(parts.difference(self.known))
-        for w, low, tail in joined:
-            self.known[w] = self.known[low] + self.known[tail] if tail else self.known[low]
-
-    def _encode_new(self, words: Iterable[str]) -> None:
+            if core.isalpha() and (core.isascii() or max(core) < _PLAIN):
+                low = core.lower()
+                if low == w:
+                    letters.append(at)
+                elif low.isalpha():
+                    joined.append((at, known[low], known[w[len(core) :]]))
+                else:
+                    other.append(at)
+            else:
+                other.append(at)
+            at += 1
+        first = at - len(new)
+        if at > len(self.start):
+            more = max(at, 2 * len(self.start)) - len(self.start)
+            self.start, self.size, self.used = (np.concatenate([x, np.zeros(more, "i8")]) for x in (self.start, self.size, self.used))
+        if not self.light:
+            letters, other = [], sorted(letters + other)
+        for i in range(0, len(letters), 100_000):
+            self._encode_letters(letters[i : i + 100_000], new, first)
+        self._encode_other(other, new, first)
+        if joined:
+            codes, low, tail = np.array(joined).T
+            sizes = self.size[[low, tail]]
+            order = np.array([low, tail]).T.ravel()
+            self._append(codes, gathered(self.pool, self.start[order], self.size[order]), sizes.sum(0))
+        new.clear()
+
+    def _encode_letters(self, codes: list[int], new: list[str], first: int) -> None:
+        """Words of lower-case letters: each ends with its one id that ends a word."""
+        words = [new[c - first] for c in codes]
+        found = self.light.encode_batch_fast([" ".join(words[i : i + 5000]) for i in range(0, len(words), 5000)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(codes):
+            self._encode_other(codes, new, first)
+        else:
+            self._append(np.array(codes), ids, np.diff(ends, prepend=0))
+
+    def _encode_other(self, codes: list[int], new: list[str], first: int) -> None:
         plain = []
-        for w in words:
-            if "<|" in w or w.isspace():
-                self.known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        for c in codes:
+            w = new[c - first]
+            if "<|" in w or not w or w.isspace():
+                ids = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4")
+                self._append(np.array([c]), ids, np.array([len(ids)]))
             else:
-                plain.append(w)
+                plain.append(c)
         for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
+            part = [new[c - first] for c in plain[i : i + 5000]]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw = np.asarray(found.ids, "<u4").tobytes()
             begins = np.cumsum([0] + [len(w) + 1 for w in part])
-            cuts = np.searchsorted(np.fromiter((o[0] for o in found.offsets), "i8"), begins) * 4
-            for w, at, end in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.known[w] = raw[at:end]
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+            cuts = np.searchsorted(np.fromiter((o[0] for o in found.offsets), "i8"), begins)
+            self._append(np.array(plain[i : i + 5000]), np.asarray(found.ids, "<u4"), np.diff(cuts))
+
+    def _forget(self) -> None:
+        n = len(self.known)
+        keep = np.sort(np.argpartition(-self.used[:n], self.limit // 2)[: self.limit // 2])
+        words = list(self.known)
+        start, size, used = self.start[keep], self.size[keep], self.used[keep] // 2
+        pool = gathered(self.pool, start, size)
+        self._reset(_Codes([words[i] for i in keep.tolist()]), pool, np.cumsum(size) - size, size, used)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text in parts that end at white space."""
+        at = 0
+        while len(text) - at > self.AT_ONCE:
+            space = _SPACE.search(text, at + self.AT_ONCE)
+            if not space:
+                break
+            yield text[at : space.start()]
+            at = space.end()
+        yield text[at:] if at else text
+
+    def encode(self, texts: Sequence[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, stops): all texts' ids (unsigned 32-bit), each text's followed by ``end`` if given, and where each text's stop."""
+        tail = np.array([] if end is None else [end], "<u4")
         if not self.by_word:
             found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
-            return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-        out: list[bytes] = []
-        held: list[tuple[int, list[str]]] = []  # texts with words not yet known; those of several are learnt together
+            parts = [x for e in found for x in (np.asarray(e.ids, "<u4"), tail)]
+            return np.concatenate(parts) if parts else tail[:0], np.cumsum([len(e.ids) + len(tail) for e in found]).astype("i8")
+        out, totals = [], np.full(len(texts), len(tail), "i8")
+        parts: list[str] = []
+        owners: list[int] = []  # the text of each part
         chars = 0
-        for text in texts:
-            words = (_SPACE.split(text) if _ODD.search(text) else text.split()) if text else []
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                held.append((len(out), words))
-                out.append(b"")
-                chars += len(text)
+        for i, text in enumerate(texts):
+            for part in self._parts(text) if text else ():
+                parts.append(part)
+                owners.append(i)
+                chars += len(part)
                 if chars > self.AT_ONCE:
-                    self._fill(out, held)
-                    chars = 0
-        self._fill(out, held)
-        return out
-
-    def _fill(self, out: list[bytes], held: list[tuple[int, list[str]]]) -> None:
-        every = set().union(*(words for _, words in held))
-        new = every.difference(self.known)
+                    out.append(self._encoded(parts, owners, totals))
+                    parts, owners, chars = [], [], 0
+        out.append(self._encoded(parts, owners, totals))
+        ids, stops = np.concatenate(out), np.cumsum(totals)
+        if len(tail):
+            ids = np.insert(ids, stops - np.arange(1, len(stops) + 1), end)
+        return ids, stops
+
+    def _encoded(self, parts: list[str], owners: list[int], totals: np.ndarray) -> np.ndarray:
+        """The ids of ``parts``; adds how many each owner has of them to ``totals``."""
+        if not parts:
+            return np.zeros(0, "<u4")
+        # only plain spaces part words here; what other white space a word holds, the library drops
+        split = pc.split_pattern(pa.array([p.replace("\n", " ").replace("\t", " ").replace("\r", " ") for p in parts], pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        codes = np.fromiter(map(self.known.__getitem__, words), "i8", len(words))
+        if self.known.new:
+            self._learn()
+        at = coded.indices.to_numpy()
+        self.used[codes] += np.bincount(at, minlength=len(words))
+        codes = codes[at]
+        sizes = self.size[codes]
+        before = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
+        np.add.at(totals, owners, np.diff(before))
+        ids = gathered(self.pool, self.start[codes], sizes)
         if len(self.known) > self.limit:
-            self.known.clear()
-            new = every
-        if new:
-            self._learn(new)
-        for at, words in held:
-            out[at] = b"".join(map(self.known.__getitem__, words))
-        held.clear()
+            self._forget()
+        return ids
+
+
+def binaries(ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The runs ids[start : stop] as little-endian unsigned 32-bit bytes; runs follow one another without gaps."""
+    if not len(starts):
+        return pa.array([], pa.binary())
+    offsets = np.concatenate([starts[:1], stops]) * 4
+    if offsets[-1] >= 2**31:
+        return pa.array([ids[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,13 @@
 
 A rolling hash over the ids cuts each document's stream into chunks, so equal passages give equal chunks.
 Chunks are addressed by SHA-256 and stored once. A recipe per document, in ascending doc_id order, lists its
-chunks and carries the Merkle root over them; a manifest carries roots over blocks of recipes.
+chunks and carries the Merkle root over them; a manifest carries the tree above.
 
 Files below a store's folder, all Parquet: ``chunks`` (digest, n, ids: little-endian unsigned, of 16 bits each where
 all are below 65,536, else of 32; addresses are always of the 32-bit form),
 ``recipes`` (part, block, doc_id, start, n_tokens, root, chunks[digest, n]; ascending), ``manifest`` (part,
-block, first_doc, last_doc, docs, tokens, root).
+block, first_doc, last_doc, docs, tokens, root), ``tree`` (part, docs, tokens, root): Merkle roots over the recipes
+of a block, the blocks of a part and, by ``root``, the parts.
 """
 
 from __future__ import annotations
@@ -40,10 +41,13 @@ RECIPES = (
 )
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream, by content: a shift in front of a passage leaves its inner cuts."""
-    if len(ids) <= LEAST:
-        return [len(ids)]
+def cut_points(ids: np.ndarray, stops: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each stream, counted from its start, by content: a shift in front of a passage leaves
+    its inner cuts. ``ids`` holds the streams one after another, ``stops`` where each ends.
+
+    No chunk but the last of a stream has less than LEAST ids, more than the rolling hash sees, so that the hash
+    runs over all streams at once without changing a cut.
+    """
     mixed = ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -52,16 +56,27 @@ def cut_points(ids: np.ndarray) -> list[int]:
         wider = rolled.copy()
         wider[seen:] += rolled[:-seen] << np.uint64(seen)
         rolled, seen = wider, 2 * seen
-    wanted = (np.flatnonzero(rolled >> np.uint64(64 - MASK_BITS) == 0) + 1).tolist()
-    ends, begin = [], 0
-    for at in [*wanted, len(ids)]:
-        while at - begin > MOST:
-            begin += MOST
-            ends.append(begin)
-        if at - begin >= LEAST or at == len(ids) and at > begin:
-            begin = at
-            ends.append(at)
-    return ends
+    wanted = np.flatnonzero(rolled >> np.uint64(64 - MASK_BITS) == 0) + 1
+    upto = np.searchsorted(wanted, stops).tolist()
+    out, start, first = [], 0, 0
+    for stop, last in zip(stops.tolist(), upto, strict=True):
+        ends, begin = [], start
+        if stop - start > LEAST:
+            for at in wanted[first:last].tolist():
+                while at - begin > MOST:
+                    begin += MOST
+                    ends.append(begin - start)
+                if at - begin >= LEAST:
+                    begin = at
+                    ends.append(at - start)
+            while stop - begin > MOST:
+                begin += MOST
+                ends.append(begin - start)
+        if stop > begin:
+            ends.append(stop - start)
+        out.append(ends)
+        start, first = stop, last
+    return out
 
 
 def merkle_root(digests: Sequence[bytes]) -> bytes:
@@ -73,9 +88,8 @@ def merkle_root(digests: Sequence[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-def _narrow(raw: bytes) -> bytes:
-    ids = np.frombuffer(raw, "<u4")
-    return ids.astype("<u2").tobytes() if ids.max() < 65536 else raw
+def _narrow(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2").tobytes() if ids.max() < 65536 else ids.tobytes()
 
 
 def _wide(raw: bytes, n: int) -> bytes:
@@ -83,27 +97,33 @@ def _wide(raw: bytes, n: int) -> bytes:
 
 
 def _coded(docs: DataFrame, tokenizer_path: str, end_id: int, by_word: bool) -> DataFrame:
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, by_word)
         sent: set[bytes] = set()  # chunks this task has passed on; forgetting some only passes them on again
-        for batch in slices(batches):
-            rows = []
-            for doc_id, raw in zip(batch[0].to_pylist(), enc.encode(batch[1].to_pylist()), strict=True):
-                raw += end
-                chunks, begin = [], 0
-                for stop in cut_points(np.frombuffer(raw, "<u4")):
-                    part = raw[4 * begin : 4 * stop]
+        for batch in slices(batches, 1024):
+            ids, stops = enc.encode(batch[1].to_pylist(), end_id)
+            ids = np.ascontiguousarray(ids, "<u4")
+            starts = np.concatenate([[0], stops[:-1]]).astype("i8")
+            digests, sizes, parts, roots, ends_at = [], [], [], [], [0]
+            for start, ends in zip(starts.tolist(), cut_points(ids, stops), strict=True):
+                begin, mine = start, []
+                for end in ends:
+                    part = ids[begin : start + end]
                     digest = hashlib.sha256(part).digest()
-                    chunks.append({"digest": digest, "n": stop - begin, "ids": None if digest in sent else _narrow(part)})
+                    mine.append(digest)
+                    sizes.append(len(part))
+                    parts.append(None if digest in sent else _narrow(part))
                     sent.add(digest)
-                    begin = stop
-                rows.append((doc_id, len(raw) // 4, merkle_root([c["digest"] for c in chunks]), chunks))
+                    begin = start + end
+                digests += mine
+                roots.append(merkle_root(mine))
+                ends_at.append(len(digests))
             if len(sent) > 500_000:
                 sent.clear()
-            cols = zip(*rows) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CODED.types, strict=True)], schema=_CODED)
+            chunks = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((digests, sizes, parts), _CHUNK, strict=True)], fields=list(_CHUNK))
+            yield pa.RecordBatch.from_arrays(
+                [batch[0], pa.array(stops - starts), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), chunks)], schema=_CODED
+            )
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n:int,ids:binary>>"
@@ -144,17 +164,42 @@ def write(
         .select(*RECIPE_COLUMNS)
     )
     recipes.repartitionByRange("start").sortWithinPartitions("start").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/recipes")
-    read_recipes(spark, path).groupBy("part", "block").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
-        F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"), _block_root().alias("root"),
-    ).write.mode("overwrite").parquet(f"{path}/manifest")
+    _blocks(read_recipes(spark, path)).write.mode("overwrite").parquet(f"{path}/manifest")
+    _parts(spark.read.parquet(f"{path}/manifest")).write.mode("overwrite").parquet(f"{path}/tree")
     store.drop()
 
 
-def _block_root():
-    """SHA-256 over the roots of a block's documents (at most BLOCK), in order."""
-    roots = F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("h"))))
-    return F.sha2(F.array_join(F.transform(roots, lambda x: x.h), "").cast("binary"), 256)
+def _rooted(grouped: DataFrame) -> DataFrame:
+    """``grouped`` with the Merkle root of the roots in its column ``roots``, array of (at, root), in order of at."""
+    plain = [c for c in grouped.columns if c != "roots"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [merkle_root([x["root"] for x in r]) for r in batch["roots"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in plain), pa.array(found, pa.binary())], names=[*plain, "root"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.select(*plain).schema.fields)
+    return grouped.select(*plain, F.array_sort("roots").alias("roots")).mapInArrow(run, f"{schema}, root binary")
+
+
+def _blocks(recipes: DataFrame) -> DataFrame:
+    """A row per block of at most BLOCK recipes, with the Merkle root over their roots."""
+    return _rooted(recipes.groupBy("part", "block").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("docs"),
+        F.sum("n_tokens").alias("tokens"), F.collect_list(F.struct(F.col("start").alias("at"), "root")).alias("roots"),
+    ))
+
+
+def _parts(manifest: DataFrame) -> DataFrame:
+    """A row per part of the store: the Merkle root over its blocks, which are as many as a task's recipes / BLOCK."""
+    return _rooted(manifest.groupBy("part").agg(
+        F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.collect_list(F.struct(F.col("block").alias("at"), "root")).alias("roots"),
+    ))
+
+
+def root(spark, path: str) -> bytes:
+    """The store's Merkle root, over its parts (a few numbers and 32 bytes each)."""
+    return merkle_root([r["root"] for r in spark.read.parquet(f"{path}/tree").orderBy("part").select("root").collect()])
 
 
 def read_recipes(spark, path: str) -> DataFrame:
@@ -213,49 +258,59 @@ def crc_joined(crcs: Sequence[int], sizes: Sequence[int]) -> int:
     return total
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-
-
-def digests(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) read back from a store, with every address and root verified.
-
-    Each chunk's bytes are read once, checked against the address and summed up as a CRC; only addresses, sizes
-    and CRCs move. A document's CRC is that of its chunks put together in recipe order; its Merkle root is
-    computed again from the addresses. ``documents`` gives the ids themselves.
-    """
-    chunks = _checked_chunks(spark, path, False).select("digest", "size", "crc")
+def _rebuilt(spark, path: str, with_ids: bool) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of each document out of its recipe, its root and every address verified."""
+    chunks = _checked_chunks(spark, path, with_ids).select("digest", "size", "crc", *(["ids"] if with_ids else []))
     steps = read_recipes(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("at", "c")).select(
         "doc_id", "start", "n_tokens", "root", "at", F.col("c.digest").alias("digest")
     )
+    # left, so that a missing chunk is noticed
     rows = steps.join(chunks, "digest", "left").groupBy("start", "doc_id", "n_tokens", "root").agg(
-        F.array_sort(F.collect_list(F.struct("at", "digest", "size", "crc"))).alias("steps")
+        F.array_sort(F.collect_list(F.struct("at", "digest", "size", "crc", *(["ids"] if with_ids else [])))).alias("steps")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                steps = r["steps"]
-                if any(s["crc"] is None for s in steps) or merkle_root([s["digest"] for s in steps]) != r["root"] or sum(s["size"] for s in steps) != r["n_tokens"]:
-                    raise ValueError(f"document {r['doc_id']} cannot be put together from the store")
-                out.append(crc_joined([s["crc"] for s in steps], [4 * s["size"] for s in steps]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(out, pa.int64())], schema=_DIGEST)
+            lists = batch["steps"]
+            flat, ends = lists.values, lists.offsets.to_numpy()
+            digests, sizes, crcs = (flat.field(i).to_numpy(zero_copy_only=False).tolist() for i in (1, 2, 3))
+            bodies = flat.field(4).to_numpy(zero_copy_only=False).tolist() if with_ids else None
+            roots, n_tokens = batch["root"].to_pylist(), batch["n_tokens"].to_pylist()
+            crc, whole = [], []
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                mine = sizes[a:b]
+                if any(c is None or c != c for c in crcs[a:b]) or sum(mine) != n_tokens[i] or merkle_root(digests[a:b]) != roots[i]:
+                    raise ValueError(f"document {batch['doc_id'][i]} cannot be put together from the store")
+                crc.append(crc_joined([int(c) for c in crcs[a:b]], [4 * int(n) for n in mine]))
+                if with_ids:
+                    whole.append(b"".join(bodies[a:b]))
+            out = [batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(crc, pa.int64())]
+            if with_ids:
+                out.append(pa.array(whole, pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
+
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def digests(spark, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) read back from a store, with every address and root verified.
+
+    Each chunk's bytes are read once, checked against the address and summed up as a CRC; only addresses, sizes
+    and CRCs move. A document's CRC is that of its chunks put together in recipe order; its Merkle root is
+    computed again from the addresses. A chunk that is missing or differs is an error. ``documents`` gives the
+    ids themselves.
+    """
+    return _rebuilt(spark, path, False)
 
 
 def documents(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) put together from a store; ids little-endian unsigned 32-bit."""
-    chunks = _checked_chunks(spark, path, True).select("digest", "ids")
-    steps = read_recipes(spark, path).select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("at", "c"))
-    rows = steps.select("doc_id", "start", "n_tokens", "at", F.col("c.digest").alias("digest")).join(chunks, "digest")
-    ordered = F.array_sort(F.collect_list(F.struct("at", F.hex("ids").alias("h"))))
-    return rows.groupBy("start", "doc_id", "n_tokens").agg(ordered.alias("o")).select(
-        "doc_id", "start", "n_tokens", F.unhex(F.array_join(F.transform("o", lambda x: x.h), "")).alias("ids")
-    )
+    """(doc_id, start, n_tokens, ids) put together from a store and verified as by ``digests``; ids little-endian unsigned 32-bit."""
+    return _rebuilt(spark, path, True).drop("ids_crc32")
 
 
 def verify_manifest(spark, path: str) -> DataFrame:
-    """Blocks of recipes whose root differs from the manifest's; empty if the store is whole."""
-    now = read_recipes(spark, path).groupBy("part", "block").agg(_block_root().alias("now"))
-    return spark.read.parquet(f"{path}/manifest").join(now, ["part", "block"], "full").where("not (root <=> now)")
+    """Nodes of the manifest's tree, (part, block), block null for a part, whose root differs from what is below; empty if the store is whole."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    blocks = manifest.alias("m").join(_blocks(read_recipes(spark, path)).alias("n"), ["part", "block"], "full").where("not (m.root <=> n.root)")
+    parts = spark.read.parquet(f"{path}/tree").alias("m").join(_parts(manifest).alias("n"), "part", "full").where("not (m.root <=> n.root)")
+    return blocks.select("part", "block").union(parts.select("part", F.lit(None).cast("int")))

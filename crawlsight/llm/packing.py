@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, encoder, numbered, slices
+from .common import Store, binaries, encoder, numbered, slices
 
 CAPACITY, END_ID = 4096, 1
 
@@ -96,21 +96,20 @@ def token_pieces(
 
     ids: little-endian unsigned 32-bit. A null or empty text has only the end id. Repeated rows stay apart.
     """
-    end = np.array([end_id], "<u4").tobytes()
-    step = 4 * capacity
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, by_word)
-        for batch in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch[0].to_pylist(), enc.encode(batch[1].to_pylist()), strict=True):
-                ids += end
-                for at in range(0, len(ids), step):
-                    part = ids[at : at + step]
-                    rows.append((doc_id, at // step, at // 4, len(part) // 4, part))
+        for batch in slices(batches, 1024):
+            ids, stops = enc.encode(batch[1].to_pylist(), end_id)
+            sizes = np.diff(stops, prepend=0)
+            n = -(-sizes // capacity)  # pieces of each document
+            of = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(sizes[of] - start, capacity)
+            at = stops[of] - sizes[of] + start
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types, strict=True)], schema=_PIECE
-            ) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in _PIECE.types], schema=_PIECE)
+                [batch[0].take(pa.array(of)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), binaries(ids, at, at + length)], schema=_PIECE
+            )
 
     return docs.select("doc_id", "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids binary"

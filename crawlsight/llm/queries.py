@@ -79,6 +79,8 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Store(spark, "op10").path("store")
     idstore.write(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    if idstore.verify_manifest(spark, path).limit(1).count():
+        raise ValueError("the store's manifest doesn't hold")
     return idstore.digests(spark, path)
 
 

@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("crawlsight.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from crawlsight.llm import chat, decontaminate, idstore, jaccard, lattice, packing, quality, secrets, sharding, wrapper  # noqa: E402
-from crawlsight.llm.common import Store  # noqa: E402
+from crawlsight.llm.common import Store, WordEncoder  # noqa: E402
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, source string, lang string, _n int, row string, sig string, n int, c string"
@@ -86,6 +87,76 @@ def test_id_store_round_trip(spark, odd, tmp_path):
     assert idstore.digests(spark, empty).count() == 0
 
 
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    return [e.ids + [1] for e in Tokenizer.from_file(TOKENIZER).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def fuzz(seed, n):
+    r = random.Random(seed)
+    letters = "abAB .,'<|>éÉİßſKΣσς\x1c\x1f\x85\xa0\u3000\x0b  \n\t\r09½漢字ªﬁ́éḀ😀-_"
+    made = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(n)]
+    return [*made, None, "", "<|endoftext|> hi", "don't WE'LL", "x" * 5000, "Ab, " * 4000]
+
+
+def test_encoder_is_the_library():
+    for limit, at_once in ((1_000_000, 3_000_000), (300, 500)):
+        enc = WordEncoder(TOKENIZER, limit=limit)
+        enc.AT_ONCE = at_once
+        for seed in range(3):
+            texts = fuzz(seed, 400) + [prose(seed, 300)]
+            ids, stops = enc.encode(texts, 1)
+            assert [x.tolist() for x in np.split(ids, stops[:-1])] == library_ids(texts)
+    ids, stops = enc.encode([], 1)
+    assert len(ids) == len(stops) == 0
+    whole = WordEncoder(TOKENIZER, by_word=False).encode(texts, 1)
+    assert [x.tolist() for x in np.split(whole[0], whole[1][:-1])] == library_ids(texts)
+
+
+def test_pieces_and_store_hold_the_librarys_ids(spark):
+    texts = [*fuzz(7, 100), prose(1, 5000)]
+    wanted = library_ids(texts)
+    pieces = packing.token_pieces(docs(spark, list(enumerate(texts))), TOKENIZER).collect()
+    got = {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.piece)):
+        assert r.start == len(got.setdefault(r.doc_id, [])) and r.length == len(r.ids) // 4
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == dict(enumerate(wanted))
+    path = Store(spark, "t").path("ids")
+    idstore.write(docs(spark, list(enumerate(texts))), path, TOKENIZER)
+    read = {r.doc_id: (r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in idstore.documents(spark, path).collect()}
+    before = np.cumsum([0] + [len(w) for w in wanted]).tolist()
+    assert read == {i: (before[i], w) for i, w in enumerate(wanted)}
+    assert len(idstore.root(spark, path)) == 32
+
+
+def test_lost_chunks_are_noticed(spark):
+    path, other = Store(spark, "t").path("a"), Store(spark, "t").path("b")
+    idstore.write(docs(spark, [(i, prose(i, 400)) for i in range(6)]), path, TOKENIZER)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    gone = chunks.orderBy("digest").first().digest
+    chunks.where(F.col("digest") != F.lit(gone)).write.parquet(f"{other}/chunks")
+    spark.read.parquet(f"{path}/recipes").write.parquet(f"{other}/recipes")
+    for read in (idstore.digests, idstore.documents):
+        with pytest.raises(Exception, match="cannot be put together"):
+            read(spark, other).collect()
+    spark.read.parquet(f"{path}/manifest").write.parquet(f"{other}/manifest")
+    spark.read.parquet(f"{path}/tree").write.parquet(f"{other}/tree")
+    assert idstore.verify_manifest(spark, other).count() == 0
+    spark.read.parquet(f"{path}/recipes").where("doc_id <> 3").write.mode("overwrite").parquet(f"{other}/recipes")
+    assert idstore.verify_manifest(spark, other).count() > 0
+
+
+def test_cuts_follow_content():
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 49000, 9000).astype("<u4"), r.integers(0, 49000, 100).astype("<u4")
+    one, two, three = idstore.cut_points(np.concatenate([a, b, b, a]), np.array([9000, 9100, 18200]))
+    assert one == idstore.cut_points(a, np.array([9000]))[0] and two == [100] and one[-1] == 9000
+    assert len({x + 100 for x in one} & set(three)) > len(one) // 2  # moved by 100, most cuts are where they were
+    assert all(y - x <= idstore.MOST for x, y in zip([0, *one], one))
+
+
 def test_crc_of_parts():
     a, b, c = b"x" * 100, b"", bytes(range(256)) * 9
     assert idstore.crc_joined([zlib.crc32(x) for x in (a, b, c)], [len(a), len(b), len(c)]) == zlib.crc32(a + b + c)
