@@ -7,15 +7,17 @@ neighbours, and m + d = H + 1 + k, every pair in reach agrees in at least k + 1
 or in one with neighbours; so each set may leave its k most frequent whole-segment signatures out. The coldest
 agreeing one is never left out by either side.
 
-Buckets are never expanded into all pairs. Some members of each are compared with everyone in it; links join
-components; only members of different components that share a bucket are compared further, once for all
-buckets. Links inside a component need no comparison, so the components are exact.
+Equal sets are one class, indexed once. Buckets with the same members, of which near copies have many, are
+merged into one with a weight. Some members of each bucket are compared with everyone in it, as long as that joins
+components; then the members of different components that share a bucket are compared. Parity sketches part
+pairs out of reach before any set is fetched, and what is left is verified on the sets themselves. Links inside
+a component need no comparison, so the components are exact.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,6 +32,8 @@ from .common import Store, components, slices
 
 #: Growth of the bands' sizes.
 BAND = 1.3
+#: Words of the small sketches.
+FOLD = 16
 _GOLD, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -135,30 +139,34 @@ def signatures(hashes: np.ndarray, g: int, plan: Allocation) -> tuple[np.ndarray
 
 
 def parity_sketch(hashes: np.ndarray, apart: int) -> np.ndarray:
-    """For each of about 4 x ``apart`` cells, whether an odd number of hashes is in it, as 64-bit words.
+    """For each of about 16 x ``apart`` cells, whether an odd number of hashes is in it, as 64-bit words.
 
     Two sets that differ by h members differ in at most h cells; unrelated sets differ in half of all cells.
     """
-    cells = 64 * -(-4 * max(1, apart) // 64)
+    cells = 64 * -(-16 * max(1, apart) // 64)
     odd = np.bincount((_mixed(hashes ^ np.uint64(_MIX)) % np.uint64(cells)).astype("i8"), minlength=cells) & 1
     return np.packbits(odd.astype("u1")).view("i8")
 
 
 def folded(sketch: np.ndarray) -> np.ndarray:
-    """A parity sketch of four words: it differs in no more cells than the whole one."""
-    return np.bitwise_xor.reduce(np.resize(np.pad(sketch, (0, -len(sketch) % 4)), (-(-len(sketch) // 4), 4)), 0)
+    """A parity sketch of FOLD words at most: it differs in no more cells than the whole one."""
+    return np.bitwise_xor.reduce(np.pad(sketch, (0, -len(sketch) % FOLD)).reshape(-1, FOLD), 0) if len(sketch) > FOLD else sketch
 
 
 _LONGS = pa.list_(pa.int64())
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 _GROUP = pa.struct([("g", pa.int32()), ("whole", _LONGS), ("near", _LONGS), ("sketch", _LONGS), ("fold", _LONGS)])
-_SIGNED = pa.schema([*_SETS, ("groups", pa.list_(_GROUP))])
+_SIGNED = pa.schema([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("groups", pa.list_(_GROUP))])
+_SIGNED_DDL = "n long, h1 long, h2 long, groups array<struct<g:int,whole:array<long>,near:array<long>,sketch:array<long>,fold:array<long>>>"
 
 
-def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]]:
-    """(doc_id, n, h1, h2, groups): size and 128-bit hash of each set; signatures in every band it can pair in.
+def _digest(h: np.ndarray) -> list[int]:
+    return np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "i8").tolist()
 
-    With it the k of each band.
+
+def _signed(docs: DataFrame, n: int, reach: Reach, keep: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """(doc_id, *keep, n, h1, h2, groups): size and 128-bit hash of each set; signatures in every band it can pair in.
+
+    With it the k of each band. A task signs each set once; the other rows that have it get null groups.
     """
     sizes, most = _sizes(docs)
     edges = band_edges(most + 1)
@@ -171,13 +179,12 @@ def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]
         done: set[bytes] = set()  # sets this task has signed; forgetting some only signs them again
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["_text"].to_pylist(), strict=True):
                 h = shingle_set(text, n)
-                key = xxhash.xxh3_128_digest(h.tobytes())
-                h1, h2 = np.frombuffer(key, "i8").tolist()
+                h1, h2 = _digest(h)
                 groups = None
-                if len(h) and doc_id is not None and key not in done:  # a row without an id links with nothing
-                    done.add(key)
+                if len(h) and doc_id is not None and (h1, h2) not in done:  # a row without an id links with nothing
+                    done.add((h1, h2))
                     own, groups = int(np.searchsorted(edges, len(h), side="right")) - 1, []
                     for g in range(own, -1, -1):
                         if reach.largest(edges[g + 1] - 1) < len(h):
@@ -185,17 +192,19 @@ def _signed(docs: DataFrame, n: int, reach: Reach) -> tuple[DataFrame, list[int]
                         whole, near = signatures(h, g, plans[g])
                         sketch = parity_sketch(h, plans[g].apart)
                         groups.append({"g": g, "whole": whole.view("i8"), "near": near.view("i8"), "sketch": sketch, "fold": folded(sketch)})
-                rows.append((doc_id, len(h), h1, h2, groups))
+                rows.append((len(h), h1, h2, groups))
             if len(done) > 1_000_000:
                 done.clear()
-            cols = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SIGNED.types, strict=True)], schema=_SIGNED)
+            cols = zip(*rows) if rows else [[]] * 4
+            own_columns = batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays(
+                [*own_columns, *(pa.array(c, t) for c, t in zip(cols, _SIGNED.types, strict=True))], names=[*batch.schema.names[:-1], *_SIGNED.names]
+            )
 
     ks = [p.k for p in plans]
-    out = docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, h1 long, h2 long, groups array<struct<g:int,whole:array<long>,near:array<long>,sketch:array<long>,fold:array<long>>>"
-    )
-    return out, ks
+    source = docs.select("doc_id", *keep, F.col("text").alias("_text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{kept}, {_SIGNED_DDL}"), ks
 
 
 def _sizes(docs: DataFrame) -> tuple[dict[int, int], int]:
@@ -208,151 +217,214 @@ def _sizes(docs: DataFrame) -> tuple[dict[int, int], int]:
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_SET = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("members", pa.binary())])
+#: Tables of up to this many rows (a few numbers each) are sent to every executor.
+SENT_ROWS = 1_000_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """A stored table, sent to every executor if it is small enough."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
 
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(id, members) of the classes ``wanted`` (id, doc_id, h1, h2): their shingle hashes, made again from the texts."""
 
-def _linked(pairs: DataFrame, texts: DataFrame, n: int, num: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(t, n) for t in batch[1].to_pylist()]
+            keys = np.array([_digest(h) for h in found], "i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch[0], pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([h.tobytes() for h in found], pa.binary())], schema=_SET
+            )
+
+    few = _sent(wanted)
+    texts = docs.select("doc_id", "text").join(few.select("doc_id"), "doc_id", "left_semi")
+    made = texts.mapInArrow(run, "doc_id long, h1 long, h2 long, members binary")
+    # an id may stand for several texts: the hash tells which; copies of a text are one
+    return made.join(few, ["doc_id", "h1", "h2"]).groupBy("id").agg(F.any_value("members").alias("members"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold, compared exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
         for batch in slices(batches, 512):
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep = []
-            for i in range(len(a)):
-                if left is None or a[i] != last:  # pairs of one a often follow one another
-                    last, left = a[i], shingle_set(ta[i], n)
-                right = shingle_set(tb[i], n)
+            for i, (x, y) in enumerate(zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True)):
+                left, right = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if both and 100 * both >= num * (len(left) + len(right) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], schema=_PAIR
-            )
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch[0].take(at), batch[1].take(at)], schema=_PAIR)
 
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(
+        sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a"
+    )
+    return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 #: Members of each bucket that are compared with everyone in it, turn by turn, before what is left is compared.
 CHOSEN = (3, 8, 16)
-LAST = len(CHOSEN)
-#: Candidate documents up to this many are sent to every executor to pick their texts (8 bytes each).
-SENT_IDS = 1_000_000
+#: What is left is compared if it is no more than so many pairs for a row of the index, or a turn has not halved it.
+LEFT = 20
 
 
-def similar(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text, more).
+def similar(docs: DataFrame, n: int = 5, num: int = 80, keep: Sequence[str] = (), group: bool = False) -> DataFrame:
+    """(doc_id, *keep, n_shingles, component_id) of ``docs`` (doc_id, text, more).
 
     Two documents link when 100 x shared shingles >= ``num`` x shingles in either; component_id is the smallest
     doc_id reachable by links, itself included. Null, empty and blank texts have no shingles and link with
-    nothing; equal sets always link; a repeated doc_id gives one row per row, all of one component; a null
-    doc_id stays alone with a null component; no rows give no rows; further columns are not read.
+    nothing; equal sets always link; rows of one doc_id are documents of their own; a null doc_id stays alone
+    with a null component; no rows give no rows; further columns are not read. With ``group`` also that: a number
+    for each component of several rows, for which repeated doc_ids don't count as one; null for rows alone.
     """
     store = Store(docs.sparkSession, "jaccard")
-    coded, ks = _signed(docs, n, Reach(num))
-    signed = store.put(coded, "signed")
-    sets = signed.select("doc_id", "n", "h1", "h2")
-    first = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
-    equal = sets.where("n > 0").join(first, ["h1", "h2", "n"]).where("doc_id <> first").select(
-        F.col("doc_id").alias("a"), F.col("first").alias("b")
-    )
-
-    groups = signed.where("groups is not null and doc_id is not null").select("doc_id", "n", F.explode("groups").alias("x")).select(
-        "doc_id", "n", "x.g", "x.whole", "x.near", "x.sketch", "x.fold"
+    coded, ks = _signed(docs, n, Reach(num), keep)
+    signed = store.put(coded.withColumn("_row", F.monotonically_increasing_id()), "signed")
+    # a class is known by the first row that carries its signatures
+    classes = store.put(
+        signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(
+            F.min(F.when(F.col("groups").isNotNull(), F.struct("_row", "doc_id"))).alias("c"),
+            F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"),
+        ).select("h1", "h2", "n", F.col("c._row").alias("id"), F.col("c.doc_id").alias("doc_id"), "least", "rows"), "classes",
     )
-    rows = groups.select("doc_id", "n", "g", F.lit(True).alias("is_whole"), F.explode("whole").alias("sig")).union(
-        groups.where(F.size("near") > 0).select("doc_id", "n", "g", F.lit(False).alias("is_whole"), F.explode("near").alias("sig"))
-    )
-    shared = _shared(store, rows, ks)
-    ids = store.put(shared.select("doc_id").distinct(), "ids")
-    some = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    groups = signed.where("groups is not null").join(_sent(classes.select("id")), F.col("_row") == F.col("id"), "left_semi").select(
+        F.col("_row").alias("id"), "n", F.explode("groups").alias("x")
+    ).select("id", "n", "x.g", "x.whole", "x.near", "x.sketch", "x.fold")
+    buckets = _buckets(store, groups, ks)
     sketches = store.put(
-        groups.select("doc_id", "g", "sketch", "fold").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "g"]), "sketches"
+        groups.select("id", "n", "g", "sketch", "fold").join(_sent(store.put(buckets.select("id").distinct(), "ids")), "id", "left_semi"), "sketches"
     )
-    texts = store.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
-    edges = store.put(equal, "equal")
-    for turn in range(LAST + 1):
-        if turn:
-            comp = store.put(components(store, edges, f"cc{turn}_"), f"comp{turn}")
-            here = _split_buckets(shared, comp)
-        else:
-            here = shared.withColumn("component_id", F.col("doc_id"))
-        pairs = _all_pairs(here, sketches, num) if turn == LAST else _some_pairs(here, turn, num, ks)
-        pairs = store.put(pairs, f"pairs{turn}")
-        edges = edges.union(store.put(_linked(pairs, texts, n, num), f"links{turn}"))
-    comp = components(store, edges, "cc_")
+    labels, rows, before = None, buckets.count(), None
+    for turn in range(len(CHOSEN) + 1):
+        here, left = buckets, None
+        if labels is not None:
+            here, left = _split_buckets(store, buckets, labels, f"split{turn}")
+        if left == 0:
+            break
+        last = turn == len(CHOSEN) or left is not None and (left <= LEFT * rows or before is not None and left > before / 2)
+        before = left
+        pairs = _all_pairs(here, sketches, num) if last else _some_pairs(here, turn, num, ks)
+        pairs = store.put(_in_reach(pairs, sketches, num), f"pairs{turn}")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = store.put(classes.select("id", "doc_id", "h1", "h2").join(_sent(store.put(ends, f"ends{turn}")), "id", "left_semi"), f"wanted{turn}")
+        sets = store.put(_sets(docs, wanted, n), f"sets{turn}")
+        links = store.put(_linked(pairs, sets, num), f"links{turn}")
+        store.drop(f"pairs{turn}", f"ends{turn}", f"wanted{turn}", f"sets{turn}", *([f"split{turn}"] if turn else []))
+        labels = _joined_labels(store, labels, links, f"labels{turn}")
+        if last:
+            break
+    far = classes.join(labels.select("id", "component_id"), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    # only classes of several rows, or with links, have a component other than the row itself
+    least = far.groupBy("component_id").agg(F.min("least").alias("first"), F.sum("rows").alias("all")).where("all > 1")
+    known = store.put(far.join(least, "component_id").select("h1", "h2", "n", "first", F.col("component_id").alias("group")), "known")
     out = store.put(
-        sets.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        signed.select("doc_id", *keep, "n", "h1", "h2").join(_sent(known), ["h1", "h2", "n"], "left").select(
+            "doc_id", *keep, F.col("n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"),
+            *([F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")] if group else []),
         ), "result",
     )
-    store.drop("signed", "shared", "ids", "sketches", "texts", "equal", *(f"{x}{t}" for x in ("comp", "pairs", "links") for t in range(LAST + 1)))
+    store.drop("signed", "classes", "ids", "sketches", "buckets", "known", *(f"{x}{t}" for x in ("split", "links", "labels") for t in range(len(CHOSEN) + 1)))
     return out
 
 
-def _shared(store: Store, rows: DataFrame, ks: list[int]) -> DataFrame:
-    """Signatures that several sets have, without those each set may leave out: (sig, doc_id, n, g)."""
-    found = store.put(
-        rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("c > 1"), "found"
+def _buckets(store: Store, groups: DataFrame, ks: list[int]) -> DataFrame:
+    """(sig, id, n, g, w): the buckets of several sets, without the signatures each set may leave out.
+
+    Buckets with the same members are one, known by the smallest of their ``w`` signatures.
+    """
+    rows = groups.select("id", "n", "g", F.lit(True).alias("is_whole"), F.explode("whole").alias("sig")).union(
+        groups.where(F.size("near") > 0).select("id", "n", "g", F.lit(False).alias("is_whole"), F.explode("near").alias("sig"))
     )
+    counts = store.put(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    found = rows.join(counts, "sig")
     k = F.element_at(F.array(*map(F.lit, ks or [0])), F.col("g") + 1)
-    hot = found.where("is_whole and c > 8").withColumn(
-        "r", F.row_number().over(Window.partitionBy("doc_id", "g").orderBy(F.desc("c"), "sig"))
-    ).where(F.col("r") <= k).select("sig", "doc_id")
-    out = store.put(found.join(hot, ["sig", "doc_id"], "left_anti").select("sig", "doc_id", "n", "g"), "shared")
-    store.drop("found")
+    hot = F.col("is_whole") & (F.col("c") > 8)
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("id", "g").orderBy(F.desc(hot), F.desc("c"), "sig")))
+    spots = store.put(ranked.where(~hot | (F.col("r") > k)).select("sig", "id", "n", "g"), "spots")
+    members = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"f{seed}") for seed in (1, 2)]
+    each = spots.groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), *members).where("c > 1")
+    once = store.put(each.groupBy("g", "c", "f1", "f2").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("w")).select("sig", "w"), "once")
+    out = store.put(spots.join(_sent(once), "sig"), "buckets")
+    store.drop("counts", "spots", "once")
     return out
 
 
-def _split_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """The buckets whose members are in different components, with component_id."""
-    known = shared.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "component_id", F.coalesce("component_id", "doc_id")
-    )
-    split = known.groupBy("sig").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x < y")
-    return known.join(split.select("sig"), "sig", "left_semi")
+def _joined_labels(store: Store, labels: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """``labels`` (id, component_id) of linked classes, with the components that ``links`` (a, b) join."""
+    if labels is None:
+        return store.put(components(store, links, f"{name}_"), name)
+    here = labels.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))
+    between = links.join(here[0], "a", "left").join(here[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = store.put(components(store, between, f"{name}_"), f"{name}_moved")
+    old = labels.join(moved.select(F.col("id").alias("component_id"), F.col("component_id").alias("to")), "component_id", "left")
+    new = moved.join(labels.select("id"), "id", "left_anti")
+    return store.put(old.select("id", F.coalesce("to", "component_id").alias("component_id")).union(new), name)
+
+
+def _split_buckets(store: Store, buckets: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The buckets whose members are in different components, with component_id, and how many pairs are apart in them."""
+    known = buckets.join(_sent(labels), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    parts = known.groupBy("sig", "component_id").agg(F.count(F.lit(1)).alias("c"))
+    split = parts.groupBy("sig").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = store.put(split.select("sig", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("apart")), name)
+    return known.join(_sent(split.select("sig")), "sig", "left_semi"), int(split.agg(F.sum("apart")).first()[0] or 0)
 
 
 def _sizes_in_reach(num: int) -> Column:
     return F.expr(f"100 * least(n, n2) >= {num} * greatest(n, n2)")
 
 
-def _some_pairs(shared: DataFrame, turn: int, num: int, ks: list[int]) -> DataFrame:
-    """(a, b): some members of each bucket with everyone in it, where two buckets say so.
+def _some_pairs(buckets: DataFrame, turn: int, num: int, ks: list[int]) -> DataFrame:
+    """(g, a, b): some members of each bucket with everyone in it, where two signatures say so.
 
     Like buckets choose the same members, others in each turn. These turns only join components early, at
     little cost; what they leave out is compared in the last turn.
     """
-    member = F.struct("doc_id", "n", "component_id")
-    chosen = shared.groupBy("sig").agg(
-        F.array_distinct(F.array(*(F.min_by(member, F.xxhash64("doc_id", F.lit(100 * turn + j))) for j in range(CHOSEN[turn])))).alias("p")
+    if "component_id" not in buckets.columns:
+        buckets = buckets.withColumn("component_id", F.col("id"))
+    member = F.struct("id", "n", "component_id")
+    chosen = buckets.groupBy("sig").agg(
+        F.array_distinct(F.array(*(F.min_by(member, F.xxhash64("id", F.lit(100 * turn + j))) for j in range(CHOSEN[turn])))).alias("p")
     )
     k = F.element_at(F.array(*map(F.lit, ks or [0])), F.col("g") + 1)
     return (
-        shared.join(chosen, "sig")
-        .select("sig", "doc_id", "n", "g", "component_id", F.explode("p").alias("q"))
+        buckets.join(chosen, "sig")
+        .select("w", "id", "n", "g", "component_id", F.array_contains("p.id", F.col("id")).alias("is_chosen"), F.explode("p").alias("q"))
         .withColumn("n2", F.col("q.n"))
         .where((F.col("component_id") != F.col("q.component_id")) & _sizes_in_reach(num))
-        .groupBy("g", F.least("doc_id", "q.doc_id").alias("a"), F.greatest("doc_id", "q.doc_id").alias("b"))
-        .agg(F.min("sig").alias("low"), F.max("sig").alias("high"))
-        .where((F.col("low") < F.col("high")) | (k == 0)).select("a", "b").distinct()
+        .where((F.col("id") < F.col("q.id")) | ~F.col("is_chosen"))  # a pair of two chosen ones comes once
+        .groupBy("g", F.least("id", "q.id").alias("a"), F.greatest("id", "q.id").alias("b")).agg(F.sum("w").alias("w"))
+        .where((F.col("w") > 1) | (k == 0)).select("g", "a", "b")
     )
 
 
-def _all_pairs(shared: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
-    """(a, b): all in a bucket that are in different components and that their sketches allow, once each."""
-    rows = shared.join(sketches.select("doc_id", "g", "fold"), ["doc_id", "g"])
-    left = rows.select("sig", "g", F.col("doc_id").alias("a"), "n", F.col("component_id").alias("ca"), F.col("fold").alias("fa"))
+def _cells_apart(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, c: acc + c)
+
+
+def _most_apart(num: int) -> Column:
+    """The most that sets of n and n2 in reach differ by; shared >= num (n + n2) / (100 + num), rounded up."""
+    return F.expr(f"n + n2 - 2 * ((({num} * (n + n2)) + {99 + num}) div {100 + num})")
+
+
+def _all_pairs(buckets: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
+    """(g, a, b): all in a bucket that are in different components and that their small sketches allow, once each."""
+    rows = buckets.join(sketches.select("id", "g", "fold"), ["id", "g"])
+    left = rows.select("sig", "g", F.col("id").alias("a"), "n", F.col("component_id").alias("ca"), F.col("fold").alias("fa"))
     right = rows.select(
-        F.col("sig").alias("sig2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("component_id").alias("cb"), F.col("fold").alias("fb")
+        F.col("sig").alias("sig2"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component_id").alias("cb"), F.col("fold").alias("fb")
     )
-    # the most that sets of n and n2 in reach differ by; shared >= num (n + n2) / (100 + num), rounded up
-    most = F.expr(f"n + n2 - 2 * ((({num} * (n + n2)) + {99 + num}) div {100 + num})")
-    seen = sum((F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(4)), F.lit(0))
-    pairs = left.join(right, F.expr("sig = sig2 and a < b and ca <> cb") & _sizes_in_reach(num) & (seen <= most))
-    pairs = pairs.select("g", "a", "b", "n", "n2").distinct()
-    sa = sketches.select(F.col("doc_id").alias("a"), "g", F.col("sketch").alias("sa"))
-    sb = sketches.select(F.col("doc_id").alias("b"), "g", F.col("sketch").alias("sb"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return pairs.join(sa, ["a", "g"]).join(sb, ["b", "g"]).where(apart <= most).select("a", "b").distinct()
+    pairs = left.join(right, F.expr("sig = sig2 and a < b and ca <> cb") & _sizes_in_reach(num) & (_cells_apart("fa", "fb") <= _most_apart(num)))
+    return pairs.select("g", "a", "b").distinct()
+
+
+def _in_reach(pairs: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
+    """(a, b): the pairs that their whole sketches allow."""
+    sa = sketches.select(F.col("id").alias("a"), "g", "n", F.col("sketch").alias("sa"))
+    sb = sketches.select(F.col("id").alias("b"), "g", F.col("n").alias("n2"), F.col("sketch").alias("sb"))
+    near = pairs.join(sa, ["a", "g"]).join(sb, ["b", "g"]).where(_cells_apart("sa", "sb") <= _most_apart(num))
+    return near.select("a", "b").distinct()

@@ -1,6 +1,7 @@
 """The training-data operators on small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -162,31 +163,58 @@ def test_crc_of_parts():
     assert idstore.crc_joined([zlib.crc32(x) for x in (a, b, c)], [len(a), len(b), len(c)]) == zlib.crc32(a + b + c)
 
 
-def test_jaccard_against_brute_force(spark, odd):
-    texts = list(odd)
-    base = prose(5, 120).split()
-    for i in range(60):
-        r = random.Random(i)
+def plain_shingles(text, n):
+    """Word shingles as tuples, by the contract and without the operator's code."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def brute_components(texts, n, num):
+    """[(doc_id, size, smallest doc_id reachable)] of all rows, every pair of rows compared."""
+    sets = [plain_shingles(t, n) for _, t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if None not in (texts[a][0], texts[b][0]) and sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for i, (doc_id, _) in enumerate(texts):
+        if doc_id is not None:
+            least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return sorted(((i, len(s), None if i is None else least[find(at)]) for at, ((i, _), s) in enumerate(zip(texts, sets))), key=str)
+
+
+def variants(seed, base, n, most):
+    """Texts that each differ from ``base`` in up to ``most`` words, so that some link with few others only."""
+    out = []
+    for i in range(n):
+        r = random.Random(seed * 1000 + i)
         words = list(base)
-        for _ in range(r.randint(0, 6)):
+        for _ in range(r.randint(0, most)):
             words[r.randrange(len(words))] = "x" + str(r.randrange(9))
-        texts.append((100 + i, " ".join(words)))
-    texts += [(200 + i, " ".join(prose(9, 12).split()[: 5 + i])) for i in range(8)]
-    sets = {i: frozenset(jaccard.shingle_set(t, 4).tolist()) for i, t in texts}
-    root = {i: i for i in sets}
+        out.append(" ".join(words))
+    return out
 
-    def find(x):
-        return x if root[x] == x else find(root[x])
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    rows = jaccard.similar(docs(spark, texts), 4, 85).collect()
-    assert len(rows) == len(texts)
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, len(s), find(i)) for i, s in sets.items()}
-    assert jaccard.similar(docs(spark, []), 4, 85).count() == 0
+
+@pytest.mark.parametrize(("n", "num", "left", "sent"), [(4, 85, jaccard.LEFT, jaccard.SENT_ROWS), (5, 80, 0, 0)])
+def test_jaccard_against_brute_force(spark, odd, n, num, left, sent, monkeypatch):
+    texts = list(odd)
+    texts += [(100 + i, t) for i, t in enumerate(variants(1, prose(5, 120).split(), 60, 6))]
+    texts += [(200 + i, " ".join(prose(9, 12).split()[: 5 + i])) for i in range(8)]
+    texts += [(300 + i, t) for i, t in enumerate(variants(2, prose(6, 60).split(), 50, 5))]
+    texts += [(None, texts[20][1]), (1000, "A\x0bB\x1cc d"), (1001, "a b\x1cC D"), (5, prose(31, 80)), (1010, prose(31, 80) + " x"), (5, prose(32, 80)), (1011, prose(32, 80) + " x")]
+    wanted = brute_components(texts, n, num)
+    monkeypatch.setattr(jaccard, "LEFT", left)
+    monkeypatch.setattr(jaccard, "SENT_ROWS", sent)
+    rows = jaccard.similar(docs(spark, texts), n, num, ("source",)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == wanted
+    assert jaccard.similar(docs(spark, []), n, num).count() == 0
 
 
 def test_decontamination(spark, odd):
