@@ -77,79 +77,94 @@ class Model:
         return float(np.clip(q, -30, 30)), float(np.clip(t, -30, 30))
 
 
-def _telling(rows: np.ndarray, codes: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The words (codes) whose documents' labels depart most from chance."""
-    n1, n0 = y.sum(), (~y).sum()
-    if not n1 or not n0 or not len(codes):
-        return np.zeros(0, "u8")
-    uniq, where = np.unique(codes, return_inverse=True)
-    c1 = np.bincount(where, y[rows], len(uniq))
-    c = np.bincount(where, minlength=len(uniq))
-    p = c / len(y)
-    z = np.abs(c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    best = np.argsort(-z, kind="stable")[:WORDS]
-    return uniq[best[(z[best] > ERRORS) & (c[best] >= 5)]]
-
-
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a ridge, by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.full(x.shape[1], 0.5)
+    """Logistic regression with a ridge, by Newton steps over parts of the rows; the last weight is the bias."""
+    ridge = np.full(x.shape[1] + 1, 0.5)
     ridge[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(ridge))
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        gram, pull = np.diag(ridge), -ridge * w
+        for at in range(0, len(x), 1000):
+            part = np.hstack([x[at : at + 1000].astype("f8"), np.ones((len(x[at : at + 1000]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gram += (part * (p * (1 - p))[:, None]).T @ part
+            pull += part.T @ (y[at : at + 1000] - p)
+        step = np.linalg.solve(gram, pull)
         w += step
         if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("shapes", pa.list_(pa.float64())), ("codes", pa.list_(pa.int64()))])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("shapes", pa.list_(pa.float64())), ("codes", pa.list_(pa.int64()))])
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [features(t) for t in batch[2].to_pylist()]
+        codes = [np.fromiter(map(xxhash.xxh3_64_intdigest, w), "u8", len(w)).view("i8") for _, w in found]
+        yield pa.RecordBatch.from_arrays(
+            [batch[0], batch[1], pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array(codes, pa.list_(pa.int64()))], schema=_FEATURES
+        )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, quality, toxic, more); their features, not the texts, are gathered.
+def _telling(words: DataFrame, label: str, n: int, ones: int) -> list[int]:
+    """The words (code, c, and how many with each label) whose documents' labels depart most from chance."""
+    one, zero = F.col(label), F.col("c") - F.col(label)
+    p = F.col("c") / n
+    z = F.abs(one / ones - zero / (n - ones)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / ones + 1 / (n - ones)))
+    return sorted(r["code"] for r in words.select("code", z.alias("z")).where(F.col("z") > ERRORS).orderBy(F.desc("z"), "code").limit(WORDS).collect())
 
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, store: Store | None = None) -> Model:
+    """Fit on at most ``sample`` documents that ``labels`` (doc_id, quality, toxic, more) name.
+
+    Words are counted in Spark; the driver gets the sample's shapes and which of at most 2 x WORDS words each
+    document has. Of several labels of a doc_id the worse counts; of several texts that with the smallest hash.
     Without rows, or with one class only, that class is certain: everything is good and nothing toxic without labels.
     """
+    store = store or Store(docs.sparkSession, "quality")
     usable = labels.select("doc_id", "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null")
-    chosen = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in chosen], "doc_id long")
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [features(t) for t in batch[1].to_pylist()]
-            codes = [np.fromiter(map(xxhash.xxh3_64_intdigest, w), "u8", len(w)).view("i8") for _, w in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch[0], pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array(codes, pa.list_(pa.int64()))], schema=_FEATURES
-            )
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(
-        take, "doc_id long, shapes array<double>, codes array<long>"
-    ).toArrow()
-    by_id = {r["doc_id"]: (r["quality"], r["toxic"]) for r in chosen}
-    y = np.array([by_id[i] for i in rows["doc_id"].to_pylist()], bool).reshape(-1, 2)
-    shapes = np.array(rows["shapes"].to_pylist(), "f8").reshape(-1, SHAPES)
-    lists = rows["codes"].combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(y) else np.zeros(0, "i8")
-    where = np.repeat(np.arange(len(y)), sizes)
-    codes = lists.flatten().to_numpy(zero_copy_only=False).view("u8") if len(y) else np.zeros(0, "u8")
-    mean, spread = (shapes.mean(0), shapes.std(0) + 1e-6) if len(y) else (np.zeros(SHAPES), np.ones(SHAPES))
+    chosen = store.put(
+        usable.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("q"), F.max(F.col("toxic").cast("int")).alias("t"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen",
+    )
+    found = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(
+        _taken, "doc_id long, h long, shapes array<double>, codes array<long>"
+    )
+    rows = store.put(
+        found.groupBy("doc_id").agg(F.min_by(F.struct("shapes", "codes"), "h").alias("f")).join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "q", "t", "f.shapes", "f.codes"), "sample",
+    )
+    totals = rows.agg(F.count(F.lit(1)), F.sum("q"), F.sum("t")).first()
+    n, ones = totals[0], [totals[1] or 0, totals[2] or 0]
     shape, bias, words = np.zeros((2, SHAPES)), np.array([30.0, -30.0]), {}
+    if not n:
+        return Model(np.zeros(SHAPES), np.ones(SHAPES), shape, bias, words)
+    counted = store.put(
+        rows.select("q", "t", F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.sum("q").alias("q"), F.sum("t").alias("t")).where("c >= 5"), "words"
+    )
+    telling = [_telling(counted, c, n, k) if 0 < k < n else [] for c, k in zip("qt", ones, strict=True)]
+    wanted = F.array(*map(F.lit, sorted({*telling[0], *telling[1]}))).cast("array<long>")
+    got = rows.select("q", "t", "shapes", F.array_intersect("codes", wanted).alias("has")).toArrow()
+    shapes = np.array(got["shapes"].to_pylist(), "f8").reshape(-1, SHAPES)
+    mean, spread = shapes.mean(0), shapes.std(0) + 1e-6
+    scaled = np.clip((shapes - mean) / spread, -8, 8).astype("f4")
+    has = got["has"].to_pylist()
     for k in range(2):
-        if not len(y) or y[:, k].all() or not y[:, k].any():
-            bias[k] = (30.0 if y[0, k] else -30.0) if len(y) else bias[k]
+        y = got["qt"[k]].to_numpy().astype(bool)
+        if y.all() or not y.any():
+            bias[k] = 30.0 if y[0] else -30.0
             continue
-        telling = np.sort(_telling(where, codes, y[:, k]))
-        at = np.searchsorted(telling, codes) if len(telling) else np.zeros(len(codes), "i8")
-        hit = telling[np.minimum(at, len(telling) - 1)] == codes if len(telling) else np.zeros(len(codes), bool)
-        present = np.zeros((len(y), len(telling)))
-        present[where[hit], at[hit]] = 1
-        w = _fit(np.hstack([np.clip((shapes - mean) / spread, -8, 8), present]), y[:, k].astype("f8"))
+        column = {code: SHAPES + i for i, code in enumerate(telling[k])}
+        x = np.zeros((n, SHAPES + len(column)), "f4")
+        x[:, :SHAPES] = scaled
+        for i, codes in enumerate(has):
+            x[i, [column[c] for c in codes if c in column]] = 1
+        w = _fit(x, y)
         shape[k], bias[k] = w[:SHAPES], w[-1]
-        for code, weight in zip(telling.tolist(), w[SHAPES:-1].tolist(), strict=True):
+        for code, weight in zip(telling[k], w[SHAPES:-1].tolist(), strict=True):
+            code &= (1 << 64) - 1
             old = words.get(code, (0.0, 0.0))
             words[code] = (weight, old[1]) if k == 0 else (old[0], weight)
     return Model(mean, spread, shape, bias, words)
@@ -203,20 +218,21 @@ def judge(
     """``docs`` (doc_id, text, host, path, more) with p_quality, p_toxic, site_shift and kept (good and not toxic).
 
     Null and empty texts are judged by their shape; null hosts and paths are sites of their own; repeated rows
-    are judged each; no rows give no rows.
+    are judged each; no rows give no rows. Texts are read once; what a document's own evidence is, is stored.
     """
     columns = tuple(keep or docs.columns)
     store = Store(docs.sparkSession, "quality")
-    model = fit(docs, labels, sample)
-    site = docs.select(F.col(host).alias("host"), F.col(path).alias("path"), "text")
-    shifts = store.put(
-        site_shifts(evidence(site, model, ("host", "path"))).withColumnsRenamed({"host": "_site_host", "path": "_site_path"}), "shifts"
-    )
-    scored = evidence(docs.withColumn("_host", F.col(host)).withColumn("_path", F.col(path)), model, (*columns, "_host", "_path"))
+    model = fit(docs, labels, sample, store)
+    # the columns kept travel in one value, so that none of their names clashes with ours
+    site = docs.select(F.struct(*columns).alias("kept_row"), F.col(host).alias("host"), F.col(path).alias("path"), "text")
+    scored = store.put(evidence(site, model, ("kept_row", "host", "path")), "scored")
+    shifts = store.put(site_shifts(scored), "shifts").select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "site_shift")
     here = F.broadcast(shifts) if shifts.count() <= SENT_PATHS else shifts
-    both = scored.join(here, F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path")), "left")
-    logit = F.col("_q") + F.coalesce("site_shift", F.lit(0.0))
+    both = scored.join(here, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
+    shift = F.coalesce(F.col("site_shift"), F.lit(0.0))
+    logit = F.col("_q") + shift
+    store.drop("chosen", "sample", "words")
     return both.select(
-        *columns, (1 / (1 + F.exp(-logit))).alias("p_quality"), (1 / (1 + F.exp(-F.col("_t")))).alias("p_toxic"),
-        F.coalesce("site_shift", F.lit(0.0)).alias("site_shift"), ((logit >= 0) & (F.col("_t") < 0)).alias("kept"),
+        *(F.col("kept_row").getField(c).alias(c) for c in columns), (1 / (1 + F.exp(-logit))).alias("p_quality"), (1 / (1 + F.exp(-F.col("_t")))).alias("p_toxic"),
+        shift.alias("site_shift"), ((logit >= 0) & (F.col("_t") < 0)).alias("kept"),
     )
