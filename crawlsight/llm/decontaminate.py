@@ -99,7 +99,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
     """
     store = store or Store(docs.sparkSession, "decontaminate")
     # a row is known by its content, the same in every scan however the input is split
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    docs = docs.select("doc_id", "text", F.struct(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", "doc_id", F.lit(1)).alias("row2")).alias("row"))
     phrases = store.put(windows(items, size).groupBy("window").agg(F.first("words").alias("words")), "phrases")
     postings, anchors = index(store, docs, phrases)
     near = store.put(
@@ -107,30 +107,27 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0
     )
     rows = store.put(near.select("row").distinct(), "rows")
     some = docs.join(_sent(rows, rows.count()), "row", "left_semi")
-    spots = near.join(anchors.select("window", "words", "size"), "window").groupBy("row").agg(
-        F.collect_list(F.struct("window", "start", "size", "gap", F.col("words").alias("w"))).alias("c")
+    sized = near.join(anchors.select("window", "words", "size"), "window")
+    # the words of a document that candidates point at: one run for each start and size, however many windows do
+    spots = sized.select("row", "start", "size").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("c"))
+    runs = some.select("row", words(F.col("text")).alias("d")).join(spots, "row").select("row", F.explode(
+        F.transform("c", lambda x: F.struct(x.start.alias("start"), x["size"].alias("size"), F.slice(F.col("d"), F.greatest(x.start, F.lit(1)), x["size"]).alias("w")))
+    ).alias("x")).select("row", "x.*").dropDuplicates(["row", "start", "size"])
+    kind = F.when((F.col("gap") == 0) & (F.col("start") >= 1) & (F.col("w") == F.col("words")), "phrase").when(F.lit(slop > 0), "proximity")
+    held = sized.join(runs, ["row", "start", "size"]).withColumn("kind", kind).where("kind is not null").groupBy("row").agg(
+        F.collect_list(F.struct("window", "start", "size", "kind")).alias("hits")  # phrases: at most one for each word and size
     )
-    held = some.select("row", words(F.col("text")).alias("d")).join(spots, "row").select(
-        "row",
-        F.filter(
-            F.transform("c", lambda x: F.struct(
-                x.window.alias("window"), x.start.alias("start"), x["size"].alias("size"),
-                F.when((x.gap == 0) & (x.start >= 1) & (F.slice(F.col("d"), F.greatest(x.start, F.lit(1)), x["size"]) == x.w), "phrase")
-                .when(F.lit(slop > 0), "proximity").alias("kind"),
-            )),
-            lambda x: x.kind.isNotNull(),
-        ).alias("hits"),
-    ).where(F.size("hits") > 0).dropDuplicates(["row"])
     every = postings.where("term is null").select("doc_id", "row", F.col("pos").cast("long").alias("n_words"))
     return every.join(held, "row", "left")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep_row: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, item_ids, contaminated) of ``docs`` (doc_id, text, more).
 
     n_hit: words inside any occurrence of a window of ``items`` (item_id, text, more); item_ids: the items with
     one, as strings in order. Null and empty texts have no words and no hits; empty items have no window; a
-    repeated row is judged as often as it stands; no rows give no rows.
+    repeated row is judged as often as it stands; no rows give no rows. With ``keep_row`` also row (row, row2), two
+    hashes of doc_id and text by which rows are told apart, whatever their ids.
     """
     store = Store(docs.sparkSession, "decontaminate")
     found = store.put(matches(docs, items, size, store=store), "found")
@@ -148,7 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     )
     out = store.put(
         found.select("doc_id", "row", "n_words").join(counts, "row", "left").join(named, "row", "left").select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            "doc_id", *(["row"] if keep_row else []), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
             F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
