@@ -14,23 +14,20 @@ from crawlsight.llm.common import Store
 from crawlsight.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows of up to this many documents (8 bytes each) are sent to every executor.
-SENT_IDS = 1_000_000
+#: Rows of up to this many documents (16 bytes each) are sent to every executor.
+SENT_ROWS = 1_000_000
+#: A row is known by two 64-bit hashes of its id and text, the same in every scan; only exact repeats share them.
+ROW = ("row", "row2")
 
 
 def _known(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``, which tells apart null and repeated ids with different texts; only exact repeats share one."""
-    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
-
-
-def _by_row(docs: DataFrame) -> DataFrame:
-    """``docs`` as the operators take them, with the row for an id."""
-    return _known(docs).select(F.col("row").alias("doc_id"), "text")
+    """``docs`` with ROW, which tells apart null and repeated ids with different texts."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", "doc_id", F.lit(1)).alias("row2"))
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` and their row but for those in ``rows``; the texts stay where they are if these are few."""
-    return _known(docs).join(F.broadcast(rows) if rows.count() <= SENT_IDS else rows, "row", "left_anti")
+    """``docs`` and ROW but for ``rows``, a stored table; the texts stay where they are if these are few."""
+    return _known(docs).join(F.broadcast(rows) if rows.count() <= SENT_ROWS else rows, list(ROW), "left_anti")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,29 +42,36 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids come last. Exact repeats, of id and text, are one; other documents under one id are documents each.
     """
     store = Store(spark, "copies")
-    groups = jaccard.similar(_by_row(docs), n=5, num=80).select(F.col("doc_id").alias("row"), "component_id").distinct()
-    ids = store.put(groups.join(_known(docs).select("row", "doc_id").distinct(), "row"), "groups")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")).select(F.col("f.row").alias("row"))
-    copies = store.put(ids.select("row").join(first, "row", "left_anti"), "rows")
-    return _without(docs, copies).dropDuplicates(["row"]).select(*COLUMNS)
+    # the join tells rows apart by themselves, so its ids only need to be there
+    rows = _known(docs).select(F.coalesce("doc_id", "row").alias("doc_id"), "text", *ROW, F.col("doc_id").alias("own"))
+    groups = jaccard.similar(rows, n=5, num=80, keep=(*ROW, "own"), group=True)
+    ids = store.put(groups.groupBy("group", "own", *ROW).agg(F.count(F.lit(1)).alias("rows")), "groups")
+    first = ids.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", *ROW)).alias("f"))
+    copies = store.put(ids.where("group is not null").select(*ROW).join(first.select("f.row", "f.row2"), list(ROW), "left_anti"), "rows")
+    # exact repeats, of id and text, are one; few rows have any
+    repeated = store.put(ids.where("rows > 1").select(*ROW), "repeated")
+    few = F.broadcast(repeated) if repeated.count() <= SENT_ROWS else repeated
+    kept = _without(docs, copies)
+    once = kept.join(few, list(ROW), "left_semi").dropDuplicates(list(ROW))
+    return kept.join(few, list(ROW), "left_anti").union(once).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a run of ten words of a benchmark item."""
-    found = decontaminate.contamination(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = found.where("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    found = decontaminate.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_row=True)
+    leaks = found.where("contaminated").select("row.*").distinct()
     return _without(docs, Store(spark, "leaks").put(leaks, "rows")).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by the name of its kind."""
-    found, _ = secrets.scan(_by_row(docs))
-    hits = found.where(F.size("findings") > 0).select(F.col("doc_id").alias("row"), "findings").dropDuplicates(["row"])
-    hits = Store(spark, "redactions").put(hits, "hits")
-    few = hits.count() <= SENT_IDS // 10
+    _, ledger = secrets.scan(docs.select("doc_id", "text"))
+    hits = Store(spark, "redactions").put(ledger.where(F.size("findings") > 0).select("blob", "findings"), "hits")
+    few = hits.count() <= SENT_ROWS // 10
     text = secrets.redact(F.col("text"), F.coalesce("findings", F.array().cast(secrets.FINDINGS)))
     return (
-        _known(docs).join(F.broadcast(hits) if few else hits, "row", "left")
+        docs.select(*COLUMNS, secrets.address(F.coalesce("text", F.lit(""))).alias("blob"))
+        .join(F.broadcast(hits) if few else hits, "blob", "left")
         .withColumn("text", text)
         .withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
         .select(*COLUMNS)
