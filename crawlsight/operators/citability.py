@@ -36,7 +36,7 @@ def page_citability(signals: DataFrame) -> DataFrame:
         F.least(F.lit(20), 5 * F.size(F.filter("passages", is_liftable))).alias("passages"),
         F.when(facts >= 6, 15).when(facts >= 3, 10).when(facts >= 1, 5).otherwise(0).alias("facts"),
         F.when(F.col("tables") > 0, 15).when(F.col("lists") >= 2, 12).when(F.col("lists") == 1, 8).otherwise(0).alias("structure"),
-        F.when(F.col("question_headings") >= 3, 10).when(F.col("question_headings") >= 1, 6).otherwise(0).alias("questions"),
+        F.when(F.col("question_headings") >= 2, 10).when(F.col("question_headings") >= 1, 6).otherwise(0).alias("questions"),
         (F.when(flag("has_date"), 5).otherwise(0) + F.when(flag("has_author"), 5).otherwise(0)).alias("provenance"),
         F.when(typed, 10).otherwise(0).alias("schema"),
     )

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What parts a title, pages that llms.txt leaves out, pages that are resources.
+# What parts a title, pages that llms.txt leaves out, pages that are resources, the sentence for a site without a description.
+DESCRIBE = " — describe what you offer and who it is for in one sentence."
 TITLE_PARTS = "\\s+[|\\-–—:·•]\\s+"
+#: What parts a title in llms.txt.
+LINE_PARTS = "\\s+[|\\-–—:]\\s+"
 LEGAL = r"(?i)(privacy|terms|cookie|legal|careers?|jobs|login|sitemap|disclaimer)"
 RESOURCE = r"(?i)/(docs|blog|guides?|resources|faq|help)"
 
@@ -48,7 +51,7 @@ def llms_entries(signals: DataFrame, identity: DataFrame) -> DataFrame:
     fit = signals.where((F.col("title") != "") & ~path.rlike(LEGAL)).groupBy("host", bare.alias("bare")).agg(
         F.min_by(F.struct("page_id", "url", "title", "h1", "description"), "page_id").alias("p")
     ).select("host", "p.*").join(identity.select("host", "brand"), "host")
-    named = F.get(F.filter(F.split("title", TITLE_PARTS, -1), lambda x: F.lower(x) != F.lower(F.col("brand"))), F.lit(0))
+    named = F.get(F.filter(F.split("title", LINE_PARTS, -1), lambda x: F.lower(x) != F.lower(F.col("brand"))), F.lit(0))
     given = lambda c: F.when(c != "", c)
     label = F.regexp_replace(F.coalesce(given(named), given(F.get("h1", F.lit(0))), F.col("title")), r"[\[\]]", "")
     line = F.concat(F.lit("- ["), label, F.lit("]("), F.col("url"), F.lit(")"), F.when(F.col("description") != "", F.concat(F.lit(": "), F.col("description"))).otherwise(""))
@@ -63,7 +66,7 @@ def llms_txt(signals: DataFrame, identity: DataFrame) -> DataFrame:
     lines = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("page_id", "line")))), lambda x: x.line)
     files = llms_entries(signals, identity).groupBy("host").agg(lines(~F.col("resource")).alias("main"), lines(F.col("resource")).alias("docs"))
     about = F.when(F.col("description") != "", F.col("description")).otherwise(
-        F.concat("brand", F.lit(" — describe what you offer and who it is for in one sentence."))
+        F.concat("brand", F.lit(DESCRIBE))
     )
     none = F.array().cast("array<string>")
     head = F.array(F.concat(F.lit("# "), F.col("brand")), F.lit(""), F.concat(F.lit("> "), about), F.lit(""), F.lit("## Key pages"), F.lit(""))

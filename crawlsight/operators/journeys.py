@@ -68,12 +68,18 @@ def custom_terms(task: Column) -> Column:
 
 
 def journey_metrics(steps: DataFrame) -> DataFrame:
-    """(journey_id, fetches, searches, readable, ms, bytes, outcome) of ``steps`` (journey_id, action, status, ms, bytes, words, issues)."""
+    """(journey_id, fetches, searches, readable, ms, bytes, outcome) of ``steps`` (journey_id, action, status, ms, bytes, words, issues).
+
+    An answer completes a journey if one of its steps is ``verified`` or its task ``custom``; these flags may be missing.
+    """
     fetch = F.col("action") == "fetch"
     fine = fetch & (F.coalesce("status", F.lit(999)) < 400) & (F.coalesce("words", F.lit(0)) >= THIN_WORDS) & ~F.array_contains(F.coalesce("issues", F.array().cast("array<string>")), "javascript_only")
     n = lambda cond: F.sum(cond.cast("int"))
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)) if c in steps.columns else F.lit(False)
     out = steps.groupBy("journey_id").agg(
         n(fetch).alias("fetches"), n(F.col("action") == "search").alias("searches"), n(fine).alias("readable"), n(F.col("action") == "answer").alias("answers"),
-        F.sum(F.when(fetch, F.col("ms"))).alias("ms"), F.sum(F.when(fetch, F.col("bytes"))).alias("bytes"),
+        F.sum(F.when(fetch, F.col("ms"))).alias("ms"), F.sum(F.when(fetch, F.col("bytes"))).alias("bytes"), (flag("verified") | flag("custom")).alias("proven"),
     )
-    return out.withColumn("outcome", F.when(F.col("readable") == 0, "blocked").when(F.col("answers") > 0, "completed").otherwise("stalled")).drop("answers")
+    answered = F.col("answers") > 0
+    outcome = F.when(F.col("readable") == 0, "blocked").when(answered & F.col("proven"), "completed").when(answered, "partial").otherwise("stalled")
+    return out.withColumn("outcome", outcome).drop("answers", "proven")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round
+from ..functions.urls import host_of
 
 # Check, layer, weight, for the checks that page signals alone decide.
 CHECKS = (
@@ -37,10 +38,57 @@ def checks(signals: DataFrame) -> DataFrame:
         "lang": two(c("home_lang") != ""), "https": two(c("home_url").startswith("https")),
         "canonical": three(c("no_canonical") == 0, c("no_canonical") <= 0.3),
     }
+    return _rows(facts, CHECKS, status)
+
+
+# Checks that markup decides, the types of what a site offers, the tags a shared link needs, and telling paths.
+MARKUP_CHECKS = (
+    ("indexable", "access", 4), ("alt-text", "content", 2), ("offering-schema", "entity", 4), ("faq-schema", "entity", 2),
+    ("open-graph", "entity", 3), ("about-contact", "entity", 2), ("jsonld-valid", "entity", 2), ("freshness", "agent", 2),
+)
+OFFER_TYPES = (
+    r"^(Product|Service|SoftwareApplication|WebApplication|MobileApplication|Offer|AggregateOffer|OfferCatalog|Course|Event|MenuItem|Menu|"
+    r"FinancialProduct|HowTo|Book|Recipe)$"
+)
+OG_TAGS = ("og:title", "og:description", "og:image")
+ABOUT, CONTACT = "about|company|who-we-are|our-story", "contact|get-in-touch|locations?"
+ARTICLES = r"(?i)/(blog|news|articles?|insights|resources|posts?)/"
+
+
+def markup_checks(signals: DataFrame) -> DataFrame:
+    """(host, check_id, layer, weight, status, earned): the checks that robots tags, images, structured data, links and dates decide."""
+    home = lambda c: F.min_by(c, "page_id")
+    noindex = F.col("meta_robots").rlike("(?i)noindex")
+    own = F.transform("hrefs", lambda h: F.when(
+        h.rlike("(?i)^(?:https?:)?//") & (host_of(F.concat(F.when(h.startswith("//"), "https:").otherwise(""), h)) != F.col("host")) | h.rlike(r"(?i)^\s*(?:javascript|mailto|tel|data):"), ""
+    ).otherwise(F.lower(F.regexp_replace(F.regexp_replace(h, r"(?i)^(?:https?:)?//[^/?#]*", ""), "#.*$", ""))))
+    linked = lambda p: F.bool_or(F.exists(own, lambda h: h.rlike(p)))
+    article, n = F.col("url").rlike(ARTICLES), lambda cond: F.sum(cond.cast("int"))
+    facts = signals.groupBy("host").agg(
+        home(noindex).alias("home_noindex"), F.bool_or(noindex).alias("any_noindex"), F.sum("images").alias("images"), F.sum("images_with_alt").alias("with_alt"),
+        F.bool_or(F.exists("jsonld_types", lambda t: t.rlike(OFFER_TYPES))).alias("offers"), F.bool_or(F.array_contains("jsonld_types", "FAQPage")).alias("faq"),
+        F.sum("question_headings").alias("questions"), home(F.size(F.array_except(F.array(*map(F.lit, OG_TAGS)), F.map_keys("open_graph")))).alias("og_missing"),
+        linked(ABOUT).alias("about"), linked(CONTACT).alias("contact"), F.bool_or(F.size("jsonld_types") > 0).alias("typed"), F.sum("jsonld_errors").alias("errors"),
+        n(article).alias("articles"), n(article & F.col("has_date")).alias("dated"), n(article & F.col("has_author")).alias("authored"),
+    )
+    c, alt = F.col, F.col("with_alt") / F.nullif("images", F.lit(0))
+    graded = lambda ok, some: F.when(ok, "pass").when(some, "warn").otherwise("fail")
+    status = {
+        "indexable": F.when(c("home_noindex"), "fail").when(c("any_noindex"), "warn").otherwise("pass"),
+        "alt-text": F.when(alt.isNull(), "na").otherwise(graded(alt >= 0.8, alt >= 0.5)),
+        "offering-schema": F.when(c("offers"), "pass").otherwise("fail"), "faq-schema": graded(c("faq"), c("questions") > 0),
+        "open-graph": graded(c("og_missing") == 0, c("og_missing") < 3), "about-contact": graded(c("about") & c("contact"), c("about") | c("contact")),
+        "jsonld-valid": F.when(c("errors") > 0, "fail").when(c("typed"), "pass").otherwise("na"),
+        "freshness": F.when(c("articles") == 0, "na").otherwise(graded((c("dated") == c("articles")) & (c("authored") == c("articles")), c("dated") > 0)),
+    }
+    return _rows(facts, MARKUP_CHECKS, status)
+
+
+def _rows(facts: DataFrame, checks_: tuple, status: dict) -> DataFrame:
     rows = F.inline(F.array(*(
-        F.struct(F.lit(i).alias("check_id"), F.lit(layer).alias("layer"), F.lit(w).alias("weight"), status[i].alias("status")) for i, layer, w in CHECKS
+        F.struct(F.lit(i).alias("check_id"), F.lit(layer).alias("layer"), F.lit(w).alias("weight"), status[i].alias("status")) for i, layer, w in checks_
     )))
-    earned = F.when(c("status") == "pass", c("weight") * 1.0).when(c("status") == "warn", c("weight") * 0.5).otherwise(0.0)
+    earned = F.when(F.col("status") == "pass", F.col("weight") * 1.0).when(F.col("status") == "warn", F.col("weight") * 0.5).otherwise(0.0)
     return facts.select("host", rows).withColumn("earned", earned)
 
 

@@ -18,23 +18,28 @@ WEIGHTS = {"title": 3, "description": 2, "headings": 2, "text": 1}
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """(page_id, host, term, tf, dl) of ``pages`` (page_id, host, title, description, headings, text); stemmed terms."""
+    """(page_id, host, term, tf, dl) of ``pages`` (page_id, host, title, description, headings, text); stemmed terms.
+
+    A page without words has one row without a term, so that the statistics count it.
+    """
     fields = F.array(*(F.struct(F.lit(w).alias("w"), tokenise(F.col(f)).alias("t")) for f, w in WEIGHTS.items()))
-    words = pages.select("page_id", "host", F.explode(fields).alias("f")).select("page_id", "host", "f.w", F.explode("f.t").alias("token"))
-    counts = words.groupBy("page_id", "host", "token").agg(F.sum("w").alias("tf"))
-    terms = counts.groupBy("page_id", "host", stem(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))
-    return terms.withColumn("dl", F.sum("tf").over(Window.partitionBy("page_id", "host")))
+    read = pages.select("page_id", "host", fields.alias("f"))
+    size = F.aggregate("f", F.lit(0).cast("long"), lambda acc, x: acc + x.w * F.size(x.t))
+    words = read.select("page_id", "host", size.alias("dl"), F.explode("f").alias("f")).select("page_id", "host", "dl", "f.w", F.explode_outer("f.t").alias("token"))
+    terms = words.where("token is not null or dl = 0").select("page_id", "host", "dl", "w", stem(F.col("token")).alias("term"))
+    tf = F.sum(F.when(F.col("term").isNotNull(), F.col("w")).otherwise(0)).alias("tf")
+    return terms.groupBy("page_id", "host", "dl", "term").agg(tf).select("page_id", "host", "term", "tf", "dl")
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
-    """One row (n, avgdl) over all pages with words."""
+    """One row (n, avgdl) over all pages, those without words too."""
     pages = index.groupBy("page_id").agg(F.first("dl").alias("dl"))
     return pages.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(index: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf) over all hosts, even when a query is scoped to one."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(0.05), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     return df.join(F.broadcast(stats), how="inner").select("term", "df", idf.alias("idf"))  # one row on the right
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import answers, citability, graph, journeys, readiness, retrieval, signals
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stored
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,24 +72,30 @@ def _plain(x: str) -> str:
     return _collapse(s)
 
 
-_HIDDEN = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<!--.*?-->|<title[^>]*>.*?</title>"
+_HIDDEN = "(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>|<noscript\\b[^>]*>.*?</noscript>|<svg\\b[^>]*>.*?</svg>|<template\\b[^>]*>.*?</template>|<iframe\\b[^>]*>.*?</iframe>|<title\\b[^>]*>.*?</title>|<!--.*?-->"
+_TAG = lambda i: f"lower(split_part(segs[{i}], chr(2), 1))"
 _SIGNALS = f"""
   shown AS (SELECT page_id, url, html, regexp_replace(html, '{_HIDDEN}', ' ', 'g') AS shown FROM pages),
-  scoped AS (SELECT *, regexp_extract(shown, '(?is)<article[^>]*>(.*?)</article>', 1) AS art FROM shown),
+  scoped AS (SELECT *, CASE WHEN art <> '' THEN art ELSE shown END AS scope FROM (SELECT *, regexp_extract(shown, '(?is)<article[^>]*>(.*?)</article>', 1) AS art FROM shown)),
+  cut AS (SELECT *, string_split(regexp_replace(scope, '{signals.BLOCK}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS segs,
+    list_filter(list_transform(regexp_extract_all(shown, '(?is)(<h[1-3][^>]*>.*?</h[1-3]>)', 1), lambda x: {{'level': substring(x, 3, 1), 'text': {_plain('x')}}}), lambda h: h.text <> '')[1:60] AS heads FROM scoped),
   sig AS (SELECT page_id, url, {_host('url')} AS host, {_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-    regexp_extract(html, '(?i)<html[^>]*?lang="([^"]*)"', 1) AS lang,
-    list_transform(regexp_extract_all(shown, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: {_plain('x')}) AS h1,
-    len(regexp_extract_all(html, '(?i)<script[^>]*src=')) AS scripts, len(regexp_extract_all(shown, '(?i)<(?:ul|ol)\\b')) AS lists,
-    {_plain("CASE WHEN art <> '' THEN art ELSE shown END")} AS text, {_words(_plain('shown'))} AS words,
-    list_filter(list_transform(regexp_split_to_array(CASE WHEN art <> '' THEN art ELSE shown END, '{signals.BLOCK}'), lambda p: {_plain('p')}), lambda p: {_words('p')} >= 8)[1:10] AS parts
-    FROM scoped)"""
+    regexp_extract(html, '(?i)<html[^>]*?lang="([^"]*)"', 1) AS lang, list_transform(heads, lambda h: h.text) AS heads,
+    regexp_extract(html, '(?i)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1) AS description,
+    list_transform(list_filter(heads, lambda h: h.level = '1'), lambda h: h.text) AS h1,
+    len(regexp_extract_all(html, '(?i)<script[^>]*src=')) AS scripts,
+    len(list_filter(regexp_extract_all(scope, '(?is)<(?:ul|ol)\\b[^>]*>(.*?)</(?:ul|ol)>', 1), lambda x: len(regexp_extract_all(x, '(?i)<li\\b')) >= 2)) AS lists,
+    {_plain('scope')} AS text, {_words(_plain('shown'))} AS words,
+    list_filter(list_transform(list_filter(range(1, len(segs) + 1), lambda i: {_TAG('i')} IN ('p', 'div', 'li', 'dd', 'td', 'blockquote', 'section', 'article') AND (i = len(segs) OR starts_with(segs[i + 1], '/')
+      OR {_TAG('i')} = 'p' OR ({_TAG('i')} = 'li' AND {_TAG('i + 1')} = 'li') OR ({_TAG('i')} = 'dd' AND {_TAG('i + 1')} = 'dd') OR ({_TAG('i')} = 'td' AND {_TAG('i + 1')} IN ('td', 'tr')))),
+      lambda i: {_plain("split_part(segs[i], chr(2), 2)")}), lambda p: {_words('p')} >= 8)[1:10] AS parts FROM cut)"""
 _INDEX = f"""
-  fields AS (SELECT page_id, host, 3 AS w, {_tokens('title')} AS t FROM sig UNION ALL
-    SELECT page_id, host, 2, {_tokens("array_to_string(h1, ' ')")} FROM sig UNION ALL SELECT page_id, host, 1, {_tokens('text')} FROM sig),
+  fields AS (SELECT page_id, host, 3 AS w, {_tokens('title')} AS t FROM sig UNION ALL SELECT page_id, host, 2, {_tokens('description')} FROM sig UNION ALL
+    SELECT page_id, host, 2, {_tokens("array_to_string(heads, ' ')")} FROM sig UNION ALL SELECT page_id, host, 1, {_tokens('text')} FROM sig),
   toks AS (SELECT page_id, host, w, unnest(t) AS token FROM fields),
   post AS (SELECT page_id, host, {_stem('token')} AS term, sum(w) AS tf FROM toks GROUP BY ALL),
   idx AS (SELECT *, sum(tf) OVER (PARTITION BY page_id, host) AS dl FROM post),
-  st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT page_id, any_value(dl) AS dl FROM idx GROUP BY page_id)),
+  st AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM pages LEFT JOIN (SELECT page_id, any_value(dl) AS dl FROM idx GROUP BY page_id) USING (page_id)),
   terms AS (SELECT term, greatest(0.05, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1)) AS idf FROM idx, st GROUP BY term, n)"""
 _SCORES = f"""
   asked AS (SELECT item_id AS query_id, list_distinct({_tokens('text')}) AS tokens FROM benchmark),
@@ -107,8 +113,13 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _signals(spark, sf_dir).select("page_id", "host", "title", "description", F.array_join("h1", " ").alias("headings"), "text")
-    return retrieval.postings(pages)
+    """The postings of all pages, stored: statistics, terms and hits all read them."""
+    return stored(_postings(spark, sf_dir), "postings")
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.array_join(F.transform("headings", lambda h: h.text), " ").alias("headings")
+    return retrieval.postings(_signals(spark, sf_dir).select("page_id", "host", "title", "description", heads, "text"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +137,7 @@ def page_signals(spark, sf_dir):
 
 @query(f"WITH {_SIGNALS}, {_INDEX} SELECT page_id, host, term, tf::BIGINT AS tf, dl::BIGINT AS dl FROM idx")
 def postings(spark, sf_dir):
-    return _index(spark, sf_dir)
+    return _postings(spark, sf_dir).where("term is not null")
 
 
 @query(f"WITH {_SIGNALS}, {_INDEX} SELECT term, {_round('idf', 6)} AS idf FROM terms")

@@ -13,11 +13,9 @@ from .queries import _CITE, _DANGLING, _DEFINES, _INDEX, _SCORES, _SIGNALS, _VER
 # ---------------------------------------------------------------- checks
 
 _HEADS = f"""
-  hx AS (SELECT page_id, regexp_extract_all(shown, '(?is)(<h[1-3][^>]*>.*?</h[1-3]>)', 1)[1:60] AS heads,
-    regexp_extract(html, '(?i)<meta[^>]*name="description"[^>]*content="([^"]*)"', 1) AS description,
-    regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) AS canonical FROM shown),
-  heads AS (SELECT page_id, description, canonical, len(list_filter(heads, lambda x: substring(x, 3, 1) = '2')) AS n_h2,
-    len(list_filter(heads, lambda x: regexp_matches({_plain('x')}, '{QUESTION}'))) AS questions FROM hx)"""
+  hx AS (SELECT page_id, heads, regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1) AS canonical FROM cut),
+  heads AS (SELECT page_id, canonical, len(list_filter(heads, lambda x: x.level = '2')) AS n_h2,
+    len(list_filter(heads, lambda x: regexp_matches(x.text, '{QUESTION}'))) AS questions FROM hx)"""
 _CHECKS = f"""{_SIGNALS}, {_HEADS},
   shared AS (SELECT host, max(CASE WHEN title = '' THEN 0 ELSE n END) AS most FROM (SELECT host, title, count(*) AS n FROM sig GROUP BY ALL) GROUP BY host),
   fx AS (SELECT host, arg_min(words < 120 AND scripts >= 3, page_id) AS home_shell, arg_min(words, page_id) AS home_words, bool_or(words < 120 AND scripts >= 3) AS any_shell,
@@ -43,7 +41,7 @@ ORACLE["readiness_scores"] = f"""WITH {_LAYERS}, s AS (SELECT host, {_round('100
 ORACLE["host_citability"] = f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pts AS (SELECT host, CASE WHEN shell THEN 0 ELSE
     CASE WHEN {_words('lead')} BETWEEN 12 AND 90 AND NOT regexp_matches(lead, '{_DANGLING}') AND regexp_matches(regexp_split_to_array(lead, '[.!?]')[1], '{_DEFINES}') THEN 20 WHEN {_words('lead')} >= 12 THEN 8 ELSE 0 END
     + least(20, 5 * liftable) + CASE WHEN facts_found >= 6 THEN 15 WHEN facts_found >= 3 THEN 10 WHEN facts_found >= 1 THEN 5 ELSE 0 END
-    + CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END + CASE WHEN questions >= 3 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END END AS score FROM cite JOIN heads USING (page_id))
+    + CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END + CASE WHEN questions >= 2 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END END AS score FROM cite JOIN heads USING (page_id))
   SELECT host, {_round('avg(score)', 0)}::INT AS score, count(score) AS measured, 0::BIGINT AS unmeasured FROM pts GROUP BY host"""
 
 
@@ -73,6 +71,33 @@ def gaps(spark, sf_dir):
     return br.gaps(_checks(spark, sf_dir))
 
 
+_MARKUP = f"""{_SIGNALS}, {_HEADS},
+  mk AS (SELECT page_id, regexp_matches(html, '(?is)<meta[^>]*name="(robots|googlebot)"[^>]*noindex') AS noindex, len(regexp_extract_all(html, '(?i)<img\\b')) AS images,
+    len(regexp_extract_all(html, '(?is)<img\\b[^>]*\\salt="[^"]*[^ "][^"]*"')) AS alts, regexp_matches(html, '(?i)application/ld\\+json') AS data,
+    len(list_distinct(regexp_extract_all(html, '(?i)<meta[^>]*property="(og:title|og:description|og:image)"[^>]*content="[^"]', 1))) AS og,
+    list_transform(regexp_extract_all(html, '(?i)<a[^>]*href="(/[^"/#][^"#]*)', 1), lambda h: lower(h)) AS paths,
+    regexp_matches(html, '(?i)<time\\b[^>]*\\sdatetime|article:(published|modified)_time') AS dated, regexp_matches(html, '(?i)rel="author"|name="author"') AS authored FROM pages),
+  mf AS (SELECT host, arg_min(noindex, page_id) AS home_noindex, bool_or(noindex) AS any_noindex, sum(images) AS images, sum(alts) AS alts, bool_or(data) AS data, sum(questions) AS questions,
+    arg_min(og, page_id) AS og, bool_or(len(list_filter(paths, lambda p: regexp_matches(p, '{readiness.ABOUT}'))) > 0) AS about, bool_or(len(list_filter(paths, lambda p: regexp_matches(p, '{readiness.CONTACT}'))) > 0) AS contact,
+    sum(regexp_matches(url, '{readiness.ARTICLES}')::INT) AS articles, sum((regexp_matches(url, '{readiness.ARTICLES}') AND dated)::INT) AS dated, sum((regexp_matches(url, '{readiness.ARTICLES}') AND authored)::INT) AS authored
+    FROM sig JOIN heads USING (page_id) JOIN mk USING (page_id) GROUP BY host),
+  mr AS (SELECT host, unnest([
+    {{'check_id': 'indexable', 'layer': 'access', 'weight': 4, 'status': CASE WHEN home_noindex THEN 'fail' WHEN any_noindex THEN 'warn' ELSE 'pass' END}},
+    {{'check_id': 'alt-text', 'layer': 'content', 'weight': 2, 'status': CASE WHEN images = 0 THEN 'na' WHEN alts / images >= 0.8 THEN 'pass' WHEN alts / images >= 0.5 THEN 'warn' ELSE 'fail' END}},
+    {{'check_id': 'offering-schema', 'layer': 'entity', 'weight': 4, 'status': CASE WHEN data THEN error('structured data is not read by this SQL') ELSE 'fail' END}},
+    {{'check_id': 'faq-schema', 'layer': 'entity', 'weight': 2, 'status': CASE WHEN questions > 0 THEN 'warn' ELSE 'fail' END}},
+    {{'check_id': 'open-graph', 'layer': 'entity', 'weight': 3, 'status': CASE WHEN og = 3 THEN 'pass' WHEN og > 0 THEN 'warn' ELSE 'fail' END}},
+    {{'check_id': 'about-contact', 'layer': 'entity', 'weight': 2, 'status': CASE WHEN about AND contact THEN 'pass' WHEN about OR contact THEN 'warn' ELSE 'fail' END}},
+    {{'check_id': 'jsonld-valid', 'layer': 'entity', 'weight': 2, 'status': 'na'}},
+    {{'check_id': 'freshness', 'layer': 'agent', 'weight': 2, 'status': CASE WHEN articles = 0 THEN 'na' WHEN dated = articles AND authored = articles THEN 'pass' WHEN dated > 0 THEN 'warn' ELSE 'fail' END}}]) AS c FROM mf)"""
+
+
+@query(f"WITH {_MARKUP} SELECT host, c.check_id, c.layer, c.weight::INT AS weight, c.status, CASE c.status WHEN 'pass' THEN c.weight * 1.0::DOUBLE WHEN 'warn' THEN c.weight * 0.5::DOUBLE ELSE 0.0::DOUBLE END AS earned FROM mr")
+def markup_checks(spark, sf_dir):
+    """The checks of robots tags, images, structured data, links and dates; the SQL knows pages without structured data."""
+    return readiness.markup_checks(_signals(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- questions over sites
 
 _BEST = f"""{_SIGNALS}, {_INDEX}, {_SCORES},
@@ -152,7 +177,7 @@ def host_brands(spark, sf_dir):
 
 @query(f"""WITH {_SIGNALS}, {_HEADS}, {_BRAND},
   fit AS (SELECT host, min(page_id) AS page_id FROM sig WHERE title <> '' AND NOT regexp_matches(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '{identity.LEGAL}') GROUP BY host, regexp_replace(url, '/+$', '')),
-  lab AS (SELECT fit.host, fit.page_id, url, description, coalesce(nullif(list_filter(regexp_split_to_array(title, '{identity.TITLE_PARTS}'), lambda x: lower(x) <> lower(brand))[1], ''), nullif(h1[1], ''), title) AS label
+  lab AS (SELECT fit.host, fit.page_id, url, description, coalesce(nullif(list_filter(regexp_split_to_array(title, '{identity.LINE_PARTS}'), lambda x: lower(x) <> lower(brand))[1], ''), nullif(h1[1], ''), title) AS label
     FROM fit JOIN sig USING (page_id) JOIN heads USING (page_id) JOIN brands ON brands.host = fit.host),
   ln AS (SELECT host, page_id, '- [' || regexp_replace(label, '[\\[\\]]', '', 'g') || '](' || url || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END AS line FROM lab)
   SELECT host, page_id, regexp_matches(line, '{identity.RESOURCE}') AS resource, line FROM ln""")

@@ -54,7 +54,7 @@ def test_robots(spark):
 def test_graph(spark):
     links = spark.createDataFrame([("a.test", f"https://a.test/{p}") for p in ("blog/1", "blog/2", "pricing", "about", "cart", "x.pdf", "deep/a/b/c")], "host string, url string")
     picked = [r.url.rsplit("test/", 1)[1] for r in graph.pick_pages(links).orderBy("pick_no").collect()]
-    assert picked == ["about", "pricing", "blog/1", "deep/a/b/c", "blog/2"] or picked[:3] == ["about", "pricing", "blog/1"]
+    assert picked[:3] == ["about", "pricing", "blog/1"] and len(picked) == 5
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "from_url string, to_url string")
     got = {r.url: r.depth for r in graph.reachable(edges, spark.createDataFrame([("a",)], "url string")).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
@@ -86,6 +86,27 @@ def test_journeys(spark):
     assert {r.intent for r in journeys.intent_proofs(page).collect()} == {"pricing", "contact"}
 
 
+def test_many_brands_meet_by_their_first_letters(spark, monkeypatch):
+    brands = spark.createDataFrame([("Acme Data", ["acmedata", "acme"]), ("Other", ["other"]), ("Zed", ["zedco"])], "brand string, needles array<string>")
+    told = spark.createDataFrame([(1, "1. Rival\n2. Ac-me Data: good"), (2, "none"), (3, "abc"), (4, None), (5, "- OTHER and acme")], "answer_id int, text string")
+    want = {(r.answer_id, r.brand, r.position) for r in answers.brand_hits(told, brands).collect()}
+    monkeypatch.setattr(answers, "SENT_BRANDS", 0)
+    assert {(r.answer_id, r.brand, r.position) for r in answers.brand_hits(told, brands).collect()} == want == {(1, "Acme Data", 2), (5, "Other", 1), (5, "Acme Data", 1)}
+
+
+def test_journey_outcomes(spark):
+    fine = ("fetch", 200, 500, [])
+    trails = {
+        "blocked": [("fetch", 403, 0, [])], "stalled": [fine], "partial": [fine, ("answer", None, None, None)], "shell": [("fetch", 200, 500, ["javascript_only"])],
+        "verified": [fine, ("answer", None, None, None)], "custom": [fine, ("answer", None, None, None)],
+    }
+    rows = [(j, a, s, 10, 100, w, i, j == "verified" and a == "answer", j == "custom") for j, steps in trails.items() for a, s, w, i in steps]
+    steps = spark.createDataFrame(rows, "journey_id string, action string, status int, ms int, bytes int, words int, issues array<string>, verified boolean, custom boolean")
+    got = {r.journey_id: r.outcome for r in journeys.journey_metrics(steps).collect()}
+    assert got == {"blocked": "blocked", "stalled": "stalled", "partial": "partial", "shell": "blocked", "verified": "completed", "custom": "completed"}
+    assert {r.outcome for r in journeys.journey_metrics(steps.drop("verified", "custom")).collect()} == {"blocked", "stalled", "partial"}
+
+
 def test_history(spark):
     schema = "id string, host string, completed_at string, status string, score int"
     old = spark.createDataFrame([("1", "a", "2024-01-01", "complete", 60)], schema)
@@ -104,7 +125,8 @@ def test_streams(spark, tmp_path):
     q = jobs.windowed_counts(stream).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     got = {(r.start, r.n) for r in spark.table("w").collect()}
-    assert got and got <= {(r.start, r.n) for r in jobs.windowed_counts(events).collect()}
+    every = {(r.start, r.n) for r in jobs.windowed_counts(events).collect()}
+    assert got <= every and len(got) >= len(every) - 2  # the windows that the watermark has not passed stay open
 
 
 def test_provenance_and_schema_are_scored(spark):
@@ -123,3 +145,75 @@ def test_provenance_and_schema_are_scored(spark):
     }
     points = {r.page_id: (r.provenance, r.schema) for r in citability.page_citability(s).collect()}
     assert points == {0: (10, 10), 1: (5, 0), 2: (5, 0), 3: (5, 0), 4: (0, 0), 5: (0, 0)}
+
+
+def read_pages(spark, bodies):
+    from crawlsight.operators import signals
+
+    return signals.page_signals(spark.createDataFrame([(i, f"https://a.test/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string"))
+
+
+def test_signals_of_odd_markup(spark):
+    words = "one two three four five six seven eight"
+    page = (
+        "<html lang='en'><head><meta content='About us' name='description'><meta name=robots content=noindex><meta property='og:title' content='A'>"
+        "<meta property=\"og:title\" content=\"B\"><link href='/c' rel=canonical></head><body><div id=root></div><h1></h1><h1>Real</h1><h2>Why us?</h2>"
+        "<svg><title>x</title></svg><template><p>gone</p></template><iframe>gone</iframe>"
+        f"<main><div>{words} container<p>{words} leaf</p></div><ul><li>a<ul><li>b</ul><li>c</ul><ol><li>only</ol><table><tr><td>1<tr><td>2</table><table><tr><td><table><tr><td>x</table></table>"
+        f"<li>{words} item<li>{words} last</li></main><img alt='x'><img alt=' '><img><a href='/about'>a</a></body></html>"
+    )
+    r = read_pages(spark, [page, None]).collect()
+    s = r[0]
+    assert (s.lang, s.description, s.meta_robots, s.canonical, s.open_graph) == ("en", "About us", "noindex", "/c", {"og:title": "B"})
+    assert s.h1 == ["Real"] and s.question_headings == 1 and s.app_shell and "gone" not in s.text
+    assert s.passages == [f"{words} leaf", f"{words} item", f"{words} last"]
+    assert (s.lists, s.tables, s.images, s.images_with_alt, s.hrefs) == (1, 2, 3, 1, ["/about"])
+    assert (r[1].title, r[1].words, r[1].passages, r[1].lists) == ("", 0, [], 0)
+
+
+def test_two_questions_earn_all_points(spark):
+    from crawlsight.operators import citability
+
+    pages = read_pages(spark, ["<h2>What is it?</h2>" * n for n in range(4)])
+    assert {r.page_id: r.questions for r in citability.page_citability(pages).collect()} == {0: 0, 1: 6, 2: 10, 3: 10}
+
+
+def test_wordless_pages_count(spark):
+    from crawlsight.operators import retrieval
+
+    pages = spark.createDataFrame([(1, "a", "Blue whale", "", "", "whales"), (2, "a", "", None, "", "")], "page_id long, host string, title string, description string, headings string, text string")
+    index = retrieval.postings(pages)
+    assert tuple(retrieval.corpus_stats(index).first()) == (2, 3.5)
+    assert {(r.page_id, r.term, r.tf, r.dl) for r in index.collect()} == {(1, "blu", 3, 7), (1, "whal", 4, 7), (2, None, 0, 0)}
+    asked = spark.createDataFrame([(1, "blue whales")], "query_id int, query string")
+    assert [(r.page_id, r.status) for r in retrieval.rank_pages(asked, index).collect()] == [(1, "answered")]
+
+
+def test_llms_lines_part_titles_by_their_own_marks(spark):
+    from crawlsight.operators import identity
+
+    pages = read_pages(spark, ["<title>Plans · Prices | A</title>"])
+    who = spark.createDataFrame([("a.test", "A", "")], "host string, brand string, description string")
+    assert identity.llms_entries(pages, who).first().line == "- [Plans · Prices](https://a.test/0)"
+
+
+def test_markup_checks(spark):
+    from crawlsight.operators import readiness
+
+    data = '<script type="application/ld+json">{"@type": "Product", "datePublished": "2024", "author": "x"}</script>'
+    html = {
+        "https://a.test/": f"<meta property='og:title' content=x><img alt=a><img>{data}<a href='/about-us'>a</a><a href='https://other.test/contact'>b</a>",
+        "https://a.test/blog/1": f"{data}<meta name=robots content='noindex, follow'>", "https://b.test/": "<script type='application/ld+json'>{oops</script><a href='//b.test/contact'>c</a><h2>Why?</h2>",
+    }
+    from crawlsight.operators import signals
+
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(html.items())], "page_id long, url string, html string")
+    got = {}
+    for r in readiness.markup_checks(signals.page_signals(pages)).collect():
+        got.setdefault(r.host, {})[r.check_id] = r.status
+    assert got["a.test"] == {
+        "indexable": "warn", "alt-text": "warn", "offering-schema": "pass", "faq-schema": "fail", "open-graph": "warn", "about-contact": "warn", "jsonld-valid": "pass", "freshness": "pass",
+    }
+    assert got["b.test"] == {
+        "indexable": "pass", "alt-text": "na", "offering-schema": "fail", "faq-schema": "warn", "open-graph": "fail", "about-contact": "warn", "jsonld-valid": "fail", "freshness": "na",
+    }
