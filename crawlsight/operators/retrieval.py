@@ -23,12 +23,14 @@ def postings(pages: DataFrame) -> DataFrame:
     A page without words has one row without a term, so that the statistics count it.
     """
     fields = F.array(*(F.struct(F.lit(w).alias("w"), tokenise(F.col(f)).alias("t")) for f, w in WEIGHTS.items()))
-    read = pages.select("page_id", "host", fields.alias("f"))
+    # dealt by page once: both counts below stay within a page, and only distinct words are stemmed
+    read = pages.repartition("page_id").select("page_id", "host", fields.alias("f"))
     size = F.aggregate("f", F.lit(0).cast("long"), lambda acc, x: acc + x.w * F.size(x.t))
     words = read.select("page_id", "host", size.alias("dl"), F.explode("f").alias("f")).select("page_id", "host", "dl", "f.w", F.explode_outer("f.t").alias("token"))
-    terms = words.where("token is not null or dl = 0").select("page_id", "host", "dl", "w", stem(F.col("token")).alias("term"))
-    tf = F.sum(F.when(F.col("term").isNotNull(), F.col("w")).otherwise(0)).alias("tf")
-    return terms.groupBy("page_id", "host", "dl", "term").agg(tf).select("page_id", "host", "term", "tf", "dl")
+    tf = F.sum(F.when(F.col("token").isNotNull(), F.col("w")).otherwise(0))
+    counts = words.where("token is not null or dl = 0").groupBy("page_id", "host", "dl", "token").agg(tf.alias("tf"))
+    terms = counts.groupBy("page_id", "host", "dl", stem(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))
+    return terms.select("page_id", "host", "term", "tf", "dl")
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
