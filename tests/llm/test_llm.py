@@ -1,5 +1,6 @@
 """The training-data operators on small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import dataclasses
 import random
 import re
 import zlib
@@ -298,6 +299,36 @@ def test_secret_ledger(spark):
     assert text == "é [access] [assign] token: ab [hex]"
 
 
+def test_only_unseen_rule_versions_are_scanned(spark):
+    texts = docs(spark, [(1, "AKIA" + "B" * 16 + " token: abcdefgh"), (2, "AKIA" + "C" * 40), (3, None)])
+    _, ledger = secrets.scan(texts)
+    changed = tuple(dataclasses.replace(r, keep="30") if r.kind == "access" else r for r in secrets.RULES)
+    found, grown = secrets.scan(texts, ledger, changed)
+    new = grown.subtract(ledger)
+    assert new.count() == 3 and all(r.rules == [changed[1].version] for r in new.collect())
+    assert {r.doc_id: [f.kind for f in r.findings] for r in found.collect()} == {1: ["assign"], 2: ["access"], 3: []}
+    same, still = secrets.scan(texts, grown, changed)
+    assert still.count() == grown.count() and sorted(same.collect()) == sorted(found.collect())
+    former, _ = secrets.scan(texts, grown)
+    assert {r.doc_id: [f.kind for f in r.findings] for r in former.collect()} == {1: ["access", "assign"], 2: ["access"], 3: []}
+
+
+def test_secrets_against_brute_force(spark):
+    r = random.Random(5)
+    bits = ["token=", "abc", "é𝄞", "0a" * 12, "f" * 24, "AKIA" + "Z9" * 8, " ", "PassWord\" : 'qwerty12", "api_key:", "\n", "AKIA", "secret =  ", "x1y2z3"]
+    texts = ["".join(r.choice(bits) for _ in range(n)) for n in (0, 1, 5, 40, 400, 6000)] + ["token=abcdef " * 256, "token=abcdef " * 257]
+    whole = {
+        "assign": (r"(?:[Pp]ass[Ww]ord|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    }
+    found, _ = secrets.scan(docs(spark, list(enumerate(texts))))
+    for row in found.collect():
+        want = sorted((m.start(), no, k, m.end()) for no, (k, (p, ok)) in enumerate(whole.items()) for m in re.finditer(p, texts[row.doc_id]) if ok(m))
+        assert [(f.start, f.no, f.kind, f.stop) for f in row.findings if f.no < 3] == want
+    none, ledger = secrets.scan(docs(spark, []))
+    assert none.count() == ledger.count() == 0
+
+
 def pages_of(spark, sources, host="a.test"):
     return spark.createDataFrame([(i, f"https://{host}/{i}", s) for i, s in enumerate(sources)], "page_id long, url string, html string")
 
