@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import js_round
 from ..functions.urls import host_of
+from .linked_data import SOCIAL
 
 # Check, layer, weight, for the checks that page signals alone decide.
 CHECKS = (
@@ -84,6 +85,20 @@ def markup_checks(signals: DataFrame) -> DataFrame:
     return _rows(facts, MARKUP_CHECKS, status)
 
 
+# Checks of the organisation a site names.
+ENTITY_CHECKS = (("organization-schema", "entity", 8), ("same-as", "entity", 4))
+
+
+def entity_checks(signals: DataFrame, organisations: DataFrame) -> DataFrame:
+    """(host, check_id, layer, weight, status, earned): what ``organisations`` say of each host of ``signals``, and whether pages link profiles."""
+    social = signals.groupBy("host").agg(F.bool_or(F.exists("hrefs", lambda h: h.rlike(SOCIAL))).alias("social"))
+    facts = social.join(organisations.select("host", F.size("core").alias("core"), "same_as"), "host", "left")
+    graded = lambda ok, some: F.when(ok, "pass").when(some, "warn").otherwise("fail")
+    return _rows(facts, ENTITY_CHECKS, {
+        "organization-schema": graded(F.col("core") >= 3, F.col("core").isNotNull()), "same-as": graded(F.col("same_as") >= 2, F.col("social")),
+    })
+
+
 def _rows(facts: DataFrame, checks_: tuple, status: dict) -> DataFrame:
     rows = F.inline(F.array(*(
         F.struct(F.lit(i).alias("check_id"), F.lit(layer).alias("layer"), F.lit(w).alias("weight"), status[i].alias("status")) for i, layer, w in checks_
