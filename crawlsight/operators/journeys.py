@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import part, url_key
+from pyspark.sql.window import Window
+
+from ..functions.urls import host_of, own_domain, part, url_key
 
 SLOW_MS, THIN_WORDS = 2500, 120
 # What proves that a page answers an intent.
@@ -17,6 +19,22 @@ PROOFS = {
     "policy": r"(?i)(?:\brefund\b|\breturns?\s+(?:policy|within)\b|\bcancel(?:lation)?\s+(?:policy|any\s?time)\b|\bmoney[-\s]?back\b|\b\d+[-\s]?day\s+(?:refund|return|trial|guarantee)\b|\bSLA\b|\buptime\s+guarantee\b)",
     "what": r"(?i)(?:\bwe\s+(?:are|help|build|make|provide|offer)\b|\bour\s+(?:platform|product|mission|customers?)\b|\bfor\s+(?:teams|developers|businesses|enterprises|agencies)\b|\btrusted\s+by\b|\bfounded\s+in\b)",
 }
+# Paths and link words that lead to an intent, the strongest first.
+ROUTES = {
+    "pricing": (r"(?i)\/(pricing|plans?|prices?|packages?|cost|subscriptions?)\b", r"(?i)\b(pricing|plans|price|cost|how much)\b", r"(?i)\/(products?|features?|store|shop|buy)\b"),
+    "contact": (r"(?i)\/(contact|contact-us|get-in-touch|support|help|sales|demo|book)\b", r"(?i)\b(contact|support|talk to|get in touch|sales|help)\b", r"(?i)\/(about|company|team|locations?)\b"),
+    "what": (r"(?i)\/(about|about-us|company|who-we-are|our-story|mission)\b", r"(?i)\/(products?|services?|solutions?|platform|features?)\b", r"(?i)\b(about|what we do|products|platform|solutions)\b"),
+    "docs": (r"(?i)\/(docs?|documentation|developers?|api|reference|guides?)\b", r"(?i)\b(docs|documentation|developers|api|reference)\b", r"(?i)\/(resources|support|help)\b"),
+    "signup": (r"(?i)\/(signup|sign-up|register|start|trial|get-started|checkout|cart|order|buy)\b", r"(?i)\b(sign up|get started|start free|try|buy|order|subscribe)\b", r"(?i)\/(pricing|plans?|products?)\b"),
+    "policy": (r"(?i)\/(refund|returns?|cancel|cancellation|policy|policies|terms|sla|guarantee|warranty)\b", r"(?i)\b(refund|return|cancel|policy|terms|sla|guarantee)\b", r"(?i)\/(support|help|faq|legal)\b"),
+}
+# How bad each issue is.
+SEVERITY = {
+    "robots_blocked": "blocker", "firewall_blocked": "blocker", "auth_wall": "blocker", "not_found": "friction", "server_error": "blocker",
+    "unreachable": "blocker", "javascript_only": "blocker", "thin_content": "friction", "slow_response": "friction", "wrong_content_type": "friction",
+    "redirected": "note", "left_the_site": "friction", "no_route": "blocker", "unverified_answer": "note", "budget_exhausted": "friction",
+}
+BLOCKED, BROKEN = ("robots_blocked", "firewall_blocked", "auth_wall"), ("not_found", "server_error", "unreachable")
 # Words that say nothing about a task.
 TASK_STOP = (
     "find what where when which does their they this that with from about into your have much many page site website company there would should could tell"
@@ -67,19 +85,128 @@ def custom_terms(task: Column) -> Column:
     return F.slice(F.filter(found, lambda w: ~w.isin(TASK_STOP)), 1, 6)
 
 
+def _read() -> Column:
+    """Whether a step fetched a page that can be read."""
+    issues = F.coalesce("issues", F.array().cast("array<string>"))
+    return (F.col("action") == "fetch") & (F.coalesce("status", F.lit(999)) < 400) & (F.coalesce("words", F.lit(0)) >= THIN_WORDS) & ~F.array_contains(issues, "javascript_only")
+
+
+def _any(steps: DataFrame, name: str) -> Column:
+    """Whether a step of the journey has the flag; it may be missing or null."""
+    return F.coalesce(F.bool_or(name), F.lit(False)) if name in steps.columns else F.lit(False)
+
+
 def journey_metrics(steps: DataFrame) -> DataFrame:
-    """(journey_id, fetches, searches, readable, ms, bytes, outcome) of ``steps`` (journey_id, action, status, ms, bytes, words, issues).
+    """(journey_id, steps, fetches, searches, readable, blocked, broken, ms, slowest_ms, bytes, outcome) of ``steps``.
 
-    An answer completes a journey if one of its steps is ``verified`` or its task ``custom``; these flags may be missing.
+    ``steps``: journey_id, action, status, ms, bytes, words, issues. An answer completes a journey if one of its steps is
+    ``verified`` or its task ``custom``; these flags may be missing.
     """
     fetch = F.col("action") == "fetch"
-    fine = fetch & (F.coalesce("status", F.lit(999)) < 400) & (F.coalesce("words", F.lit(0)) >= THIN_WORDS) & ~F.array_contains(F.coalesce("issues", F.array().cast("array<string>")), "javascript_only")
-    n = lambda cond: F.sum(cond.cast("int"))
-    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)) if c in steps.columns else F.lit(False)
+    met = lambda codes: fetch & F.coalesce(F.arrays_overlap("issues", F.array(*map(F.lit, codes))), F.lit(False))
+    n = lambda cond: F.sum(F.coalesce(cond.cast("int"), F.lit(0)))
     out = steps.groupBy("journey_id").agg(
-        n(fetch).alias("fetches"), n(F.col("action") == "search").alias("searches"), n(fine).alias("readable"), n(F.col("action") == "answer").alias("answers"),
-        F.sum(F.when(fetch, F.col("ms"))).alias("ms"), F.sum(F.when(fetch, F.col("bytes"))).alias("bytes"), (flag("verified") | flag("custom")).alias("proven"),
+        F.count(F.lit(1)).alias("steps"), n(fetch).alias("fetches"), n(F.col("action") == "search").alias("searches"), n(_read()).alias("readable"),
+        n(F.col("action") == "answer").alias("answers"), n(met(BLOCKED)).alias("blocked"), n(met(BROKEN)).alias("broken"),
+        F.sum(F.when(fetch, F.col("ms"))).alias("ms"), F.max(F.when(fetch, F.col("ms"))).alias("slowest_ms"), F.sum(F.when(fetch, F.col("bytes"))).alias("bytes"),
+        (_any(steps, "verified") | _any(steps, "custom")).alias("proven"),
     )
     answered = F.col("answers") > 0
     outcome = F.when(F.col("readable") == 0, "blocked").when(answered & F.col("proven"), "completed").when(answered, "partial").otherwise("stalled")
     return out.withColumn("outcome", outcome).drop("answers", "proven")
+
+
+def journey_issues(steps: DataFrame) -> DataFrame:
+    """(journey_id, rank, code, severity, step, url): what stood in each journey's way, the worst and earliest first.
+
+    ``steps``: journey_id, n, action, url, final_url, status, words, issues; the flags ``verified``, ``custom`` and
+    ``exhausted`` may be missing. A code counts once per url. A journey that gave up after it had read a page found no route.
+    """
+    url = F.when(F.coalesce("final_url", F.lit("")) != "", F.col("final_url")).otherwise(F.coalesce("url", F.lit("")))
+    met = steps.select("journey_id", F.col("n").alias("step"), url.alias("url"), F.explode("issues").alias("code"))
+    met = met.groupBy("journey_id", "code", "url").agg(F.min("step").alias("step"))
+    does = lambda action: F.coalesce(F.bool_or(F.col("action") == action), F.lit(False))
+    runs = steps.groupBy("journey_id").agg(
+        does("answer").alias("answered"), does("giveup").alias("gave_up"), F.bool_or(_read()).alias("read"), F.max("n").alias("last"),
+        F.min(F.when(F.col("action") == "answer", F.col("n"))).alias("answer"), _any(steps, "verified").alias("verified"),
+        _any(steps, "custom").alias("custom"), _any(steps, "exhausted").alias("exhausted"),
+    )
+    c = F.col
+    rule = lambda cond, code, step: F.when(cond, F.struct(F.lit(code).alias("code"), step.cast("long").alias("step")))
+    rules = F.array_compact(F.array(
+        rule(c("gave_up") & ~c("answered") & c("read"), "no_route", c("last")), rule(c("exhausted") & ~c("answered"), "budget_exhausted", F.lit(None)),
+        rule(c("answered") & ~c("verified") & ~c("custom"), "unverified_answer", c("answer")),
+    ))
+    told = runs.select("journey_id", F.inline(rules)).select("journey_id", "code", F.lit("").alias("url"), "step")
+    severity = F.try_element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), c("code"))
+    rows = met.withColumn("step", c("step").cast("long")).unionByName(told).withColumn("severity", severity)
+    order = Window.partitionBy("journey_id").orderBy(
+        F.when(c("severity") == "blocker", 0).when(c("severity") == "friction", 1).otherwise(2), F.coalesce("step", F.lit(99)), "code", "url"
+    )
+    return rows.select("journey_id", F.row_number().over(order).alias("rank"), "code", "severity", "step", "url")
+
+
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """(journey_id, blockers, friction) of ``journey_issues``."""
+    n = lambda s: F.sum((F.col("severity") == s).cast("int"))
+    return issues.groupBy("journey_id").agg(n("blocker").alias("blockers"), n("friction").alias("friction"))
+
+
+def rank_routes(links: DataFrame, visited: DataFrame | None = None) -> DataFrame:
+    """(page_id, intent, href, text, score) of ``links`` (page_id, host, pos, href, text): those that lead towards an intent.
+
+    Links that leave the host or that ``visited`` (page_id, key) has are left out; of equal ones the first counts. An
+    earlier route scores higher, a deeper path lower.
+    """
+    own = links.where(own_domain(host_of(F.col("href")), F.col("host"))).withColumn("key", url_key(F.col("href")))
+    first = own.groupBy("page_id", "key").agg(F.min_by(F.struct("href", "text"), "pos").alias("l"))
+    if visited is not None:
+        first = first.join(visited.select("page_id", "key"), ["page_id", "key"], "left_anti")
+    path = F.coalesce(part(F.col("l.href"), "PATH"), F.lit("/"))
+    path = F.when(path == "", "/").otherwise(path)
+    subject = F.concat(path, F.lit(" "), F.coalesce("l.text", F.lit("")))
+    depth = F.size(F.filter(F.split(path, "/"), lambda x: x != ""))
+
+    def strength(routes: tuple) -> Column:
+        found = F.when(subject.rlike(routes[0]), len(routes) * 10)
+        for i, r in enumerate(routes[1:], 1):
+            found = found.when(subject.rlike(r), (len(routes) - i) * 10)
+        return found
+
+    ranks = F.inline(F.array(*(F.struct(F.lit(i).alias("intent"), (strength(r) - depth).alias("score")) for i, r in ROUTES.items())))
+    return first.select("page_id", "l.href", "l.text", ranks).where("score IS NOT NULL").select("page_id", "intent", "href", "text", "score")
+
+
+def next_moves(pages: DataFrame, routes: DataFrame) -> DataFrame:
+    """(page_id, intent, action, url, found): what a reader of each of ``pages`` (page_id, title, text) does next for every intent.
+
+    A page that proves the intent is the answer; else the best of ``rank_routes`` is fetched, ties by address; else the reader gives up.
+    """
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    proofs = F.inline(F.array(*(F.struct(F.lit(i).alias("intent"), prove_intent(said, p).alias("found")) for i, p in PROOFS.items())))
+    best = routes.groupBy("page_id", "intent").agg(F.min_by("href", F.struct((-F.col("score")).alias("s"), "href")).alias("href"))
+    rows = pages.select("page_id", proofs).join(best, ["page_id", "intent"], "left")
+    proven = F.col("found") != ""
+    return rows.select(
+        "page_id", "intent", F.when(proven, "answer").when(F.col("href").isNotNull(), "fetch").otherwise("giveup").alias("action"),
+        F.when(~proven, F.col("href")).alias("url"), "found",
+    )
+
+
+def admit_moves(moves: DataFrame, visited: DataFrame, fetches: int = 8, searches: int = 2) -> DataFrame:
+    """The proposed ``moves`` (journey_id, n, host, action, url) that a journey may make, in the order of n.
+
+    Fetches must stay on the host, by http or https, and be new to the journey (``visited``: journey_id, key); of both
+    kinds only so many are let in. Of equal addresses the first counts. Other actions pass.
+    """
+    rows = moves.withColumn("_key", F.when(F.col("action") == "fetch", url_key(F.col("url"))))
+    on_site = F.coalesce(F.lower(part(F.col("url"), "PROTOCOL")).isin("http", "https") & own_domain(host_of(F.col("url")), F.col("host")), F.lit(False))
+    rows = rows.where((F.col("action") != "fetch") | on_site)
+    seen = visited.select("journey_id", F.col("key").alias("_key")).distinct()
+    rows = rows.join(seen, ["journey_id", "_key"], "left_anti")
+    # one journey's moves: a few dozen
+    again = Window.partitionBy("journey_id", "action", F.coalesce("_key", F.col("n").cast("string"))).orderBy("n")
+    kinds = Window.partitionBy("journey_id", "action").orderBy("n")
+    rows = rows.withColumn("_again", F.row_number().over(again)).where("_again = 1").withColumn("_i", F.row_number().over(kinds))
+    room = F.when(F.col("action") == "fetch", F.col("_i") <= fetches).when(F.col("action") == "search", F.col("_i") <= searches).otherwise(True)
+    return rows.where(room).select(*moves.columns)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import briefs as br
-from ..operators import citability, compare, identity, readiness, retrieval
+from ..operators import citability, compare, identity, linked_data, readiness, retrieval
+from ..operators.linked_data import SOCIAL
 from ..operators.signals import QUESTION
-from .queries import _CITE, _DANGLING, _DEFINES, _INDEX, _SCORES, _SIGNALS, _VERDICT, ORACLE, _index, _plain, _questions, _round, _signals, _words, query
+from ..sources.tables import read_table
+from .queries import _CITE, _DANGLING, _DEFINES, _host, _INDEX, _SCORES, _SIGNALS, _VERDICT, ORACLE, _index, _plain, _questions, _round, _signals, _words, query
 
 # ---------------------------------------------------------------- checks
 
@@ -98,6 +100,15 @@ def markup_checks(spark, sf_dir):
     return readiness.markup_checks(_signals(spark, sf_dir))
 
 
+@query(f"""WITH s AS (SELECT {_host('url')} AS host, bool_or(len(list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*\\shref="([^"]*)"', 1), lambda h: regexp_matches(h, '{SOCIAL}'))) > 0) AS social FROM pages GROUP BY 1)
+  SELECT host, 'organization-schema' AS check_id, 'entity' AS layer, 8::INT AS weight, 'fail' AS status, 0.0::DOUBLE AS earned FROM s
+  UNION ALL SELECT host, 'same-as', 'entity', 4::INT, CASE WHEN social THEN 'warn' ELSE 'fail' END, CASE WHEN social THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END FROM s""")
+def entity_checks(spark, sf_dir):
+    """The checks of a site's organisation and its profiles; the SQL knows pages without structured data."""
+    orgs = linked_data.organisations(linked_data.nodes(read_table(spark, sf_dir, "pages")))
+    return readiness.entity_checks(_signals(spark, sf_dir), orgs)
+
+
 # ---------------------------------------------------------------- questions over sites
 
 _BEST = f"""{_SIGNALS}, {_INDEX}, {_SCORES},

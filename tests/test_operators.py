@@ -107,6 +107,54 @@ def test_journey_outcomes(spark):
     assert {r.outcome for r in journeys.journey_metrics(steps.drop("verified", "custom")).collect()} == {"blocked", "stalled", "partial"}
 
 
+def test_journey_issues(spark):
+    rows = [
+        ("a", 1, "fetch", "https://a.test/", None, 200, 500, ["slow_response"], 9), ("a", 2, "fetch", "https://a.test/", None, 200, 500, ["slow_response", "redirected"], 5),
+        ("a", 3, "fetch", "https://a.test/x", "https://a.test/y", 404, 5, ["not_found"], 7), ("a", 4, "giveup", None, None, None, None, None, None),
+        ("b", 1, "fetch", "https://b.test/", None, 403, 0, ["firewall_blocked"], 3), ("b", 2, "giveup", None, None, None, None, [], None),
+        ("c", 1, "fetch", "https://c.test/", None, 200, 500, [], 3), ("c", 2, "answer", None, None, None, None, None, None),
+        ("d", 1, "fetch", "https://d.test/", None, 200, 500, [], 3),
+    ]
+    steps = spark.createDataFrame(
+        [(*r, r[0] == "d") for r in rows],
+        "journey_id string, n int, action string, url string, final_url string, status int, words int, issues array<string>, ms int, exhausted boolean",
+    )
+    issues = journeys.journey_issues(steps)
+    got = {}
+    for r in issues.orderBy("journey_id", "rank").collect():
+        got.setdefault(r.journey_id, []).append((r.code, r.step, r.url))
+    assert got == {
+        "a": [("no_route", 4, ""), ("slow_response", 1, "https://a.test/"), ("not_found", 3, "https://a.test/y"), ("redirected", 2, "https://a.test/")],
+        "b": [("firewall_blocked", 1, "https://b.test/")], "c": [("unverified_answer", 2, "")], "d": [("budget_exhausted", None, "")],
+    }
+    assert {r.journey_id: (r.blockers, r.friction) for r in journeys.issue_counts(issues).collect()} == {"a": (1, 2), "b": (1, 0), "c": (0, 0), "d": (0, 1)}
+    m = {r.journey_id: r for r in journeys.journey_metrics(steps.withColumn("bytes", F.lit(1))).collect()}
+    assert (m["a"].steps, m["a"].fetches, m["a"].broken, m["a"].blocked, m["a"].slowest_ms, m["b"].blocked) == (4, 3, 1, 0, 9, 1)
+
+
+def test_routes_and_moves(spark):
+    links = spark.createDataFrame([
+        (1, "a.test", 0, "https://a.test/pricing", "x"), (1, "a.test", 1, "https://www.a.test/pricing/", "again"), (1, "a.test", 2, "https://a.test/x/y", "Our plans"),
+        (1, "a.test", 3, "https://b.test/pricing", "away"), (1, "a.test", 4, "https://docs.a.test/api", None), (1, "a.test", 5, "mailto:x", "contact"), (2, "a.test", 0, "https://a.test/z", "none"),
+    ], "page_id int, host string, pos int, href string, text string")
+    got = {(r.page_id, r.intent, r.href): r.score for r in journeys.rank_routes(links).collect()}
+    assert got == {
+        (1, "pricing", "https://a.test/pricing"): 29, (1, "pricing", "https://a.test/x/y"): 18, (1, "docs", "https://docs.a.test/api"): 29, (1, "signup", "https://a.test/pricing"): 9,
+    }
+    seen = spark.createDataFrame([(1, "a.test/pricing")], "page_id int, key string")
+    assert {(r.intent, r.href) for r in journeys.rank_routes(links, seen).collect()} == {("pricing", "https://a.test/x/y"), ("docs", "https://docs.a.test/api")}
+    pages = spark.createDataFrame([(1, "T", "Team costs $29 per seat"), (2, None, None)], "page_id int, title string, text string")
+    moves = {(r.page_id, r.intent): (r.action, r.url) for r in journeys.next_moves(pages, journeys.rank_routes(links)).collect()}
+    assert len(moves) == 12 and moves[1, "pricing"] == ("answer", None) and moves[1, "docs"] == ("fetch", "https://docs.a.test/api") and moves[2, "pricing"] == ("giveup", None)
+    asked = spark.createDataFrame(
+        [("j", 1, "a.test", "fetch", "https://a.test/seen"), ("j", 2, "a.test", "fetch", "https://a.test/n"), ("j", 3, "a.test", "fetch", "https://www.a.test/n/"), ("j", 4, "a.test", "fetch", "ftp://a.test/n2"),
+         ("j", 5, "a.test", "fetch", None), ("j", 6, "a.test", "fetch", "https://a.test/m"), ("j", 7, "a.test", "search", None), ("j", 8, "a.test", "answer", None), ("j", 9, "a.test", "fetch", "https://a.test/o")],
+        "journey_id string, n int, host string, action string, url string",
+    )
+    done = spark.createDataFrame([("j", "a.test/seen")], "journey_id string, key string")
+    assert sorted(r.n for r in journeys.admit_moves(asked, done, fetches=2).collect()) == [2, 6, 7, 8]
+
+
 def test_history(spark):
     schema = "id string, host string, completed_at string, status string, score int"
     old = spark.createDataFrame([("1", "a", "2024-01-01", "complete", 60)], schema)
