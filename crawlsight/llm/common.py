@@ -21,9 +21,11 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only on a single machine where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-crawlsight-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
