@@ -143,3 +143,48 @@ def fanout_by_type(queries: DataFrame, answerable: bool = False) -> DataFrame:
     hit = F.col("retrieval") == "answered" if answerable else _reached()
     number = F.array_position(F.array(*map(F.lit, FANOUT_TYPES)), F.col("type")).cast("int")
     return rows.groupBy("seed", "type").agg(F.count(F.lit(1)).cast("int").alias("measured"), F.sum(hit.cast("int")).cast("int").alias("hits")).withColumn("type_no", number).where("type_no > 0")
+
+
+# What the address of a cited site says about it.
+REVIEW_SITES = r"(g2|capterra|clutch|trustpilot|trustradius|getapp|softwareadvice|gartner|yelp|tripadvisor|glassdoor|producthunt)\."
+COMMUNITY = r"(reddit|quora|stackoverflow|stackexchange|medium|linkedin|youtube)\."
+REFERENCE = r"(wikipedia|wikidata|crunchbase|bloomberg|forbes)\."
+
+
+def cited_site_class(domain: Column) -> Column:
+    """review, community, reference or other; null for none."""
+    return F.when(domain.rlike(REVIEW_SITES), "review").when(domain.rlike(COMMUNITY), "community").when(domain.rlike(REFERENCE), "reference").when(domain.isNotNull(), "other")
+
+
+def visibility_actions(answers: DataFrame, domains: DataFrame) -> DataFrame:
+    """(host, rank, action, priority, n, of): what answers call for, the most pressing first, then in the order of the rules.
+
+    ``answers``: host, kind, status, mentioned, cited, grounded, position, inaccuracies (array); ``domains``:
+    ``cited_domains``. absent: n of the unbranded answers leave the brand out; sources: n of the cited sites are
+    others'; entity: n of the branded answers don't know it; accuracy: n wrong statements; never-cited: n mentions
+    without a link. A host without measured answers has no action.
+    """
+    ok, branded = F.col("status") == "ok", F.col("kind") == "branded"
+    missed = ok & ~F.coalesce("mentioned", F.lit(False))
+    n = lambda cond: F.sum(cond.cast("int")).cast("int")
+    facts = answer_counts(answers).join(answers.groupBy("host").agg(
+        n(missed & ~branded).alias("absent"), n(missed & branded).alias("unknown"), n(ok & branded).alias("branded"),
+        F.sum(F.coalesce(F.size(F.coalesce("inaccuracies", F.array().cast("array<string>"))), F.lit(0))).cast("int").alias("wrong"),
+    ), "host").join(domains.where("NOT own").groupBy("host").agg(F.count(F.lit(1)).cast("int").alias("others")), "host", "left")
+    c = F.col
+
+    def rule(cond, action, priority, n, of):
+        priority = F.lit(priority) if isinstance(priority, str) else priority
+        return F.when(cond, F.struct(F.lit(action).alias("action"), priority.alias("priority"), n.alias("n"), of.alias("of")))
+
+    others = F.coalesce("others", F.lit(0))
+    rows = F.array_compact(F.array(
+        rule(c("absent") > 0, "absent", F.when(c("absent") / c("category_measured") >= 0.5, "high").otherwise("medium"), c("absent"), c("category_measured")),
+        rule(others > 0, "sources", "high", others, others),
+        rule(c("unknown") > 0, "entity", F.when(c("unknown") == c("branded"), "high").otherwise("medium"), c("unknown"), c("branded")),
+        rule(c("wrong") > 0, "accuracy", "high", c("wrong"), c("wrong")),
+        rule((c("grounded_measured") > 0) & (c("citations") == 0) & (c("mentions") > 0), "never-cited", "medium", c("mentions"), c("grounded_measured")),
+    ))
+    found = facts.where("measured > 0").select("host", F.posexplode(rows).alias("no", "a")).select("host", "no", "a.*")
+    order = Window.partitionBy("host").orderBy(F.when(c("priority") == "high", 0).otherwise(1), "no")  # five rows a host
+    return found.select("host", F.row_number().over(order).alias("rank"), "action", "priority", "n", "of")

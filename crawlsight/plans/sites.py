@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import briefs as br
-from ..operators import citability, compare, identity, linked_data, readiness, retrieval
+from ..operators import citability, compare, identity, linked_data, pages, readiness, retrieval
 from ..operators.linked_data import SOCIAL
 from ..operators.signals import QUESTION
-from ..sources.tables import read_table
+from ..sources.tables import read_table, stored
 from .queries import _CITE, _DANGLING, _DEFINES, _host, _INDEX, _SCORES, _SIGNALS, _VERDICT, ORACLE, _index, _plain, _questions, _round, _signals, _words, query
 
 # ---------------------------------------------------------------- checks
@@ -40,10 +40,11 @@ _LAYERS = f"""{_CHECKS}, layers AS (SELECT host, layer, {_round('sum(earned)', 1
 ORACLE["readiness_checks"] = f"WITH {_CHECKS} SELECT host, check_id, layer, weight, status, earned FROM checks"
 ORACLE["readiness_scores"] = f"""WITH {_LAYERS}, s AS (SELECT host, {_round('100 * sum(earned) / sum(possible)', 0)}::INT AS score FROM layers GROUP BY host)
   SELECT host, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 55 THEN 'D' ELSE 'F' END AS grade FROM s"""
-ORACLE["host_citability"] = f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pts AS (SELECT host, CASE WHEN shell THEN 0 ELSE
+_POINTS = f"""CASE WHEN shell THEN 0 ELSE
     CASE WHEN {_words('lead')} BETWEEN 12 AND 90 AND NOT regexp_matches(lead, '{_DANGLING}') AND regexp_matches(regexp_split_to_array(lead, '[.!?]')[1], '{_DEFINES}') THEN 20 WHEN {_words('lead')} >= 12 THEN 8 ELSE 0 END
     + least(20, 5 * liftable) + CASE WHEN facts_found >= 6 THEN 15 WHEN facts_found >= 3 THEN 10 WHEN facts_found >= 1 THEN 5 ELSE 0 END
-    + CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END + CASE WHEN questions >= 2 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END END AS score FROM cite JOIN heads USING (page_id))
+    + CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END + CASE WHEN questions >= 2 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END END"""
+ORACLE["host_citability"] = f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pts AS (SELECT host, {_POINTS} AS score FROM cite JOIN heads USING (page_id))
   SELECT host, {_round('avg(score)', 0)}::INT AS score, count(score) AS measured, 0::BIGINT AS unmeasured FROM pts GROUP BY host"""
 
 
@@ -109,6 +110,18 @@ def entity_checks(spark, sf_dir):
     return readiness.entity_checks(_signals(spark, sf_dir), orgs)
 
 
+@query(f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pts AS (SELECT page_id, shell, {_POINTS} AS score FROM cite JOIN heads USING (page_id)), f AS (
+    SELECT page_id, 0 AS s, 4 AS no, 'high' AS severity, 'app-shell' AS code, words::VARCHAR AS detail FROM sig WHERE words < 120 AND scripts >= 3
+    UNION ALL SELECT page_id, 1, 9, 'medium', 'no-title', '' FROM sig WHERE title = '' UNION ALL SELECT page_id, 2, 10, 'low', 'no-description', '' FROM sig WHERE description = ''
+    UNION ALL SELECT page_id, 2, 12, 'low', 'no-structured-data', '' FROM sig UNION ALL SELECT page_id, 1, 14, 'medium', 'citability', score::VARCHAR FROM pts WHERE score < 50 AND NOT shell)
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY s, no)::INT AS rank, severity, code, detail FROM f""")
+def page_findings(spark, sf_dir):
+    """What keeps engines from using each page, by its source alone; the SQL knows pages without robots tags, structured data or canonicals elsewhere."""
+    sig = stored(_signals(spark, sf_dir), "signals")
+    nodes = linked_data.node_checks(linked_data.nodes(read_table(spark, sf_dir, "pages")))
+    return pages.page_findings(pages.page_report(sig, nodes, citability.page_citability(sig)))
+
+
 # ---------------------------------------------------------------- questions over sites
 
 _BEST = f"""{_SIGNALS}, {_INDEX}, {_SCORES},

@@ -14,6 +14,37 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+CRAWL = (
+    "target string, startedAt string, completedAt string, warnings array<string>, pages array<struct<id:string,url:string,status:int,title:string,description:string,"
+    "canonicalUrl:string,headings:array<struct<level:int,text:string>>,text:string,links:array<string>,jsonLd:array<variant>,fingerprint:string,contentType:string,duplicateOf:string>>, "
+    "crawlEdges array<struct<from:string,to:string>>, failures array<struct<url:string,error:string>>, _corrupt_record string"
+)
+
+
+def read_crawl_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Crawl documents, one JSON document a site (or a line each), as tables: runs, pages, edges, failures, rejected.
+
+    What a document leaves out is null, an absent list gives no rows. A file that isn't such a document is in rejected,
+    with its text, and in no other table.
+    """
+    read = spark.read.schema(CRAWL).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    docs = read.json(path)
+    good = docs.where("_corrupt_record IS NULL AND target IS NOT NULL")
+    each = lambda name, *cols: good.select("target", F.explode(name).alias("x")).select("target", *cols)
+    return {
+        "runs": good.select("target", F.col("startedAt").alias("started_at"), F.col("completedAt").alias("completed_at"), "warnings"),
+        "pages": each(
+            "pages", F.col("x.id").alias("page_id"), F.col("x.url").alias("url"), F.coalesce("x.status", F.lit(0)).alias("status"), F.coalesce("x.title", F.lit("")).alias("title"),
+            F.coalesce("x.description", F.lit("")).alias("description"), F.coalesce("x.canonicalUrl", F.lit("")).alias("canonical"), F.col("x.headings").alias("headings"),
+            F.coalesce("x.text", F.lit("")).alias("text"), F.col("x.links").alias("links"), F.to_json("x.jsonLd").alias("jsonld"), F.col("x.fingerprint").alias("fingerprint"),
+            F.col("x.contentType").alias("content_type"), F.col("x.duplicateOf").alias("duplicate_of"),
+        ),
+        "edges": each("crawlEdges", F.col("x.from").alias("source"), F.col("x.to").alias("target_url")),
+        "failures": each("failures", F.col("x.url").alias("url"), F.col("x.error").alias("error")),
+        "rejected": docs.where("_corrupt_record IS NOT NULL OR target IS NULL").select("_corrupt_record"),
+    }
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that all executors share and read again, for what several readers need."""
     spark = df.sparkSession

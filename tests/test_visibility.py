@@ -71,3 +71,19 @@ def test_plans(spark):
     rows = [(1, "comparison", "a vs b"), (1, "follow_up", "and then"), (2, "comparison", "ok query"), (2, "odd", "ok query"), (3, "comparison", "ab"), (4, "comparison", None)] + [(5, "comparison", f"query {i}") for i in range(13)]
     valid, rejected = vis.valid_plan(spark.createDataFrame(rows, "plan_id int, type string, query string"))
     assert {r.plan_id for r in valid.collect()} == {1} and {r.plan_id for r in rejected.collect()} == {2, 3, 4, 5} and rejected.count() == 17
+
+
+def test_visibility_actions(spark):
+    rows = [
+        ("a.test", "category", "ok", False, False, True, ["wrong price"]), ("a.test", "category", "ok", True, False, True, None), ("a.test", "category", "ok", True, None, True, []),
+        ("a.test", "branded", "ok", None, None, False, None), ("b.test", "category", "failed", None, None, None, None), ("c.test", "branded", "ok", True, True, True, None),
+    ]
+    df = spark.createDataFrame([(*r[:6], None, r[6]) for r in rows], "host string, kind string, status string, mentioned boolean, cited boolean, grounded boolean, position int, inaccuracies array<string>")
+    domains = spark.createDataFrame([("a.test", "g2.com", 2, False), ("a.test", "a.test", 1, True), ("c.test", "c.test", 1, True)], "host string, domain string, count int, own boolean")
+    got = [(r.host, r.action, r.priority, r.n, r.of) for r in vis.visibility_actions(df, domains).orderBy("host", "rank").collect()]
+    assert got == [
+        ("a.test", "sources", "high", 1, 1), ("a.test", "entity", "high", 1, 1), ("a.test", "accuracy", "high", 1, 1), ("a.test", "absent", "medium", 1, 3),
+        ("a.test", "never-cited", "medium", 2, 3),
+    ]
+    names = spark.createDataFrame([("www.g2.com",), ("old.reddit.com",), ("en.wikipedia.org",), ("x.test",), (None,)], "d string")
+    assert [r[0] for r in names.select(vis.cited_site_class(names.d)).collect()] == ["review", "community", "reference", "other", None]
