@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -137,9 +138,9 @@ def divergence(
                     else:  # words before the first range begins are in none
                         to[mine] = [first + i if i >= 0 else -1 for i in (bisect_right(begins, spelled[w]) - 1 for w in (both[mine] % n_words).tolist())]
             order = np.argsort(to[at], kind="stable")
-            cuts = np.flatnonzero(np.diff(to[at][order], prepend=-2))
+            cuts = np.append(np.flatnonzero(np.diff(to[at][order], prepend=-2)), len(order)).tolist()
             out = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            for a, b in pairwise(cuts):
                 rows_, r = order[a:b], int(to[at[order[a]]])
                 if r >= 0:
                     w, wi = np.unique(at[rows_], return_inverse=True)
@@ -198,7 +199,7 @@ def divergence(
         for b in batches:
             for row in b.to_pylist():
                 n = np.bincount(np.frombuffer(row["source"], "<u4"), np.frombuffer(row["n"], "<i8"), len(row["sources"])).astype("i8")
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n)), pa.array(row["sources"], pa.string()), pa.array(n)], names=["lang", "source", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), pa.string()), pa.array(row["sources"], pa.string()), pa.array(n)], names=["lang", "source", "n"])
 
     by_source = counts.mapInArrow(totals, "lang string, source string, n long").groupBy("lang", "source").agg(F.sum("n").alias("n"))
     every = groups.join(by_source, ["lang", "source"], "left").select(
@@ -240,7 +241,7 @@ def divergence(
         matrix: dict[int, np.ndarray] = {}
         order = np.argsort(number, kind="stable")
         used, at = np.unique(number[order], return_index=True)
-        for k, i, j in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+        for k, (i, j) in zip(used.tolist(), pairwise(np.append(at, len(order)).tolist()), strict=True):
             matrix[k] = np.bincount(ordinal[order[i:j]], n[order[i:j]], n_of[r]).astype("i8")
         none = np.zeros(n_of[r], "i8")
         mine = {k: range(k * at_once, min((k + 1) * at_once, len(size))) for k in {x, y}}
@@ -261,7 +262,7 @@ def divergence(
                     f = _excess(p[i][best], q[best])
                     top = np.lexsort((best, -f))[:TOP]
                     a.extend([i] * len(top)), b.extend([None] * len(top)), where.extend((best[top] + offset[r]).tolist()), value.extend(f[top].tolist())
-        return pa.table([pa.array([lang] * len(a)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(where, pa.int64()), pa.array(value, pa.int64())], names=["lang", "a", "b", "ordinal", "value"])
+        return pa.table([pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(where, pa.int64()), pa.array(value, pa.int64())], names=["lang", "a", "b", "ordinal", "value"])
 
     def spell(rows: pa.Table, ranges_: pa.Table) -> pa.Table:
         automaton, r = Transducer.unpack(ranges_["transducer"][0].as_py()), rows["range"][0].as_py()

@@ -84,7 +84,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return out
 
-    for batch in batches:
+    for batch in (b for b in batches if b.num_rows):
         words = table[batch["failed"].to_numpy()]
         coded = batch["part"].dictionary_encode()
         label = batch["good"].to_numpy(zero_copy_only=False) * 2 + batch["toxic"].to_numpy(zero_copy_only=False)
