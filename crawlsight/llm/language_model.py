@@ -27,7 +27,7 @@ from .common import Store
 from .texts import one_array, spaced_words, text_blocks
 
 #: Bytes of text in a block, and in the corpus for each hash bucket.
-BLOCK, PER_BUCKET = 16_000_000, 8_000_000
+BLOCK, PER_BUCKET = 8_000_000, 8_000_000
 #: One in so many training texts is deleted from the counts that the weights are learned against.
 PARTS = 16
 ROUNDS, LEVELS = 25, 64
