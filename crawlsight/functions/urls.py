@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def part(url: Column, name: str) -> Column:
@@ -69,9 +70,28 @@ def resolve_link(base: Column, href: Column) -> Column:
     folder = F.regexp_extract(F.coalesce(part(base, "PATH"), F.lit("/")), "^(.*/)", 1)
     return (
         F.when(h.rlike("(?i)^(javascript|mailto|tel|data):"), None)
-        .when(h.rlike("(?i)^https?://"), h)
+        .when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), h)
         .when(h.startswith("//"), F.concat(part(base, "PROTOCOL"), F.lit(":"), h))
         .when(h.startswith("/"), F.concat(origin, h))
         .when(h == "", F.regexp_replace(base, "#.*$", ""))
+        .when(h.startswith("?"), F.concat(origin, F.coalesce(part(base, "PATH"), F.lit("/")), h))
         .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), h))
     )
+
+
+def target_host(value: Column) -> Column:
+    """The host that an entry of a target list means, with or without a scheme; null for what is no host name."""
+    raw = F.regexp_replace(value, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
+    host = host_of(F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw)))
+    return F.when((raw != "") & host.contains("."), host)
+
+
+def hosts_of(targets: DataFrame, keep: int = 4) -> DataFrame:
+    """(list_id, pos, host): the hosts of each target list, ``targets`` (list_id, entries), each once in the order of the list, the first ``keep``.
+
+    Entries that are null, blank or no host name are left out; ``pos`` counts from 1. A null or empty list has no rows.
+    """
+    each = targets.select("list_id", F.posexplode("entries").alias("at", "entry")).select("list_id", "at", target_host(F.col("entry")).alias("host"))
+    first = each.where("host IS NOT NULL").groupBy("list_id", "host").agg(F.min("at").alias("at"))
+    order = Window.partitionBy("list_id").orderBy("at")
+    return first.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= keep).select("list_id", "pos", "host")

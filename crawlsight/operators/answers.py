@@ -49,20 +49,36 @@ def brand_hits(answers: DataFrame, brands: DataFrame) -> DataFrame:
     return met.select("answer_id", "brand").join(first, ["answer_id", "brand"], "left")
 
 
+def answer_counts(answers: DataFrame) -> DataFrame:
+    """Per host of ``answers`` (host, kind, status, mentioned, cited, grounded, position): what was measured and met, and the mean position to one decimal.
+
+    Without a position column there is no mean.
+    """
+    ok, yes = F.col("status") == "ok", lambda c: F.coalesce(F.col(c), F.lit(False))
+    n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("int")).cast("int")
+    open_, grounded = ok & (F.col("kind") != "branded"), ok & yes("grounded")
+    position = F.col("position") if "position" in answers.columns else F.lit(None).cast("double")
+    return answers.groupBy("host").agg(
+        n(ok).alias("measured"), n(ok & yes("mentioned")).alias("mentions"), n(open_).alias("category_measured"), n(open_ & yes("mentioned")).alias("category_mentions"),
+        n(grounded & yes("cited")).alias("citations"), n(grounded).alias("grounded_measured"), js_round(F.avg(F.when(ok, position)), 1).alias("average_position"),
+    )
+
+
 def visibility_score(answers: DataFrame) -> DataFrame:
-    """(host, measured, score) of ``answers`` (host, kind, status, mentioned, cited, has_sources).
+    """(host, measured, score) of ``answers`` (host, kind, status, mentioned, cited, grounded), by ``answer_counts``.
 
-    0.6 unbranded mentions, 0.2 branded, 0.2 citations; weights renormalised over what was measured; null if nothing was.
+    0.6 unbranded mentions, 0.2 branded, 0.2 citations of grounded answers, with sources or without; weights renormalised
+    over what was measured; null if nothing was.
     """
-    ok, branded = F.col("status") == "ok", F.col("kind") == "branded"
-    share = lambda hit, of: F.sum(F.when(hit & of, 1).otherwise(0)) / F.nullif(F.sum(F.when(of, 1).otherwise(0)), F.lit(0))
-    parts = answers.groupBy("host").agg(
-        F.sum(ok.cast("int")).alias("measured"), share(F.col("mentioned"), ok & ~branded).alias("u"), share(F.col("mentioned"), ok & branded).alias("b"),
-        share(F.col("cited"), ok & F.col("has_sources")).alias("c"),
+    c = F.col
+    share = lambda hit, of: hit / F.nullif(of, F.lit(0))
+    parts = answer_counts(answers).select(
+        "host", "measured", share(c("category_mentions"), c("category_measured")).alias("u"),
+        share(c("mentions") - c("category_mentions"), c("measured") - c("category_measured")).alias("b"), share(c("citations"), c("grounded_measured")).alias("c"),
     )
-    weigh = lambda c, w: F.when(F.col(c).isNotNull(), w).otherwise(0.0)
+    weigh = lambda name, w: F.when(c(name).isNotNull(), w).otherwise(0.0)
     total = weigh("u", 0.6) + weigh("b", 0.2) + weigh("c", 0.2)
-    summed = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in (("u", 0.6), ("b", 0.2), ("c", 0.2))), F.lit(0.0))
+    summed = sum((F.coalesce(c(name), F.lit(0.0)) * w for name, w in (("u", 0.6), ("b", 0.2), ("c", 0.2))), F.lit(0.0))
     return parts.select("host", "measured", F.when(total > 0, js_round(100 * summed / total)).cast("int").alias("score"))
 
 

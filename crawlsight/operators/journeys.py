@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from ..functions.urls import host_of, own_domain, part, url_key
+from ..functions.urls import host_of, own_domain, part, resolve_link, url_key
 
 SLOW_MS, THIN_WORDS = 2500, 120
 # What proves that a page answers an intent.
@@ -100,15 +100,16 @@ def journey_metrics(steps: DataFrame) -> DataFrame:
     """(journey_id, steps, fetches, searches, readable, blocked, broken, ms, slowest_ms, bytes, outcome) of ``steps``.
 
     ``steps``: journey_id, action, status, ms, bytes, words, issues. An answer completes a journey if one of its steps is
-    ``verified`` or its task ``custom``; these flags may be missing.
+    ``verified`` or its task ``custom``; these flags may be missing. Sums without a fetch are 0.
     """
     fetch = F.col("action") == "fetch"
     met = lambda codes: fetch & F.coalesce(F.arrays_overlap("issues", F.array(*map(F.lit, codes))), F.lit(False))
     n = lambda cond: F.sum(F.coalesce(cond.cast("int"), F.lit(0)))
+    total = lambda how, name: F.coalesce(how(F.when(fetch, F.col(name))), F.lit(0))
     out = steps.groupBy("journey_id").agg(
         F.count(F.lit(1)).alias("steps"), n(fetch).alias("fetches"), n(F.col("action") == "search").alias("searches"), n(_read()).alias("readable"),
         n(F.col("action") == "answer").alias("answers"), n(met(BLOCKED)).alias("blocked"), n(met(BROKEN)).alias("broken"),
-        F.sum(F.when(fetch, F.col("ms"))).alias("ms"), F.max(F.when(fetch, F.col("ms"))).alias("slowest_ms"), F.sum(F.when(fetch, F.col("bytes"))).alias("bytes"),
+        total(F.sum, "ms").alias("ms"), total(F.max, "ms").alias("slowest_ms"), total(F.sum, "bytes").alias("bytes"),
         (_any(steps, "verified") | _any(steps, "custom")).alias("proven"),
     )
     answered = F.col("answers") > 0
@@ -193,20 +194,31 @@ def next_moves(pages: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
-def admit_moves(moves: DataFrame, visited: DataFrame, fetches: int = 8, searches: int = 2) -> DataFrame:
-    """The proposed ``moves`` (journey_id, n, host, action, url) that a journey may make, in the order of n.
+def admit_moves(moves: DataFrame, visited: DataFrame, spent: DataFrame | None = None, fetches: int = 8, searches: int = 2) -> DataFrame:
+    """The proposed ``moves`` (journey_id, n, host, action, url, query) that a journey may make, in the order of n.
 
-    Fetches must stay on the host, by http or https, and be new to the journey (``visited``: journey_id, key); of both
-    kinds only so many are let in. Of equal addresses the first counts. Other actions pass.
+    A fetch is resolved against its host's root, must stay on the host by http or https, and be new to the journey
+    (``visited``: journey_id, key); it comes out as an absolute address without hash. A search needs three characters, blanks
+    at its ends not counted. Of both kinds only so many are let in, less those that ``spent`` (journey_id, fetches, searches)
+    says were made; without it each visited key is one fetch. Of equal addresses the first counts. Other actions pass.
     """
-    rows = moves.withColumn("_key", F.when(F.col("action") == "fetch", url_key(F.col("url"))))
-    on_site = F.coalesce(F.lower(part(F.col("url"), "PROTOCOL")).isin("http", "https") & own_domain(host_of(F.col("url")), F.col("host")), F.lit(False))
-    rows = rows.where((F.col("action") != "fetch") | on_site)
-    seen = visited.select("journey_id", F.col("key").alias("_key")).distinct()
-    rows = rows.join(seen, ["journey_id", "_key"], "left_anti")
+    c = F.col
+    fetch, search = c("action") == "fetch", c("action") == "search"
+    target = resolve_link(F.concat(F.lit("https://"), c("host"), F.lit("/")), c("url"))
+    query = F.trim(F.coalesce("query", F.lit(""))) if "query" in moves.columns else F.lit("")
+    rows = moves.withColumn("_target", F.when(fetch, target)).withColumn("_key", url_key(c("_target")))
+    on_site = F.coalesce(F.lower(part(c("_target"), "PROTOCOL")).isin("http", "https") & own_domain(host_of(c("_target")), host_of(F.concat(F.lit("https://"), c("host")))), F.lit(False))
+    rows = rows.where(F.when(fetch, on_site).when(search, F.length(query) >= 3).otherwise(True))
+    if spent is None:
+        spent = visited.groupBy("journey_id").agg(F.countDistinct("key").alias("fetches"), F.lit(0).alias("searches"))
+    used = spent.groupBy("journey_id").agg(F.max("fetches").alias("_fetches"), F.max("searches").alias("_searches"))
+    seen = visited.select("journey_id", c("key").alias("_key")).distinct()
+    rows = rows.join(seen, ["journey_id", "_key"], "left_anti").join(used, "journey_id", "left")
     # one journey's moves: a few dozen
-    again = Window.partitionBy("journey_id", "action", F.coalesce("_key", F.col("n").cast("string"))).orderBy("n")
+    again = Window.partitionBy("journey_id", "action", F.coalesce("_key", c("n").cast("string"))).orderBy("n")
     kinds = Window.partitionBy("journey_id", "action").orderBy("n")
     rows = rows.withColumn("_again", F.row_number().over(again)).where("_again = 1").withColumn("_i", F.row_number().over(kinds))
-    room = F.when(F.col("action") == "fetch", F.col("_i") <= fetches).when(F.col("action") == "search", F.col("_i") <= searches).otherwise(True)
-    return rows.where(room).select(*moves.columns)
+    left = lambda most, name: c("_i") <= most - F.coalesce(name, F.lit(0))
+    rows = rows.where(F.when(fetch, left(fetches, "_fetches")).when(search, left(searches, "_searches")).otherwise(True))
+    own = {"url": F.when(fetch, c("_target")).otherwise(c("url"))} | ({"query": F.when(search, query).otherwise(c("query"))} if "query" in moves.columns else {})
+    return rows.select(*(own[x].alias(x) if x in own else x for x in moves.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round
@@ -99,6 +99,79 @@ def entity_checks(signals: DataFrame, organisations: DataFrame) -> DataFrame:
     })
 
 
+# The check of speed.
+SPEED_CHECKS = (("speed", "content", 2),)
+
+
+def speed_checks(signals: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """(host, check_id, layer, weight, status, earned): how long each host's home took, by ``fetches`` (page_id, ms).
+
+    Not measured, and not counted, where the home has no time.
+    """
+    home = signals.groupBy("host").agg(F.min("page_id").alias("page_id"))
+    if fetches is None:
+        timed = home.withColumn("ms", F.lit(None).cast("double"))
+    else:
+        timed = home.join(fetches.groupBy("page_id").agg(F.min("ms").alias("ms")), "page_id", "left")
+    ms = F.col("ms")
+    return _rows(timed, SPEED_CHECKS, {"speed": F.when(ms.isNull(), "na").when(ms < 1500, "pass").when(ms < 4000, "warn").otherwise("fail")})
+
+
+#: Checks of a site: their number, and their weights by layer.
+ALL_CHECKS, ALL_WEIGHTS = 27, {"access": 35, "content": 32, "entity": 27, "agent": 9}
+
+
+def all_checks(signals: DataFrame, organisations: DataFrame, access: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
+    """The 27 checks of every host of ``signals``: of its pages, markup, organisation, ``access_checks`` and speed.
+
+    ``signals`` are read by four aggregates: store them first. A host that ``access`` doesn't know counts as one whose
+    files weren't found and whose crawlers nothing was said about: see ``unknown_access``.
+    """
+    hosts = signals.select("host").distinct()
+    told = access.join(hosts, "host", "left_semi")
+    silent = unknown_access(hosts.join(access.select("host").distinct(), "host", "left_anti"))
+    parts = (checks(signals), markup_checks(signals), entity_checks(signals, organisations), speed_checks(signals, fetches), told, silent)
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+# The access and agent checks of a host that has no robots file, sitemap or llms.txt and that no crawler was tried on.
+_UNKNOWN = (
+    ("search-crawlers", "access", 10, "pass"), ("training-crawlers", "access", 3, "pass"), ("firewall", "access", 10, "na"), ("robots-file", "access", 2, "fail"),
+    ("sitemap", "access", 4, "fail"), ("llms-txt", "agent", 6, "fail"), ("llms-full", "agent", 1, "warn"),
+)
+
+
+def unknown_access(hosts: DataFrame) -> DataFrame:
+    """The checks that files and probes decide, for hosts that have neither."""
+    return _rows(hosts, tuple(x[:3] for x in _UNKNOWN), {x[0]: F.lit(x[3]) for x in _UNKNOWN})
+
+
+def score_board(check_rows: DataFrame) -> DataFrame:
+    """(host, layer, earned, possible, score, grade): each host's layers and, with a null layer, the whole, in one pass over its checks.
+
+    A layer's values have one decimal and the whole adds up those rounded values. A layer in which nothing applies has no
+    score, a host in which nothing does scores 0.
+    """
+    measured = F.col("status") != "na"
+    by_layer = check_rows.groupBy("host", "layer").agg(
+        js_round(F.sum(F.when(measured, F.col("earned")).otherwise(0.0)), 1).alias("earned"),
+        js_round(F.sum(F.when(measured, F.col("weight") * 1.0).otherwise(0.0)), 1).alias("possible"),
+    )
+    rows = by_layer.groupingSets([[F.col("host"), F.col("layer")], [F.col("host")]], "host", "layer").agg(
+        F.sum("earned").alias("earned"), F.sum("possible").alias("possible"), F.grouping("layer").alias("whole")
+    )
+    share = js_round(100 * F.col("earned") / F.nullif("possible", F.lit(0.0))).cast("int")
+    scored = rows.withColumn("score", F.when(F.col("whole") == 1, F.coalesce(share, F.lit(0))).otherwise(share))
+    return scored.select("host", "layer", js_round(F.col("earned"), 1).alias("earned"), js_round(F.col("possible"), 1).alias("possible"), "score", F.when(F.col("whole") == 1, grade(F.col("score"))).alias("grade"))
+
+
+def grade(score: Column) -> Column:
+    return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 55, "D").otherwise("F")
+
+
 def _rows(facts: DataFrame, checks_: tuple, status: dict) -> DataFrame:
     rows = F.inline(F.array(*(
         F.struct(F.lit(i).alias("check_id"), F.lit(layer).alias("layer"), F.lit(w).alias("weight"), status[i].alias("status")) for i, layer, w in checks_
@@ -121,7 +194,4 @@ def readiness_scores(layers: DataFrame) -> DataFrame:
     """(host, score, grade), summed from the rounded layer values."""
     out = layers.groupBy("host").agg(F.sum("earned").alias("e"), F.sum("possible").alias("p"))
     score = F.when(F.col("p") > 0, js_round(100 * F.col("e") / F.col("p")).cast("int")).otherwise(0)
-    s = F.col("score")
-    return out.select("host", score.alias("score")).withColumn(
-        "grade", F.when(s >= 90, "A").when(s >= 80, "B").when(s >= 70, "C").when(s >= 55, "D").otherwise("F")
-    )
+    return out.select("host", score.alias("score")).withColumn("grade", grade(F.col("score")))

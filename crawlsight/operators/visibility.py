@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import compact, js_round
 from ..functions.urls import own_domain, source_domain
-from .answers import mentions
+from .answers import answer_counts, mentions
 
 # Sites that compare products and are nobody's rival.
 PLATFORMS = (
@@ -100,17 +100,6 @@ def cited_domains(answers: DataFrame, keep: int = SHOWN_DOMAINS, by_name: bool =
     return top.select("host", "domain", "count", own_domain(F.col("domain"), F.col("host")).alias("own"))
 
 
-def answer_counts(answers: DataFrame) -> DataFrame:
-    """Per host of ``answers`` (host, kind, status, mentioned, cited, grounded, position): what was measured and met, and the mean position to one decimal."""
-    ok, yes = F.col("status") == "ok", lambda c: F.coalesce(F.col(c), F.lit(False))
-    n = lambda cond: F.sum(cond.cast("int")).cast("int")
-    open_, grounded = ok & (F.col("kind") != "branded"), ok & yes("grounded")
-    return answers.groupBy("host").agg(
-        n(ok).alias("measured"), n(ok & yes("mentioned")).alias("mentions"), n(open_).alias("category_measured"), n(open_ & yes("mentioned")).alias("category_mentions"),
-        n(grounded & yes("cited")).alias("citations"), n(grounded).alias("grounded_measured"), js_round(F.avg(F.when(ok, F.col("position"))), 1).alias("average_position"),
-    )
-
-
 def valid_plan(plans: DataFrame, keep: int = 12) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) of ``plans`` (plan_id, type, query): a plan has 1 to ``keep`` rows of known kinds, of 3 to 240 characters; one bad row rejects it."""
     bad = ~F.coalesce(F.col("type").isin(*FANOUT_TYPES) & F.length("query").between(3, 240), F.lit(False))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..operators import answers, citability, graph, journeys, readiness, retrieval, signals
+from ..operators import answers, citability, graph, journeys, readiness, responses, retrieval, signals, structure
 from ..sources.tables import read_table, stored
 from ..streaming import jobs
 
@@ -253,9 +253,43 @@ def intent_proofs(spark, sf_dir):
     return journeys.intent_proofs(_signals(spark, sf_dir))
 
 
+@query(f"""WITH {_SIGNALS}, v AS (SELECT page_id, html, title, {_plain("coalesce(nullif(regexp_extract(shown, '(?is)<body[^>]*>(.*?)</body>', 1), ''), shown)")} AS body, {_plain('art')} AS art, scripts FROM sig JOIN scoped USING (page_id, url, html))
+  SELECT page_id, title, {_words('body')} AS words, md5(left(CASE WHEN art <> '' THEN art ELSE body END, 16000)) AS text_md5, {_words('body')} < 120 AND scripts >= 3 AS app_shell,
+    regexp_matches(left(html, 20000), '{responses.CHALLENGE}') AND {_words('body')} < 400 AS challenge,
+    regexp_matches(html, '(?is)<input\\b[^>]*type="?password') AND {_words('body')} < 500 AND regexp_matches(title || ' ' || left(body, 600), '{responses.SIGN_IN}') AS login_wall FROM v""".replace("FROM sig JOIN scoped USING (page_id, url, html)", "FROM sig JOIN (SELECT page_id, html, shown, art FROM scoped) USING (page_id)"))
+def agent_views(spark, sf_dir):
+    """What a reader without scripts has of each page."""
+    rows = responses.agent_view(read_table(spark, sf_dir, "pages").select("page_id", F.lit("text/html").alias("content_type"), F.col("html").alias("body")))
+    return rows.select("page_id", "title", "words", F.md5(F.col("text").cast("binary")).alias("text_md5"), "app_shell", "challenge", "login_wall")
+
+
+@query()
+def page_structure(spark, sf_dir):
+    """The semantic elements of each page, by one walk over its tags."""
+    found = structure.page_structure(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", F.posexplode("semantic_elements").alias("no", "e")).select("page_id", "no", "e.tag", F.md5(F.col("e.text").cast("binary")).alias("text_md5"))
+
+
 # ---------------------------------------------------------------- documents, conversations, events
 
 
+_LINE = r"regexp_replace(x, '^[ \t\f\x0B\p{Z}]+|[ \t\f\x0B\p{Z}]+$', '', 'g')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: {_LINE}) AS ls FROM documents),
+  p AS (SELECT doc_id, list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^#{{1,6}} ')), lambda x: {_collapse("regexp_replace(x, '^#{1,6} ', '')")}), lambda x: x <> '') AS heads,
+    list_transform(list_filter(ls, lambda x: x <> '' AND NOT regexp_matches(x, '^#{{1,6}} ') AND NOT starts_with(x, '```')), lambda x: {_collapse(r"regexp_replace(regexp_replace(x, '[*_`]', '', 'g'), '!?\[|\]', '', 'g')")}) AS paras FROM l)
+  SELECT doc_id, coalesce(heads[1], '') AS title, coalesce(paras[1], '') AS description, len(heads) AS n_headings, len(paras) AS n_paragraphs,
+    sha256(trim(array_to_string(list_concat(heads, paras), ' '), ' ')) AS fingerprint FROM p""")
+def markdown_documents(spark, sf_dir):
+    """Each document read as Markdown."""
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://docs.example/"), F.col("doc_id")).alias("url"), F.col("text").alias("body"))
+    return responses.markdown_pages(rows).select("doc_id", "title", "description", F.size("headings").alias("n_headings"), F.size("paragraphs").alias("n_paragraphs"), "fingerprint")
+
+
+# ---------------------------------------------------------------- streams and events
+
+
 @query(f"SELECT token, {_stem('token')} AS term, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) GROUP BY ALL")
 def token_counts(spark, sf_dir):
     tokens = read_table(spark, sf_dir, "documents").select(F.explode(tx.tokenise(F.col("text"))).alias("token"))

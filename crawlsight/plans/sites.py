@@ -110,6 +110,26 @@ def entity_checks(spark, sf_dir):
     return readiness.entity_checks(_signals(spark, sf_dir), orgs)
 
 
+_WHOLE = f"""{_CHECKS}, {_MARKUP.replace(_SIGNALS + ", " + _HEADS + ",", "")},
+  soc AS (SELECT {_host('url')} AS host, bool_or(len(list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*\\shref="([^"]*)"', 1), lambda h: regexp_matches(h, '{SOCIAL}'))) > 0) AS social,
+    bool_or(regexp_matches(html, '(?i)application/ld\\+json')) AS data FROM pages GROUP BY 1),
+  said AS (SELECT host, layer, weight::INT AS weight, status FROM checks UNION ALL SELECT host, c.layer, c.weight::INT, c.status FROM mr
+    UNION ALL SELECT host, 'entity', 8, CASE WHEN data THEN error('structured data is not read by this SQL') ELSE 'fail' END FROM soc UNION ALL SELECT host, 'entity', 4, CASE WHEN social THEN 'warn' ELSE 'fail' END FROM soc
+    UNION ALL SELECT host, v.* FROM soc, (VALUES ('access', 10, 'pass'), ('access', 3, 'pass'), ('access', 10, 'na'), ('access', 2, 'fail'), ('access', 4, 'fail'), ('agent', 6, 'fail'), ('agent', 1, 'warn'), ('content', 2, 'na')) v),
+  lay AS (SELECT host, layer, {_round("sum(CASE status WHEN 'pass' THEN weight WHEN 'warn' THEN weight * 0.5 ELSE 0.0 END)", 1)} AS earned, {_round("sum(CASE WHEN status = 'na' THEN 0.0 ELSE weight END)", 1)} AS possible,
+    count(*) AS n FROM said GROUP BY ALL),
+  tot AS (SELECT host, layer, {_round('sum(earned)', 1)} AS earned, {_round('sum(possible)', 1)} AS possible, {_round('100 * sum(earned) / nullif(sum(possible), 0)', 0)}::INT AS score, sum(n) AS n FROM lay GROUP BY GROUPING SETS ((host, layer), (host)))"""
+
+
+@query(f"""WITH {_WHOLE} SELECT host, layer, earned::DOUBLE AS earned, possible::DOUBLE AS possible, score, CASE WHEN layer IS NOT NULL THEN NULL WHEN n <> 27 THEN error('27 checks') WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 55 THEN 'D' ELSE 'F' END AS grade FROM tot""")
+def score_board(spark, sf_dir):
+    """The readiness of each host and of its layers over all 27 checks. The given tables have no files, probes or times: those checks count as not found or not measured."""
+    sig = stored(_signals(spark, sf_dir), "signals")
+    orgs = linked_data.organisations(linked_data.nodes(read_table(spark, sf_dir, "pages")))
+    none = readiness.unknown_access(sig.select("host").limit(0))
+    return readiness.score_board(readiness.all_checks(sig, orgs, none))
+
+
 @query(f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pts AS (SELECT page_id, shell, {_POINTS} AS score FROM cite JOIN heads USING (page_id)), f AS (
     SELECT page_id, 0 AS s, 4 AS no, 'high' AS severity, 'app-shell' AS code, words::VARCHAR AS detail FROM sig WHERE words < 120 AND scripts >= 3
     UNION ALL SELECT page_id, 1, 9, 'medium', 'no-title', '' FROM sig WHERE title = '' UNION ALL SELECT page_id, 2, 10, 'low', 'no-description', '' FROM sig WHERE description = ''

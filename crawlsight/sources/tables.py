@@ -45,18 +45,26 @@ def read_crawl_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+class Stored:
+    """Tables of one run in the folder that all executors share: each cuts the lineage and survives a lost executor."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:  # tests and single machines only
+            if not spark.conf.get("spark.master", "").startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="spark-crawlsight-")
+            spark.conf.set("spark.checkpoint.dir", base)
+        self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that all executors share and read again, for what several readers need."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # tests and single machines only
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-crawlsight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stored(df.sparkSession, name).put(df, "rows")
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

@@ -68,7 +68,7 @@ def test_answers(spark):
     r = answers.brand_hits(spark.createDataFrame([(1, text), (2, "none")], "answer_id int, text string"), brands).collect()
     assert [(x.answer_id, x.position) for x in r] == [(1, 2)]
     rows = [("a", "category", "ok", False, False, True), ("a", "category", "ok", True, True, True), ("a", "branded", "ok", True, False, True), ("a", "category", "error", None, None, None)]
-    s = answers.visibility_score(spark.createDataFrame(rows, "host string, kind string, status string, mentioned boolean, cited boolean, has_sources boolean")).first()
+    s = answers.visibility_score(spark.createDataFrame(rows, "host string, kind string, status string, mentioned boolean, cited boolean, grounded boolean")).first()
     assert (s.measured, s.score) == (3, 57)
 
 
