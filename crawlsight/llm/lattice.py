@@ -198,21 +198,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Vectors of one label link when their cosine reaches ``threshold``. Null and empty vectors, zero vectors,
     null or non-finite components and null labels link with nothing; vectors of different lengths are never
     compared; equal vectors always link. n_links counts other rows; component_id is the smallest vec_id
-    reachable. A repeated vec_id gives a row per row, all alike. No rows give no rows; further columns are not
-    read. Links are found with a probability that the tables give (0.99 and more at the threshold itself).
+    reachable. A repeated vec_id gives a row per row, all alike: its vectors are in one component, and n_links is the
+    most that one of them has. No rows give no rows; further columns are not read. Links are found with a probability that the tables give (0.99 and more at the threshold itself).
     """
     store = Store(vectors.sparkSession, "lattice")
     all_ids = vectors.select("vec_id")
     hashed = store.put(
         vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").where("vec_id is not null").mapInArrow(_hashed, _VECTOR_DDL), "hashed"
     )
+    # equal vectors of a label are one class; a vec_id that is repeated with other vectors is in several
     classes = store.put(
-        hashed.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")), "classes"
+        hashed.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"))
+        .withColumn("class", F.monotonically_increasing_id()), "classes",
     )
-    members = hashed.select("vec_id", "label", "h1", "h2").join(classes, ["label", "h1", "h2"]).select("vec_id", "first", "weight")
+    members = hashed.select("vec_id", "label", "h1", "h2").join(classes, ["label", "h1", "h2"]).select("vec_id", "first", "class", "weight")
     one = store.put(
-        hashed.join(classes.select(F.col("first").alias("vec_id"), "label", "h1", "h2", "weight"), ["vec_id", "label", "h1", "h2"])
-        .dropDuplicates(["vec_id"]).select("vec_id", "label", "weight", "unit", "home", "probed"), "one",
+        hashed.join(classes.withColumnRenamed("first", "vec_id"), ["vec_id", "label", "h1", "h2"])
+        .dropDuplicates(["class"]).select(F.col("class").alias("vec_id"), "label", "weight", "unit", "home", "probed"), "one",
     )
     spots = one.select("vec_id", F.explode("home").alias("key"), F.lit(True).alias("at_home")).union(
         one.select("vec_id", F.explode(F.array_distinct("probed")).alias("key"), F.lit(False).alias("at_home"))
@@ -233,12 +235,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             _compare(threshold), "vec_id long, n long, root long"
         ), "found",
     )
-    edges = found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).union(
+    first = lambda of, name: classes.select(F.col("class").alias(of), F.col("first").alias(name))
+    edges = found.join(first("vec_id", "a"), "vec_id").join(first("root", "b"), "root").select("a", "b").union(
         members.select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
     )
     comp = components(store, edges)
-    counts = found.groupBy(F.col("vec_id").alias("first")).agg(F.sum("n").alias("n"))
-    linked = members.join(counts, "first", "left").select(
+    counts = found.groupBy(F.col("vec_id").alias("class")).agg(F.sum("n").alias("n"))
+    linked = members.join(counts, "class", "left").select(
         "vec_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     ).groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
     return all_ids.join(linked, "vec_id", "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left").select(

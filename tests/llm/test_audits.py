@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("crawlsight.llm")
 
-from crawlsight.llm import divergence, filter_audit, language_model  # noqa: E402
+from crawlsight.llm import divergence, filter_audit, language_model, lattice  # noqa: E402
 from crawlsight.llm.texts import letter_terms, spaced_words, text_blocks  # noqa: E402
 from crawlsight.llm.transducer import Transducer  # noqa: E402
 
@@ -228,3 +228,25 @@ def test_language_model_of_little(spark):
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     rows = language_model.train_and_score(docs(spark, [(i, "a b", "en", "s") for i in ids])).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows] == [(3, 0, 0, 0.0)] * 2
+
+
+def test_lattice_with_repeated_ids_of_other_vectors(spark):
+    r = np.random.default_rng(3)
+    near = lambda v: (v + 0.01 * r.normal(size=len(v))).tolist()
+    a, b, *others = r.normal(size=(12, 16))
+    rows = [(5, a.tolist(), 1), (5, b.tolist(), 1), (10, near(a), 1), (11, near(b), 1), (12, near(b), 2), (3, a.tolist(), 1), (None, a.tolist(), 1)]
+    rows += [(int(r.integers(20, 30)), near(others[int(r.integers(0, 10))]), int(r.integers(1, 3))) for _ in range(60)]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links, component = Counter(), {i: i for i, _, _ in rows if i is not None}
+    n = [sum(x[0] is not None and y[0] is not None and i != j and x[2] == y[2] and unit[i] @ unit[j] >= 0.98 for j, y in enumerate(rows)) for i, x in enumerate(rows)]
+    for (i, _, _), k in zip(rows, n, strict=True):
+        links[i] = max(links[i], k)
+    for _ in rows:
+        for i, x in enumerate(rows):
+            for j, y in enumerate(rows):
+                if x[0] is not None and y[0] is not None and x[2] == y[2] and unit[i] @ unit[j] >= 0.98:
+                    component[x[0]] = component[y[0]] = min(component[x[0]], component[y[0]])
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == len(rows)
+    assert {(x.vec_id, x.n_links, x.component_id) for x in got} == {(i, links[i], component[i]) for i in component} | {(None, 0, None)}
+    assert links[11] == 1
