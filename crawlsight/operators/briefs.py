@@ -72,3 +72,16 @@ def gaps(checks: DataFrame) -> DataFrame:
     order = Window.partitionBy("host").orderBy((F.col("status") != "fail").cast("int"), F.desc("weight"), "check_id")
     rows = checks.where("status in ('fail', 'warn')")
     return rows.select("host", F.row_number().over(order).alias("rank"), "check_id", "layer", "weight", "status")
+
+
+def rank_actions(readiness: DataFrame, visibility: DataFrame) -> DataFrame:
+    """(host, rank, source, action, priority, points): the tasks of ``readiness_actions`` and ``visibility_actions`` in one order.
+
+    The most pressing first; of equals those of visibility, in their own order, then the costliest check, ties by name.
+    """
+    both = readiness.select("host", F.lit("readiness").alias("source"), F.col("check_id").alias("action"), "priority", "points", F.lit(0).alias("_own")).unionByName(
+        visibility.select("host", F.lit("visibility").alias("source"), "action", "priority", F.lit(0.0).alias("points"), F.col("rank").alias("_own"))
+    )
+    urgency = F.array_position(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("priority"))
+    order = Window.partitionBy("host").orderBy(urgency, (F.col("source") != "visibility").cast("int"), F.desc("points"), "_own", "action")
+    return both.select("host", F.row_number().over(order).alias("rank"), "source", "action", "priority", "points")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import DANGLING, DEFINES, MAX_LIFT, MIN_LIFT, fact_count, is_liftable, js_round, word_count
 
@@ -59,3 +60,43 @@ def host_citability(pages: DataFrame) -> DataFrame:
         js_round(F.avg("score")).cast("int").alias("score"), F.count("score").alias("measured"),
         F.sum(F.col("score").isNull().cast("int")).alias("unmeasured"),
     )
+
+
+# The checks in their order and what each can give.
+POSSIBLE = (("lead", 20), ("passages", 20), ("facts", 15), ("structure", 15), ("questions", 10), ("provenance", 10), ("schema", 10))
+#: What to do next, by code.
+ADVICE = {
+    "render": "Put the text into the source that the server sends; readers without scripts find nothing to quote.",
+    "lead": "Begin with one short sentence that says what the page is about and for whom.",
+    "passages-none": "Write paragraphs of 40 to 80 words; headings and labels alone can't be quoted.",
+    "passages-short": "Let each short line grow into a paragraph of 40 to 80 words with one whole statement.",
+    "passages-long": "Cut long paragraphs into ones of 40 to 80 words with one statement each.",
+    "passages-dangling": "Name the subject at the start of each paragraph, so that it can stand alone.",
+    "facts": "Say it in numbers: prices, limits, times, counts, dates.", "structure": "Use lists or tables for steps, plans and comparisons.",
+    "questions": "Call the main sections by the questions people ask, and answer in the first sentence.",
+    "provenance": "Mark who wrote the page and when it was last changed.", "schema": "Describe the page in structured data.", "none": "Nothing is missing.",
+}
+
+
+def next_step(points: DataFrame, flaws: DataFrame, signals: DataFrame) -> DataFrame:
+    """(page_id, code, lost, advice): what would gain each page most, by ``page_citability``, ``passage_flaws`` and its signals.
+
+    The check that loses most points, the earlier one of equals; passages are told apart by their commonest flaw, short
+    before long before dangling ones. A page without text has ``render``, one without a loss ``none``; a page without a
+    score has no row.
+    """
+    shells = signals.select("page_id", "app_shell", F.size("passages").alias("_passages"))
+    x = points.where("score IS NOT NULL").join(flaws.select("page_id", "short", "long", "dangling"), "page_id").join(shells, "page_id")
+    losses = F.array(*(F.struct((most - F.col(c)).alias("lost"), F.lit(-i).alias("no"), F.lit(c).alias("code")) for i, (c, most) in enumerate(POSSIBLE)))
+    worst = F.array_max(losses)
+    top = F.greatest("short", "long", "dangling")
+    flaw = F.when(F.col("_passages") == 0, "passages-none").when(F.col("short") == top, "passages-short").when(F.col("long") == top, "passages-long").otherwise("passages-dangling")
+    code = F.when(F.col("app_shell"), "render").when(worst.lost <= 0, "none").when(worst.code == "passages", flaw).otherwise(worst.code)
+    advice = F.create_map(*(F.lit(v) for kv in ADVICE.items() for v in kv))
+    return x.select("page_id", code.alias("code"), F.when(F.col("app_shell"), 100).otherwise(worst.lost).cast("int").alias("lost")).withColumn("advice", F.element_at(advice, F.col("code")))
+
+
+def host_pages_by_need(points: DataFrame) -> DataFrame:
+    """(host, rank, page_id, score): the scored pages of each host, the hardest to quote first."""
+    order = Window.partitionBy("host").orderBy("score", "page_id")
+    return points.where("score IS NOT NULL").select("host", F.row_number().over(order).alias("rank"), "page_id", "score")

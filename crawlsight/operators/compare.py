@@ -87,3 +87,28 @@ def lost_questions(best: DataFrame) -> DataFrame:
     """
     top = best.groupBy("query_id").agg(F.max(F.struct("coverage", "score")).alias("_top"))
     return best.join(top, "query_id").withColumn("lost", F.col("_top") > F.struct("coverage", "score")).drop("_top")
+
+
+def history_entries(runs: DataFrame, pages: DataFrame, board: DataFrame, checks: DataFrame, answers: DataFrame, citability: DataFrame, fanout: DataFrame) -> DataFrame:
+    """A row for each of ``runs`` (id, host, completed_at, created_at, status, model) with its headline numbers; what wasn't measured is null.
+
+    All but ``runs`` are by run, in id: ``pages`` (a row a page), ``board`` (layer, score, grade; null layer: the whole),
+    ``checks`` (check_id, status), ``answers`` (score, category_mentions, category_measured), ``citability`` (score, a row a
+    page), ``fanout`` (answerable_coverage, lost).
+    """
+    c = F.col
+    read = pages.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("pages"))
+    scores = board.groupBy("id").agg(
+        F.max(F.when(c("layer").isNull(), c("score"))).alias("readiness"), F.max(F.when(c("layer").isNull(), c("grade"))).alias("grade"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(c("layer").isNotNull(), F.struct("layer", "score"))))).alias("layers"),
+    )
+    failing = checks.groupBy("id").agg(F.array_sort(F.collect_set(F.when(c("status") == "fail", c("check_id")))).alias("failing"))
+    seen = answers.select("id", c("score").alias("visibility"), F.when(c("category_measured") > 0, c("category_mentions")).alias("named"), F.when(c("category_measured") > 0, c("category_measured")).alias("asked"))
+    quoted = citability.groupBy("id").agg(js_round(F.avg("score")).cast("int").alias("citability"))
+    x = runs
+    for part in (read, scores, failing, seen, quoted, fanout.select("id", c("answerable_coverage").alias("answerable"), "lost")):
+        x = x.join(part, "id", "left")
+    return x.select(
+        "id", "host", F.coalesce("completed_at", "created_at").alias("completed_at"), "status", "model", F.coalesce("pages", F.lit(0)).alias("pages"), "readiness", F.coalesce("grade", F.lit("")).alias("grade"),
+        F.coalesce("layers", F.create_map().cast("map<string,int>")).alias("layers"), "visibility", "named", "asked", "citability", "answerable", "lost", F.coalesce("failing", F.array().cast("array<string>")).alias("failing"),
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import js_round
 from ..functions.urls import host_of
@@ -195,3 +196,54 @@ def readiness_scores(layers: DataFrame) -> DataFrame:
     out = layers.groupBy("host").agg(F.sum("earned").alias("e"), F.sum("possible").alias("p"))
     score = F.when(F.col("p") > 0, js_round(100 * F.col("e") / F.col("p")).cast("int")).otherwise(0)
     return out.select("host", score.alias("score")).withColumn("grade", grade(F.col("score")))
+
+
+# ---------------------------------------------------------------- evidence and fixes
+
+#: Addresses that a check's evidence shows.
+SHOWN = 6
+#: What to do about a failing check; {n} of {of} pages, {first}: the first of them.
+FIXES = {
+    "server-rendered": "Send the text of {n} pages in their source; begin with {first}.", "titles": "Give {n} of {of} pages a title of their own; begin with {first}.",
+    "descriptions": "Describe {n} of {of} pages in one factual sentence each; begin with {first}.", "h1": "Give {n} of {of} pages exactly one main heading; begin with {first}.",
+    "structure": "Part {n} of {of} pages into sections with headings; begin with {first}.", "canonical": "Name the canonical address of {n} of {of} pages; begin with {first}.",
+    "indexable": "Take noindex off {n} pages that should be found; begin with {first}.", "alt-text": "Describe the images of {n} pages; begin with {first}.",
+    "jsonld-valid": "Mend the structured data of {n} pages; begin with {first}.", "freshness": "Date and sign {n} articles; begin with {first}.",
+    "answer-format": "Ask the reader's questions in headings and answer them below.", "lang": "Name the language of the pages.", "https": "Serve the site by https.", "speed": "Answer faster: cache the pages near their readers.",
+    "offering-schema": "Describe what is offered in structured data.", "faq-schema": "Mark questions and answers in structured data.", "open-graph": "Give the home page a title, description and image for shared links.",
+    "about-contact": "Link an about page and a contact page.", "organization-schema": "Describe the organisation in structured data: name, address, logo, description.", "same-as": "Link the organisation's official profiles.",
+    "search-crawlers": "Let search crawlers in by robots.txt.", "training-crawlers": "Decide which training crawlers robots.txt lets in.", "firewall": "Let AI crawlers through the firewall.",
+    "robots-file": "Serve a robots.txt.", "sitemap": "Serve a sitemap and name it in robots.txt.", "llms-txt": "Serve an llms.txt with a title and links.", "llms-full": "Serve the site's text as llms-full.txt.",
+}
+
+
+def check_evidence(signals: DataFrame, keep: int = SHOWN) -> DataFrame:
+    """(host, check_id, n, of, urls): the pages that each page-level check finds wrong, how many of how many, the ``keep`` first by page_id.
+
+    Checks that no page of a host fails have no row. A page passes through once, and only ``keep`` addresses of a check
+    are gathered.
+    """
+    c = F.col
+    shared = signals.where("title <> ''").groupBy("host", "title").agg(F.count(F.lit(1)).alias("_sharing"))
+    x = signals.join(shared, ["host", "title"], "left")
+    article = c("url").rlike(ARTICLES)
+    wrong = {
+        "server-rendered": c("app_shell"), "titles": (c("title") == "") | (F.coalesce("_sharing", F.lit(0)) > 1), "descriptions": c("description") == "", "h1": F.size("h1") != 1,
+        "structure": F.size(F.filter("headings", lambda h: h.level == 2)) < 2, "canonical": c("canonical") == "", "indexable": c("meta_robots").rlike("(?i)noindex"),
+        "alt-text": c("images") > c("images_with_alt"), "jsonld-valid": c("jsonld_errors") > 0, "freshness": article & ~(c("has_date") & c("has_author")),
+    }
+    of = x.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    met = x.select("host", "page_id", "url", F.explode(F.array_compact(F.array(*(F.when(cond, F.lit(k)) for k, cond in wrong.items())))).alias("check_id"))
+    n = met.groupBy("host", "check_id").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("host", "check_id").orderBy("page_id", "url"))
+    shown = met.withColumn("_i", place).where(c("_i") <= keep).groupBy("host", "check_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "url"))), lambda r: r.url).alias("urls"))
+    return n.join(shown, ["host", "check_id"]).join(of, "host").select("host", "check_id", "n", "of", "urls")
+
+
+def fix_texts(check_rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(host, check_id, status, n, of, urls, fix): what to do about each failing or warning check, with its evidence filled in."""
+    fixes = F.create_map(*(F.lit(v) for kv in FIXES.items() for v in kv))
+    text = F.try_element_at(fixes, F.col("check_id"))
+    for name, value in (("n", F.col("n").cast("string")), ("of", F.col("of").cast("string")), ("first", F.get("urls", F.lit(0)))):
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.coalesce(value, F.lit("")))
+    return check_rows.where("status IN ('fail', 'warn')").join(evidence, ["host", "check_id"], "left").select("host", "check_id", "status", "n", "of", "urls", text.alias("fix"))

@@ -142,6 +142,37 @@ def page_findings(spark, sf_dir):
     return pages.page_findings(pages.page_report(sig, nodes, citability.page_citability(sig)))
 
 
+_PARTS = f"""SELECT page_id, CASE WHEN {_words('lead')} BETWEEN 12 AND 90 AND NOT regexp_matches(lead, '{_DANGLING}') AND regexp_matches(regexp_split_to_array(lead, '[.!?]')[1], '{_DEFINES}') THEN 20 WHEN {_words('lead')} >= 12 THEN 8 ELSE 0 END AS lead,
+    least(20, 5 * liftable) AS passages, CASE WHEN facts_found >= 6 THEN 15 WHEN facts_found >= 3 THEN 10 WHEN facts_found >= 1 THEN 5 ELSE 0 END AS facts,
+    CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END AS structure, CASE WHEN questions >= 2 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END AS questions FROM cite JOIN heads USING (page_id)"""
+_FLAWS = f"""fl AS (SELECT page_id, host, shell, short, long, len(list_filter(ps, lambda p: {_words('p')} BETWEEN 25 AND 120 AND regexp_matches(p, '{_DANGLING}'))) AS dangling, len(ps) AS n FROM cite JOIN passages USING (page_id, host)),
+  ls AS (SELECT page_id, [20 - lead, 20 - passages, 15 - facts, 15 - structure, 10 - questions, 10, 10] AS lost FROM pt)"""
+
+
+@query(f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pt AS ({_PARTS}), {_FLAWS},
+  w AS (SELECT page_id, list_max(lost) AS most, list_position(lost, list_max(lost)) AS worst, shell, n, short, long, dangling FROM ls JOIN fl USING (page_id))
+  SELECT page_id, CASE WHEN shell THEN 'render' WHEN most = 0 THEN 'none' WHEN worst <> 2 THEN ['lead', 'passages', 'facts', 'structure', 'questions', 'provenance', 'schema'][worst]
+    WHEN n = 0 THEN 'passages-none' WHEN short >= greatest(long, dangling) THEN 'passages-short' WHEN long >= dangling THEN 'passages-long' ELSE 'passages-dangling' END AS code,
+    CASE WHEN shell THEN 100 ELSE most END::INT AS lost FROM w""")
+def next_steps(spark, sf_dir):
+    """What would make each page most quotable; the SQL knows pages without dates, authors or structured data."""
+    sig = stored(_signals(spark, sf_dir), "signals")
+    return citability.next_step(citability.page_citability(sig), citability.passage_flaws(sig), sig).select("page_id", "code", "lost")
+
+
+@query(f"""WITH {_SIGNALS}, {_HEADS}, mk AS (SELECT page_id, regexp_matches(html, '(?is)<meta[^>]*name="(robots|googlebot)"[^>]*noindex') AS noindex FROM pages),
+  sh AS (SELECT host, title, count(*) AS n FROM sig WHERE title <> '' GROUP BY ALL),
+  wrong AS (SELECT host, page_id, url, unnest([CASE WHEN words < 120 AND scripts >= 3 THEN 'server-rendered' END, CASE WHEN title = '' OR coalesce(n, 0) > 1 THEN 'titles' END, CASE WHEN description = '' THEN 'descriptions' END,
+      CASE WHEN len(h1) <> 1 THEN 'h1' END, CASE WHEN n_h2 < 2 THEN 'structure' END, 'canonical', CASE WHEN noindex THEN 'indexable' END, CASE WHEN regexp_matches(url, '{readiness.ARTICLES}') THEN 'freshness' END]) AS check_id
+    FROM sig LEFT JOIN sh USING (host, title) JOIN (SELECT page_id, n_h2 FROM heads) USING (page_id) JOIN mk USING (page_id)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY host, check_id ORDER BY page_id) AS i FROM wrong WHERE check_id IS NOT NULL)
+  SELECT host, check_id, count(*) AS n, any_value(c) AS "of", array_to_string(list(url ORDER BY page_id) FILTER (i <= 6), ' ') AS urls FROM ranked JOIN (SELECT host, count(*) AS c FROM sig GROUP BY host) USING (host) GROUP BY host, check_id""")
+def check_evidence(spark, sf_dir):
+    """The pages behind each failing check; the SQL knows pages without images, canonicals, dates or structured data."""
+    found = readiness.check_evidence(_signals(spark, sf_dir))
+    return found.select("host", "check_id", "n", "of", F.array_join("urls", " ").alias("urls"))
+
+
 # ---------------------------------------------------------------- questions over sites
 
 _BEST = f"""{_SIGNALS}, {_INDEX}, {_SCORES},

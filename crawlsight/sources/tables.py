@@ -84,3 +84,36 @@ def history_diff(history: DataFrame, metric: str = "score") -> DataFrame:
     """(host, id, before, after, delta): each run against the host's previous one; null where either is null."""
     order = Window.partitionBy("host").orderBy("completed_at", "id")
     return history.select("host", "id", F.lag(metric).over(order).alias("before"), F.col(metric).alias("after")).withColumn("delta", F.col("after") - F.col("before"))
+
+
+TRAIL = "type string, journey struct<id:string,intent:string,host:string,outcome:string,answer:string,answerUrl:string,steps:array<struct<n:int,action:string,url:string,status:int,words:int,issues:array<string>>>>, message string"
+
+
+def read_trails(lines: DataFrame) -> DataFrame:
+    """(run, at, kind, journey, message) of ``lines`` (run, at, value): the lines that a run wrote while it went, batch or stream.
+
+    kind: progress or result, with the journey so far, or error, with a message; a line that is none of these, isn't JSON
+    or carries no journey is ``unreadable`` and keeps its text as the message.
+    """
+    parsed = lines.withColumn("_x", F.from_json("value", TRAIL, {"mode": "PERMISSIVE"}))
+    whole = F.col("_x.type").isin("progress", "result") & F.col("_x.journey").isNotNull()
+    kind = F.when(whole | (F.col("_x.type") == "error"), F.col("_x.type")).otherwise("unreadable")
+    return parsed.select("run", "at", kind.alias("kind"), F.when(whole, F.col("_x.journey")).alias("journey"), F.when(kind == "error", F.col("_x.message")).when(kind == "unreadable", F.col("value")).alias("message"))
+
+
+def last_states(trails: DataFrame) -> DataFrame:
+    """(run, state, journey, message, lines): where each run of ``read_trails`` stands.
+
+    state: done once it has a result, failed once it has an error and no result, else walking; journey: the result's, else
+    that of the last progress; a run with unreadable lines alone is walking without a journey. Batch, or a stream in
+    complete mode: only maxima, so the order of lines in a batch doesn't matter.
+    """
+    c = F.col
+    of = lambda kind, value: F.max_by(F.when(c("kind") == kind, value), F.when(c("kind") == kind, c("at")))
+    has = lambda kind: F.bool_or(c("kind") == kind)
+    x = trails.groupBy("run").agg(
+        has("result").alias("done"), has("error").alias("failed"), of("result", c("journey")).alias("result"), of("progress", c("journey")).alias("progress"), of("error", c("message")).alias("message"),
+        F.count(F.lit(1)).alias("lines"),
+    )
+    state = F.when(c("done"), "done").when(c("failed"), "failed").otherwise("walking")
+    return x.select("run", state.alias("state"), F.coalesce("result", "progress").alias("journey"), F.when(~c("done"), c("message")).alias("message"), "lines")
