@@ -28,20 +28,28 @@ def site_tallies(best: DataFrame, winners: DataFrame) -> DataFrame:
     return answers.join(wins, "host", "left").select("host", F.col("answers").cast("int").alias("answers"), F.coalesce("wins", F.lit(0)).alias("wins"))
 
 
-def site_columns(hosts: DataFrame, signals: DataFrame, readiness: DataFrame, citability: DataFrame) -> DataFrame:
+def site_columns(hosts: DataFrame, signals: DataFrame, readiness: DataFrame, citability: DataFrame, reach: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """One row per host of ``hosts`` (host); a site without pages keeps a row of nulls.
 
-    ``readiness`` (host, score, grade); ``citability`` (host, score, liftable) per page.
+    ``readiness`` (host, score, grade); ``citability`` (host, score, liftable) per page. ``reach`` (host, search_reach): search
+    crawlers let in, that of the home page; ``files`` (host, kind, status): host files, of which llms.txt counts. schema_types: the
+    distinct types of a site's structured data, by name.
     """
+    typed = F.col("jsonld_types") if "jsonld_types" in signals.columns else F.array().cast("array<string>")
+    kinds = signals.select("host", F.explode(typed).alias("t")).distinct().groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("schema_types"))
     pages = signals.groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"), F.sum(F.col("app_shell").cast("int")).alias("app_shell_pages"),
         F.sum(F.size("passages")).alias("paragraphs"),
     )
     cited = citability.groupBy("host").agg(js_round(F.avg("score")).cast("int").alias("citability"), F.sum("liftable").alias("quotable"))
     ready = readiness.select("host", F.col("score").alias("readiness"), "grade")
-    return hosts.select("host").distinct().join(pages, "host", "left").join(ready, "host", "left").join(cited, "host", "left").withColumn(
-        "measured", F.col("pages").isNotNull()
-    )
+    out = hosts.select("host").distinct().join(pages, "host", "left").join(ready, "host", "left").join(cited, "host", "left").join(kinds, "host", "left")
+    out = out.withColumn("measured", F.col("pages").isNotNull())
+    out = out.withColumn("reach", F.lit(None).cast("int")) if reach is None else out.join(reach.groupBy("host").agg(F.max("search_reach").alias("reach")), "host", "left")
+    has = None if files is None else files.where("kind = 'llms'").groupBy("host").agg(F.max(F.coalesce(F.col("status") == 200, F.lit(False))).alias("_file"))
+    out = out.withColumn("_file", F.lit(None).cast("boolean")) if has is None else out.join(has, "host", "left")
+    held = F.when(F.col("measured"), F.coalesce("schema_types", F.array().cast("array<string>")))
+    return out.withColumns({"schema_types": held, "llms_txt": F.coalesce("_file", F.lit(False))}).drop("_file")
 
 
 def leaders(columns: DataFrame, dimensions: dict[str, str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import resolve_link
+
 # What parts a title, pages that llms.txt leaves out, pages that are resources, the sentence for a site without a description.
 DESCRIBE = " — describe what you offer and who it is for in one sentence."
 TITLE_PARTS = "\\s+[|\\-–—:·•]\\s+"
@@ -32,15 +34,32 @@ def brand_from_title(title: Column, host: Column) -> Column:
     return F.when(F.length(named) <= 40, named).when(F.length(short) <= 30, short).otherwise("")
 
 
-def host_identity(signals: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """(host, brand, description): a profile's (host, brand, description) first, then the home page's title, then the host."""
-    home = signals.groupBy("host").agg(F.min_by("title", "page_id").alias("title"), F.min_by("description", "page_id").alias("about"))
-    known = profiles.select("host", F.col("brand").alias("own_brand"), F.col("description").alias("own_about")) if profiles is not None else None
-    rows = home.join(known, "host", "left") if known is not None else home.withColumns({"own_brand": F.lit(None).cast("string"), "own_about": F.lit(None).cast("string")})
-    given = lambda c: F.when(c != "", c)
+def host_identity(signals: DataFrame, profiles: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """(host, brand, description, logo, category, market, facts): who each host of ``signals`` is.
+
+    brand: that of ``profiles`` (host, brand, description, category, market, facts; all but host may be missing), else the
+    organisation's name in ``names`` (host, name), else the home page's site name, its title, the host. description: the
+    profile's, else the home page's own, else that of its Open Graph data. logo: its Open Graph image as an absolute
+    address. What nobody says is empty.
+    """
+    c, given = F.col, lambda x: F.when(x != "", x)
+    og = (lambda k: F.try_element_at("open_graph", F.lit(k))) if "open_graph" in signals.columns else (lambda _: F.lit(None).cast("string"))
+    url = c("url") if "url" in signals.columns else F.lit(None).cast("string")
+    home = signals.groupBy("host").agg(F.min_by(F.struct(
+        "title", "description", url.alias("url"), og("og:site_name").alias("site"), og("og:description").alias("og_about"), og("og:image").alias("image")
+    ), "page_id").alias("h")).select("host", "h.*")
+    kinds = {"brand": "string", "description": "string", "category": "string", "market": "string", "facts": "array<string>"}
+    if profiles is None:
+        rows = home.withColumns({f"own_{k}": F.lit(None).cast(t) for k, t in kinds.items()})
+    else:
+        has = profiles.columns
+        rows = home.join(profiles.select("host", *((c(k) if k in has else F.lit(None).cast(t)).alias(f"own_{k}") for k, t in kinds.items())), "host", "left")
+    rows = rows.withColumn("named", F.lit(None).cast("string")) if names is None else rows.join(names.select("host", c("name").alias("named")), "host", "left")
+    logo = resolve_link(F.coalesce("url", F.concat(F.lit("https://"), c("host"), F.lit("/"))), given(c("image")))
     return rows.select(
-        "host", F.coalesce(given(F.col("own_brand")), given(brand_from_title(F.col("title"), F.col("host"))), F.col("host")).alias("brand"),
-        F.coalesce(given(F.col("own_about")), given(F.col("about")), F.lit("")).alias("description"),
+        "host", F.coalesce(given(c("own_brand")), given(c("named")), given(c("site")), given(brand_from_title(c("title"), c("host"))), c("host")).alias("brand"),
+        F.coalesce(given(c("own_description")), given(c("description")), given(c("og_about")), F.lit("")).alias("description"), F.coalesce(logo, F.lit("")).alias("logo"),
+        F.coalesce("own_category", F.lit("")).alias("category"), F.coalesce("own_market", F.lit("")).alias("market"), F.coalesce("own_facts", F.array().cast("array<string>")).alias("facts"),
     )
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host_of
-from .signals import LINKED_DATA
+
+LINKED_DATA = "(?is)<script[^>]*type\\s*=\\s*[\"']?application/ld\\+json[\"']?[^>]*>(.*?)</script>"
 
 # Node type, properties it must have, properties it should have, properties of which it must have one.
 RULES = (
@@ -96,6 +97,27 @@ def nodes(pages: DataFrame) -> DataFrame:
     ).where(F.size("types") > 0)
 
 
+def typed_objects(blocks: Column) -> Column:
+    """The distinct types of the objects in an array of parsed blocks, at most six levels deep, contexts left out."""
+    level, every = blocks, [blocks]
+    for _ in range(2, DEPTH + 1):
+        level = F.flatten(F.transform(level, _children))
+        every.append(level)
+    objects = F.filter(F.concat(*every), lambda v: _kind(v) == "OBJECT")
+    typed = F.filter(F.transform(objects, lambda v: F.try_variant_get(v, "$['@type']", "variant")), lambda v: v.isNotNull())
+    names = F.flatten(F.transform(typed, lambda t: F.transform(F.when(_kind(t) == "ARRAY", _items(t)).otherwise(F.array(t)), _string)))
+    return F.array_distinct(F.array_compact(names))
+
+
+def organisation_names(typed: DataFrame) -> DataFrame:
+    """(host, name) of ``nodes``: the first organisation with a name, at the top of a page's data or in its graph, by page."""
+    name = _string(F.try_variant_get("node", "$['name']", "variant"))
+    # at the top: a block or an item of a list of blocks; in a graph: one list further in
+    top = F.size("path") <= 3
+    orgs = typed.where(top & F.exists("types", lambda t: t.rlike("Organization|Business|Corporation"))).withColumn("name", name).where("name IS NOT NULL")
+    return orgs.groupBy("host").agg(F.min_by("name", F.struct("page_id", "path")).alias("name"))
+
+
 def _rule_map() -> Column:
     words = lambda s: F.split(F.lit(s), " ") if s else F.array().cast("array<string>")
     pairs = [x for t, must, should, one in RULES for x in (

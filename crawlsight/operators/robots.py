@@ -36,11 +36,31 @@ def robots_sitemaps(files: DataFrame) -> DataFrame:
     return robots_lines(files).where("name = 'sitemap' and value <> ''").select("host", "line_no", F.col("value").alias("url"))
 
 
+#: Crawlers that can be asked about at a time.
+MOST_BOTS = 10_000
+
+
+def _tokens(bots: DataFrame) -> list[str]:
+    """The crawlers of a dimension table, each once."""
+    found = sorted(r.token for r in bots.select("token").where("token IS NOT NULL").distinct().limit(MOST_BOTS + 1).collect())
+    if len(found) > MOST_BOTS:
+        raise ValueError(f"robots rules are read for {MOST_BOTS} crawlers at most")
+    return found
+
+
 def robots_for(rules: DataFrame, bots: DataFrame) -> DataFrame:
-    """(host, token, allow, path): all groups that name the token, else all ``*`` groups. ``bots``: token."""
-    named = rules.join(F.broadcast(bots.select("token")), (F.col("agent") == F.lower("token")) | (F.col("agent") == "*"))
-    exact = F.max(F.col("agent") != "*").over(Window.partitionBy("host", "token"))
-    return named.withColumn("exact", exact).where(F.col("exact") == (F.col("agent") != "*")).select("host", "token", "allow", "path")
+    """(host, token, allow, path): all groups that name the token, else all ``*`` groups. ``bots``: token, a small dimension table."""
+    tokens = _tokens(bots)
+    if not tokens:
+        return rules.select("host", F.lit("").alias("token"), "allow", "path").limit(0)
+    every = F.array(*map(F.lit, tokens))
+    # a rule of ``*`` speaks to all crawlers, another to those whose name it has
+    heard = F.when(F.col("agent") == "*", every).otherwise(F.filter(every, lambda t: F.lower(t) == F.col("agent")))
+    named = rules.select("host", "agent", "allow", "path", F.explode(heard).alias("token"))
+    exact = named.where("agent <> '*'").select("host", "token").distinct()
+    return named.where("agent <> '*'").select("host", "token", "allow", "path").union(
+        named.where("agent = '*'").join(exact, ["host", "token"], "left_anti").select("host", "token", "allow", "path")
+    )
 
 
 def path_regex(path):
@@ -53,10 +73,13 @@ def path_regex(path):
 def robots_verdict(pages: DataFrame, rules: DataFrame, bots: DataFrame) -> DataFrame:
     """(page_id, token, allowed) of ``pages`` (page_id, host, path): longest path wins, Allow wins ties, else allowed.
 
-    An equi-join on the host with the path test on top of it.
+    The rules of a host for a crawler are one array, as long as its robots file has lines; a page meets that array in its own row.
+    A page_id that is repeated with other paths has a row for each.
     """
-    own = robots_for(rules, bots).where("path <> ''").withColumn("rx", path_regex(F.col("path")))
-    asked = pages.select("page_id", "host", F.col("path").alias("page_path")).join(F.broadcast(bots.select("token")), F.lit(True))
-    met = asked.join(own, ["host", "token"], "left").withColumn("hit", F.coalesce(F.expr("page_path rlike rx"), F.lit(False)))
-    best = F.max_by(F.when(F.col("hit"), F.col("allow")), F.when(F.col("hit"), F.struct(F.length("path").alias("n"), "allow")))
-    return met.groupBy("page_id", "token").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
+    rule = F.struct(F.length("path").alias("n"), "allow", path_regex(F.col("path")).alias("rx"))
+    own = robots_for(rules, bots).where("path <> ''").distinct().groupBy("host", "token").agg(F.collect_list(rule).alias("_rules"))
+    asked = pages.select("page_id", "host", F.col("path").alias("page_path"), F.explode(F.array(*map(F.lit, _tokens(bots))).cast("array<string>")).alias("token"))
+    met = asked.join(own, ["host", "token"], "left")
+    hits = F.filter("_rules", lambda r: F.regexp_like("page_path", r.rx))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(r.n.alias("col1"), r.allow.alias("col2"))))
+    return met.select("page_id", "token", F.coalesce(best.getField("col2"), F.lit(True)).alias("allowed"))

@@ -187,23 +187,18 @@ _DANGLING, _FACT, _DEFINES = tx.DANGLING, tx.FACT, tx.DEFINES
 _CITE = f"""
   passages AS (SELECT page_id, host, words, scripts, lists, left(text, 6000) AS excerpt, list_transform(parts, lambda p: left(p, 600)) AS ps FROM sig),
   cite AS (SELECT page_id, host, words < 120 AND scripts >= 3 AS shell, len(list_filter(ps, lambda p: {_words('p')} BETWEEN 25 AND 120 AND NOT regexp_matches(p, '{_DANGLING}'))) AS liftable,
-    len(list_filter(ps, lambda p: {_words('p')} < 25)) AS short, len(list_filter(ps, lambda p: {_words('p')} > 120)) AS long,
+    len(list_filter(ps, lambda p: {_words('p')} BETWEEN 25 AND 120 AND regexp_matches(p, '{_DANGLING}'))) AS dangling, len(list_filter(ps, lambda p: {_words('p')} < 25)) AS short, len(list_filter(ps, lambda p: {_words('p')} > 120)) AS long,
     len(regexp_extract_all(excerpt, '{_FACT}')) AS facts_found, lists, coalesce(ps[1], '') AS lead FROM passages)"""
 
 
-@query(f"WITH {_SIGNALS}, {_CITE} SELECT page_id, liftable, short, long FROM cite")
+@query(f"WITH {_SIGNALS}, {_CITE} SELECT page_id, liftable, short, long, dangling FROM cite")
 def passage_flaws(spark, sf_dir):
-    return citability.passage_flaws(_signals(spark, sf_dir)).drop("dangling")
+    return citability.passage_flaws(_signals(spark, sf_dir))
 
 
-@query(f"""WITH {_SIGNALS}, {_CITE}, pts AS (SELECT page_id, host, liftable, facts_found, shell,
-    CASE WHEN {_words('lead')} BETWEEN 12 AND 90 AND NOT regexp_matches(lead, '{_DANGLING}') AND regexp_matches(regexp_split_to_array(lead, '[.!?]')[1], '{_DEFINES}') THEN 20 WHEN {_words('lead')} >= 12 THEN 8 ELSE 0 END AS lead,
-    least(20, 5 * liftable) AS passages, CASE WHEN facts_found >= 6 THEN 15 WHEN facts_found >= 3 THEN 10 WHEN facts_found >= 1 THEN 5 ELSE 0 END AS facts,
-    CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END AS structure FROM cite)
-  SELECT page_id, host, liftable, facts_found, lead, passages, facts, structure, CASE WHEN shell THEN 0 ELSE lead + passages + facts + structure END AS part_score FROM pts""")
+@query()
 def page_citability(spark, sf_dir):
-    c = citability.page_citability(_signals(spark, sf_dir))
-    return c.select("page_id", "host", "liftable", "facts_found", "lead", "passages", "facts", "structure", F.when(F.col("score") == 0, 0).otherwise(F.col("score") - F.col("questions") - F.col("provenance") - F.col("schema")).alias("part_score"))
+    return citability.page_citability(_signals(spark, sf_dir))
 
 
 @query()
@@ -233,7 +228,16 @@ def url_parts(spark, sf_dir):
     )
 
 
-@query()
+_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN {i}" for i, (p, _) in enumerate(graph.FAMILIES)) + " END"
+_BONUS = "CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN {w}" for p, w in graph.FAMILIES) + " ELSE 0 END"
+
+
+@query(f"""WITH p AS (SELECT url, {_host('url')} AS host, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q,
+    {_host('url')} || coalesce(nullif(regexp_replace({_PATH}, '/+$', ''), ''), '/') || {_QUERY} AS key FROM pages),
+  one AS (SELECT host, min(url) AS url, arg_min(path, url) AS path, arg_min(q, url) AS q FROM p WHERE NOT regexp_matches(path, '{graph.SKIP}') AND length(q) < 40 GROUP BY host, key),
+  sc AS (SELECT host, url, {_FAMILY} AS family, (({_BONUS}) * 3 - len(list_filter(string_split(path, '/'), lambda x: x <> '')) * 2 - CASE WHEN q <> '' THEN 3 ELSE 0 END)::INT AS score FROM one),
+  fr AS (SELECT *, CASE WHEN family IS NOT NULL AND row_number() OVER (PARTITION BY host, family ORDER BY score DESC, url) > 1 THEN 1 ELSE 0 END AS late FROM sc)
+  SELECT host, url, score, row_number() OVER (PARTITION BY host ORDER BY late, score DESC, url)::INT AS pick_no FROM fr QUALIFY pick_no <= 24""")
 def picked_pages(spark, sf_dir):
     return graph.pick_pages(read_table(spark, sf_dir, "pages").select(ur.host_of(F.col("url")).alias("host"), "url"))
 
@@ -243,12 +247,23 @@ def capped_pages(spark, sf_dir):
     return graph.cap_per_host(read_table(spark, sf_dir, "pages").select("page_id", ur.host_of(F.col("url")).alias("host")), 12)
 
 
-@query()
+_ORIGIN = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)"
+
+
+@query(f"""WITH h AS (SELECT url, regexp_replace(trim(unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\shref="([^"]*)"', 1))), '#.*$', '') AS h FROM pages),
+  r AS (SELECT url, CASE WHEN regexp_matches(h, '(?i)^(javascript|mailto|tel|data):') THEN NULL WHEN regexp_matches(h, '(?i)^[a-z][a-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN split_part(url, ':', 1) || ':' || h
+    WHEN starts_with(h, '/') THEN {_ORIGIN} || h WHEN h = '' THEN regexp_replace(url, '#.*$', '') WHEN starts_with(h, '?') THEN {_ORIGIN} || {_PATH} || h ELSE {_ORIGIN} || regexp_extract({_PATH}, '^(.*/)', 1) || h END AS to_url FROM h)
+  SELECT DISTINCT url AS from_url, to_url FROM r WHERE to_url IS NOT NULL AND {_host('to_url')} = {_host('url')}""")
 def link_edges(spark, sf_dir):
     return graph.link_edges(_signals(spark, sf_dir))
 
 
-@query()
+_PROVEN = " UNION ALL ".join(f"SELECT page_id, text, '{i}' AS intent, regexp_extract(text, '{p}', 0) AS hit FROM sig" for i, p in journeys.PROOFS.items())
+
+
+@query(f"""WITH {_SIGNALS}, pr AS ({_PROVEN}), hits AS (SELECT *, strpos(text, hit) AS p FROM pr WHERE hit <> ''),
+  w AS (SELECT *, greatest(1, p - 90) AS b, least(length(text), p + length(hit) + 89) AS e FROM hits)
+  SELECT page_id, intent, CASE WHEN b > 1 THEN '…' ELSE '' END || {_collapse("substring(text, b, e - b + 1)")} || CASE WHEN e < length(text) THEN '…' ELSE '' END AS evidence FROM w""")
 def intent_proofs(spark, sf_dir):
     return journeys.intent_proofs(_signals(spark, sf_dir))
 

@@ -44,6 +44,13 @@ _POINTS = f"""CASE WHEN shell THEN 0 ELSE
     CASE WHEN {_words('lead')} BETWEEN 12 AND 90 AND NOT regexp_matches(lead, '{_DANGLING}') AND regexp_matches(regexp_split_to_array(lead, '[.!?]')[1], '{_DEFINES}') THEN 20 WHEN {_words('lead')} >= 12 THEN 8 ELSE 0 END
     + least(20, 5 * liftable) + CASE WHEN facts_found >= 6 THEN 15 WHEN facts_found >= 3 THEN 10 WHEN facts_found >= 1 THEN 5 ELSE 0 END
     + CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END + CASE WHEN questions >= 2 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END END"""
+_PARTS = f"""SELECT page_id, CASE WHEN {_words('lead')} BETWEEN 12 AND 90 AND NOT regexp_matches(lead, '{_DANGLING}') AND regexp_matches(regexp_split_to_array(lead, '[.!?]')[1], '{_DEFINES}') THEN 20 WHEN {_words('lead')} >= 12 THEN 8 ELSE 0 END AS lead,
+    least(20, 5 * liftable) AS passages, CASE WHEN facts_found >= 6 THEN 15 WHEN facts_found >= 3 THEN 10 WHEN facts_found >= 1 THEN 5 ELSE 0 END AS facts,
+    CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END AS structure, CASE WHEN questions >= 2 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END AS questions FROM cite JOIN heads USING (page_id)"""
+# dates, authors and structured data are not read here: the given pages have none
+ORACLE["page_citability"] = f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pt AS ({_PARTS})
+  SELECT page_id, host, liftable, facts_found, pt.lead, pt.passages, pt.facts, pt.structure, pt.questions, 0 AS provenance, 0 AS schema,
+    CASE WHEN shell THEN 0 ELSE pt.lead + pt.passages + pt.facts + pt.structure + pt.questions END AS score FROM cite JOIN pt USING (page_id)"""
 ORACLE["host_citability"] = f"""WITH {_SIGNALS}, {_HEADS}, {_CITE}, pts AS (SELECT host, {_POINTS} AS score FROM cite JOIN heads USING (page_id))
   SELECT host, {_round('avg(score)', 0)}::INT AS score, count(score) AS measured, 0::BIGINT AS unmeasured FROM pts GROUP BY host"""
 
@@ -142,10 +149,7 @@ def page_findings(spark, sf_dir):
     return pages.page_findings(pages.page_report(sig, nodes, citability.page_citability(sig)))
 
 
-_PARTS = f"""SELECT page_id, CASE WHEN {_words('lead')} BETWEEN 12 AND 90 AND NOT regexp_matches(lead, '{_DANGLING}') AND regexp_matches(regexp_split_to_array(lead, '[.!?]')[1], '{_DEFINES}') THEN 20 WHEN {_words('lead')} >= 12 THEN 8 ELSE 0 END AS lead,
-    least(20, 5 * liftable) AS passages, CASE WHEN facts_found >= 6 THEN 15 WHEN facts_found >= 3 THEN 10 WHEN facts_found >= 1 THEN 5 ELSE 0 END AS facts,
-    CASE WHEN lists >= 2 THEN 12 WHEN lists = 1 THEN 8 ELSE 0 END AS structure, CASE WHEN questions >= 2 THEN 10 WHEN questions >= 1 THEN 6 ELSE 0 END AS questions FROM cite JOIN heads USING (page_id)"""
-_FLAWS = f"""fl AS (SELECT page_id, host, shell, short, long, len(list_filter(ps, lambda p: {_words('p')} BETWEEN 25 AND 120 AND regexp_matches(p, '{_DANGLING}'))) AS dangling, len(ps) AS n FROM cite JOIN passages USING (page_id, host)),
+_FLAWS = f"""fl AS (SELECT page_id, host, shell, short, long, dangling, len(ps) AS n FROM cite JOIN passages USING (page_id, host)),
   ls AS (SELECT page_id, [20 - lead, 20 - passages, 15 - facts, 15 - structure, 10 - questions, 10, 10] AS lost FROM pt)"""
 
 
@@ -250,24 +254,38 @@ def host_brands(spark, sf_dir):
     return identity.host_identity(_signals(spark, sf_dir)).select("host", "brand")
 
 
-@query(f"""WITH {_SIGNALS}, {_HEADS}, {_BRAND},
+_LINES = f"""{_SIGNALS}, {_HEADS}, {_BRAND},
   fit AS (SELECT host, min(page_id) AS page_id FROM sig WHERE title <> '' AND NOT regexp_matches(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '{identity.LEGAL}') GROUP BY host, regexp_replace(url, '/+$', '')),
   lab AS (SELECT fit.host, fit.page_id, url, description, coalesce(nullif(list_filter(regexp_split_to_array(title, '{identity.LINE_PARTS}'), lambda x: lower(x) <> lower(brand))[1], ''), nullif(h1[1], ''), title) AS label
     FROM fit JOIN sig USING (page_id) JOIN heads USING (page_id) JOIN brands ON brands.host = fit.host),
-  ln AS (SELECT host, page_id, '- [' || regexp_replace(label, '[\\[\\]]', '', 'g') || '](' || url || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END AS line FROM lab)
-  SELECT host, page_id, regexp_matches(line, '{identity.RESOURCE}') AS resource, line FROM ln""")
+  ln AS (SELECT host, page_id, '- [' || regexp_replace(label, '[\\[\\]]', '', 'g') || '](' || url || ')' || CASE WHEN description <> '' THEN ': ' || description ELSE '' END AS line FROM lab)"""
+
+
+@query(f"""WITH {_LINES} SELECT host, page_id, regexp_matches(line, '{identity.RESOURCE}') AS resource, line FROM ln""")
 def llms_entries(spark, sf_dir):
     pages = _signals(spark, sf_dir)
     return identity.llms_entries(pages, identity.host_identity(pages))
 
 
-@query()
+@query(f"""WITH {_LINES}, ab AS (SELECT host, any_value(brand) AS brand, arg_min(description, page_id) AS about FROM sig JOIN brands USING (host) GROUP BY host),
+  ls AS (SELECT host, string_agg(line, chr(10) ORDER BY page_id) FILTER (NOT regexp_matches(line, '{identity.RESOURCE}')) AS main, string_agg(line, chr(10) ORDER BY page_id) FILTER (regexp_matches(line, '{identity.RESOURCE}')) AS docs FROM ln GROUP BY host)
+  SELECT host, '# ' || brand || chr(10) || chr(10) || '> ' || CASE WHEN about <> '' THEN about ELSE brand || '{identity.DESCRIBE}' END || chr(10) || chr(10) || '## Key pages' || chr(10) || chr(10) || coalesce(main || chr(10), '')
+    || CASE WHEN docs IS NULL THEN '' ELSE chr(10) || '## Resources' || chr(10) || chr(10) || docs || chr(10) END AS body FROM ab JOIN ls USING (host)""")
 def llms_files(spark, sf_dir):
     pages = _signals(spark, sf_dir)
     return identity.llms_txt(pages, identity.host_identity(pages))
 
 
-@query()
+_SITES = f"""{_LAYERS}, {_CITE}, {_BEST.replace(_SIGNALS + ",", "")},
+  rd AS (SELECT host, {_round('100 * sum(earned) / sum(possible)', 0)}::INT AS readiness FROM layers GROUP BY host),
+  ct AS (SELECT host, {_round(f'avg({_POINTS})', 0)}::INT AS citability, sum(liftable) AS quotable FROM cite JOIN heads USING (page_id) GROUP BY host),
+  wn AS (SELECT host, coalesce(any_value(wins), 0) AS wins FROM best LEFT JOIN (SELECT winner AS host, count(*) AS wins FROM won WHERE winner IS NOT NULL GROUP BY 1) USING (host) GROUP BY host),
+  col AS (SELECT * FROM rd JOIN ct USING (host) LEFT JOIN wn USING (host)),
+  lng AS (SELECT host, unnest([{{'d': 'readiness', 'v': readiness::DOUBLE}}, {{'d': 'citability', 'v': citability::DOUBLE}}, {{'d': 'quotable', 'v': quotable::DOUBLE}}, {{'d': 'questions won', 'v': wins::DOUBLE}}]) AS x FROM col),
+  top AS (SELECT x.d AS dimension, max(x.v) AS value FROM lng WHERE x.v IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH {_SITES} SELECT dimension, CASE WHEN count(*) = 1 THEN min(host) END AS host, value, count(*) AS ties FROM top JOIN lng ON x.d = dimension AND x.v = value GROUP BY dimension, value""")
 def site_leaders(spark, sf_dir):
     """Who leads on readiness, citability, quotable passages and questions won."""
     pages, best = _signals(spark, sf_dir), _best(spark, sf_dir)
