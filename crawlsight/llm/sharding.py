@@ -2,9 +2,11 @@
 
 Documents with equal group keys are linked. All start with a label, a shard; then, round after round, each group
 that isn't placed asks for the shard that holds most of it among those with room, else for any shard with room,
-and is let in whole as far as the room goes, until every group is placed or none that is left fits anywhere. The
-largest groups come first; one larger than a shard fills as few shards as it can. What fits nowhere whole fills
-the largest room left, and unlinked documents the rest. Every shard ends within one document of the others.
+and is let in whole as far as the room goes, until every group is placed or none that is left fits anywhere. Rounds are
+joins and sums in Spark, whatever the number of groups. The driver sees the room of each shard and two kinds of
+groups, fewer than shards of each: those larger than a shard, which fill as few shards as they can before the first
+round, and those that fit nowhere whole after the last, which fill the largest room left. Unlinked documents fill the
+rest. Every shard ends within one document of the others.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from .common import Store, numbered
 SHARDS = 16
 #: Parts into which the groups that ask for a shard are dealt to be added up.
 PARTS = 256
-#: Up to so many groups, the largest ones and the last ones left over, are placed on the driver.
-PLACED = 4096
 
 
 def place(groups: Sequence[tuple], room: list[int], labels: bool = True) -> tuple[dict[tuple, int], list[tuple]]:
@@ -95,31 +95,26 @@ def _round(left: DataFrame, room: Sequence[int], turn: int) -> DataFrame:
     )
 
 
-def _placed(store: Store, facts: DataFrame, quota: list[int], driver: int) -> tuple[DataFrame, list[int]]:
+def _placed(store: Store, facts: DataFrame, quota: list[int]) -> tuple[DataFrame, list[int]]:
     """(row, shard) of ``facts``, shard null for unlinked documents, and the room that these have in each shard."""
-    spark, shards, total = facts.sparkSession, len(quota), sum(quota)
+    spark, shards = facts.sparkSession, len(quota)
     label = F.pmod(F.xxhash64("row"), F.lit(shards))
     groups = store.put(facts.groupBy("g1", "g2").agg(
         F.count(F.lit(1)).alias("n"), F.array(*(F.count(F.when(label == i, 1)) for i in range(shards))).alias("held")
     ).where("n > 1"), "groups")
     listed = lambda df: [((r["g1"], r["g2"]), r["n"], r["held"]) for r in df.collect()]
-    large = max(quota) + 1  # groups larger than a shard are always among the large ones
-    if driver:
-        large = min(large, max(2, -(-total // driver)))
+    large = max(quota) + 1
     whole, pieces, rest, room = place_large(listed(groups.where(F.col("n") >= large)), quota)
-    left, settled = groups.where(F.col("n") < large), []
-    turn, many = 0, left.count()
-    while many > driver:
+    left, settled, turn = groups.where(F.col("n") < large), [], 0
+    while left.limit(1).count():
         now = store.put(_round(left, room, turn), f"round{turn}")
         for r in now.where("ok").groupBy("target").agg(F.sum("n").alias("n")).collect():
             room[r["target"]] -= r["n"]
         settled.append(now.where("ok").select("g1", "g2", F.col("target").alias("shard")))
-        rest += listed(now.where("target is null"))  # no more than fill what little room is left
+        # each is larger than every room that is left, and all that is left fits into these rooms: fewer than shards
+        rest += listed(now.where("target is null"))
         left, turn = now.where("target is not null and not ok").select("g1", "g2", "n", "held"), turn + 1
-        many = left.count()
-    at, unfit = place(listed(left) if many else [], room)
-    whole |= at
-    for key, n, _ in sorted(rest + unfit, key=lambda g: (-g[1], g[0])):  # these fit nowhere whole: fill the largest room first
+    for key, n, _ in sorted(rest, key=lambda g: (-g[1], g[0])):  # these fit nowhere whole: fill the largest room first
         while n:
             s = max(range(shards), key=room.__getitem__)
             take = min(room[s], n)
@@ -148,7 +143,7 @@ def _placed(store: Store, facts: DataFrame, quota: list[int], driver: int) -> tu
     return store.put(one.union(cut).union(other), "placed"), room
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, driver: int = PLACED) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of ``docs`` (doc_id, text, more); counts at most one apart.
 
     Equal texts are linked (null and empty alike are one group); a group larger than a shard fills several.
@@ -166,7 +161,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, driver: int = PLACED) -> DataFr
     ), "facts")
     total = facts.count()
     quota = [total // shards + (i < total % shards) for i in range(shards)]
-    placed, room = _placed(store, facts, quota, driver)
+    placed, room = _placed(store, facts, quota)
     single = placed.where("shard is null").select("row").withColumn("_all", F.lit(0))
     ends, at = [], 0
     for r in room:
@@ -178,3 +173,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, driver: int = PLACED) -> DataFr
     return numbered(every.select("doc_id", "row", "size", "text_crc32", "shard"), ["shard"], ["row"], "slot").select(
         "doc_id", "size", "text_crc32", "shard", "slot"
     )
+
+
+def cut_edges(shards: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(links, cut): how many links ``shards`` (shard and the columns of ``group``) have, and how many part documents of two shards.
+
+    Every two rows of a group are linked. Counts per group and shard are squared, so no pair is made. One row.
+    """
+    n = F.col("n").cast("decimal(38,0)")
+    cells = shards.groupBy(*group, "shard").agg(F.count(F.lit(1)).alias("n"))
+    sums = cells.groupBy(*group).agg(F.sum(n).alias("n"), F.sum(n * n).alias("within"))
+    links = lambda x: F.coalesce(F.sum(x / 2), F.lit(0)).cast("long")
+    return sums.agg(links(F.col("n") * F.col("n") - F.col("n")).alias("links"), links(F.col("n") * F.col("n") - F.col("within")).alias("cut"))

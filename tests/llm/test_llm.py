@@ -366,26 +366,48 @@ def test_each_layout_has_its_template(spark):
     assert {r.page_id: r.text for r in wrapper.extract(pages_of(spark, shared), 0).collect()} == {i: f"Own text {i}" for i in range(24)}
 
 
+def cut_by_hand(pairs):
+    return sum(a[0] == b[0] and a[1] != b[1] for i, a in enumerate(pairs) for b in pairs[:i])
+
+
 def test_shards_under_skew(spark):
     texts = ["hot"] * 800 + [f"ten {i // 10}" for i in range(450)] + [f"pair {i // 2}" for i in range(300)] + [f"own {i}" for i in range(850)]
     random.Random(4).shuffle(texts)
-    for driver in (sharding.PLACED, 16, 0):
-        rows = sharding.shard(docs(spark, list(enumerate(texts))), driver=driver).collect()
-        on, slots = {}, {}
-        for r in rows:
-            on.setdefault(texts[r.doc_id], []).append(r["shard"])
-            slots.setdefault(r["shard"], []).append(r.slot)
-        assert len(rows) == len(texts) and all(sorted(s) == list(range(150)) for s in slots.values())
-        assert len(set(on.pop("hot"))) == 6
-        assert all(len(set(s)) == 1 for s in on.values())
+    rows = sharding.shard(docs(spark, list(enumerate(texts)))).collect()
+    on, slots = {}, {}
+    for r in rows:
+        on.setdefault(texts[r.doc_id], []).append(r["shard"])
+        slots.setdefault(r["shard"], []).append(r.slot)
+    assert len(rows) == len(texts) and all(sorted(s) == list(range(150)) for s in slots.values())
+    pairs = [(texts[r.doc_id], r["shard"]) for r in rows]
+    told = sharding.cut_edges(spark.createDataFrame(pairs, "g string, shard int"), ["g"]).first()
+    # only the group larger than a shard is cut, into five whole shards and what is left
+    assert len(set(on.pop("hot"))) == 6 and told.cut == cut_by_hand(pairs) == (800**2 - 5 * 150**2 - 50**2) // 2
+    assert told.links == 800 * 799 // 2 + 45 * 45 + 150
+    assert all(len(set(s)) == 1 for s in on.values())
 
 
 def test_shards_without_unlinked_documents(spark):
     texts = [f"group {i // 5}" for i in range(400)]
-    rows = sharding.shard(docs(spark, list(enumerate(texts))), driver=0).collect()
+    rows = sharding.shard(docs(spark, list(enumerate(texts)))).collect()
     assert len({(texts[r.doc_id], r["shard"]) for r in rows}) == 80 and sorted(r.slot for r in rows if r["shard"] == 3) == list(range(25))
 
 
+def test_shards_go_through_rounds_at_every_size(spark, monkeypatch):
+    turns, own = [], sharding._round
+    monkeypatch.setattr(sharding, "_round", lambda left, room, turn: turns.append(turn) or own(left, room, turn))
+    r = random.Random(9)
+    for n, kinds in ((40, 10), (300, 60)):
+        texts = [f"t{r.randrange(kinds)}" for _ in range(n)]
+        pairs = [(texts[x.doc_id], x["shard"]) for x in sharding.shard(docs(spark, list(enumerate(texts))), shards=4).collect()]
+        assert turns and turns[0] == 0 and max(map(len, [[p for p in pairs if p[1] == s] for s in range(4)])) <= -(-n // 4)
+        told = sharding.cut_edges(spark.createDataFrame(pairs, "g string, shard int"), ["g"]).first()
+        first = cut_by_hand([(t, i % 4) for i, t in enumerate(texts)])
+        assert told.cut == cut_by_hand(pairs) < first / 5  # what dealing in turn cuts
+        turns.clear()
+    assert tuple(sharding.cut_edges(spark.createDataFrame([], "g string, shard int"), ["g"]).first()) == (0, 0)
+
+
 def test_null_ids_leave_links_alone(spark):
     words = prose(11, 60).split()
     near = " ".join([*words[:-1], "other"])
