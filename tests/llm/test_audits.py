@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
@@ -13,7 +14,7 @@ import pytest
 
 pytest.importorskip("crawlsight.llm")
 
-from crawlsight.llm import divergence, filter_audit, language_model, lattice  # noqa: E402
+from crawlsight.llm import divergence, filter_audit, language_model, lattice, wrapper  # noqa: E402
 from crawlsight.llm.texts import letter_terms, spaced_words, text_blocks  # noqa: E402
 from crawlsight.llm.transducer import Transducer  # noqa: E402
 
@@ -250,3 +251,91 @@ def test_lattice_with_repeated_ids_of_other_vectors(spark):
     assert len(got) == len(rows)
     assert {(x.vec_id, x.n_links, x.component_id) for x in got} == {(i, links[i], component[i]) for i in component} | {(None, 0, None)}
     assert links[11] == 1
+
+
+def tree(r, depth, tags="ab", words="xyz"):
+    """A random tree as nested lists: a string is a text."""
+    if depth == 0 or r.random() < 0.3:
+        return r.choice(words)
+    return (r.choice(tags), [tree(r, depth - 1, tags, words) for _ in range(r.randint(0, 3))])
+
+
+def made(spec, texts):
+    if isinstance(spec, str):
+        texts.append(spec)
+        return wrapper.Tree("", spec, len(texts) - 1)
+    t = wrapper.Tree(spec[0])
+    t.kids = [made(k, texts) for k in spec[1]]
+    t.close()
+    return t
+
+
+def matched(a, b):
+    """Simple tree matching by its definition, every ordered pairing tried."""
+    if isinstance(a, str) or isinstance(b, str):
+        return (1 + (a == b)) if isinstance(a, str) and isinstance(b, str) else 0
+    if a[0] != b[0]:
+        return 0
+
+    def best(i, j):
+        if i == len(a[1]) or j == len(b[1]):
+            return 0
+        w = matched(a[1][i], b[1][j])
+        return max(best(i + 1, j), best(i, j + 1), w + best(i + 1, j + 1) if w else 0)
+
+    return 1 + best(0, 0)
+
+
+def test_matcher_against_brute_force(monkeypatch):
+    for pairs, seeds in ((wrapper.PAIRS, 300), (0, 60)):
+        monkeypatch.setattr(wrapper, "PAIRS", pairs)
+        for seed in range(seeds):
+            r = random.Random(seed)
+            specs = [("root", [tree(r, 3) for _ in range(r.randint(0, 3))]) for _ in range(2)]
+            texts = [[], []]
+            a, b = (made(s, t) for s, t in zip(specs, texts, strict=True))
+            found = wrapper.Matcher().blocks(a, b)
+            assert all((texts[0][i] == texts[1][j]) == same for i, j, same in found)
+            order = sorted(found)
+            assert [j for _, j, _ in order] == sorted(j for _, j, _ in found) and len({i for i, _, _ in found}) == len(found)
+            if pairs:
+                assert wrapper.Matcher().weight(a, b) == matched(*specs)
+
+
+def site(spark, sources, host="one"):
+    return spark.createDataFrame([(i, f"https://{host}.test/{i}", s, "x") for i, s in enumerate(sources)], "page_id long, url string, html string, host string")
+
+
+def test_only_an_alignment_finds_the_template(spark):
+    names = ["red", "blue", "green", "gold", "grey", "pink"]
+    # no two pages have a path in common below the body, and one more element shifts every second page
+    page = lambda i: f"<body><div class={names[i]}x><p class={names[i]}>Always here</p>{'<table><tr><td>extra ' + names[i] + '</table>' if i % 2 else ''}<ul class={names[i]}><li>Own line {i}</li><li>Same line</li></ul></div></body>"
+    pages = site(spark, [page(i) for i in range(6)])
+    got = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
+    assert got == {i: (f"extra {names[i]}\n" if i % 2 else "") + f"Own line {i}" for i in range(6)}
+    assert {r.page_id: r.text for r in wrapper.extract(pages, 0).collect()} == got  # references joined, not sent
+
+
+def test_forms_soft_words_and_bad_markup(spark):
+    prose = " ".join(f"word{i}" for i in range(70))
+    cases = {
+        "<body><nav>menu</nav><form method=post action=x><input type=hidden><div><h1>Title</h1><p>The whole page stands in a form.</p></div></form></body>": "Title\nThe whole page stands in a form.",
+        "<body><form><label>Name</label><input></form><p>More text than the form has, by far.</p></body>": "More text than the form has, by far.",
+        f"<body><div class=social-policy><p>{prose}</p></div><section id=related-work><p>{prose}</p></section></body>": f"{prose}\n{prose}",
+        f"<body><p>Text</p><div class=related><p><a href=x>{prose}</a></p></div><div class=comments><p>{prose}</p></div></body>": "Text",
+        "<p>Before</p>" + '<a "' * 250_000: "Before\n" + '<a "' * 249_999 + '<a "', "<p>a</p>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>b": "a\ndeep\nb",
+        "<p>x" + "<!" * 300_000: "x" + "<!" * 300_000, "": "", "plain &amp; text": "plain & text",
+    }
+    rows = [(i, f"https://h{i}.test/", s, "x") for i, s in enumerate(cases)] + [(99, None, None, "x")]
+    began = time.time()
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[99] == ""
+    assert time.time() - began < 120
+
+
+def test_a_template_counts_each_source_once(spark):
+    page = lambda i: f"<body><article><p>Shared words of two versions</p><p>Own {i}</p></article></body>"
+    got = {r.page_id: r.text for r in wrapper.extract(site(spark, [page(0)] * 40 + [page(1)])).collect()}
+    assert got[0] == "Shared words of two versions\nOwn 0" and got[40] == "Shared words of two versions\nOwn 1"
+    got = {r.page_id: r.text for r in wrapper.extract(site(spark, [page(i) for i in range(12)] + [page(0)])).collect()}
+    assert got == {i: f"Own {i % 12}" for i in range(13)}

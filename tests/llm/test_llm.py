@@ -336,7 +336,7 @@ def pages_of(spark, sources, host="a.test"):
 def test_constant_blocks_in_articles(spark):
     box = "<div class=box><p>We may earn money from links.</div>"
     pages = pages_of(spark, [f"<body><article><h1>Title {i}</h1><p>Story {i}</p>{box}</article></body>" for i in range(6)])
-    for sent in (wrapper.SENT_BLOCKS, 0):
+    for sent in (wrapper.SENT_BYTES, 0):
         assert {r.page_id: r.text for r in wrapper.extract(pages, sent).collect()} == {i: f"Title {i}\nStory {i}" for i in range(6)}
     same = [f"<article><h1>One</h1><p>Same story.</p><p>Version {i}</p></article>" for i in range(2)]
     assert {r.text for r in wrapper.extract(pages_of(spark, same)).collect()} == {f"One\nSame story.\nVersion {i}" for i in range(2)}
