@@ -66,8 +66,10 @@ def op8_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(_table(spark, sf_dir, "documents"))
-    base = tuple(r for r in secrets.RULES if r.base)
+    # the base rules first; then all rules with that ledger, which scans the blobs by the added rules alone
+    docs, base = _table(spark, sf_dir, "documents"), tuple(r for r in secrets.RULES if r.base)
+    _, ledger = secrets.scan(docs, rules=base)
+    found, _ = secrets.scan(docs, Store(spark, "op9").put(ledger, "ledger"))
     count = lambda kind: F.size(F.filter("findings", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", *(count(r.kind) for r in base),

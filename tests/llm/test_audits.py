@@ -1,5 +1,6 @@
 """Filter interaction, source divergence and language-model scores against brute force, on odd inputs."""
 
+import hashlib
 import math
 import random
 import re
@@ -14,7 +15,7 @@ import pytest
 
 pytest.importorskip("crawlsight.llm")
 
-from crawlsight.llm import divergence, filter_audit, language_model, lattice, wrapper  # noqa: E402
+from crawlsight.llm import chat, decontaminate, divergence, filter_audit, language_model, lattice, wrapper  # noqa: E402
 from crawlsight.llm.texts import letter_terms, spaced_words, text_blocks  # noqa: E402
 from crawlsight.llm.transducer import Transducer  # noqa: E402
 
@@ -339,3 +340,48 @@ def test_a_template_counts_each_source_once(spark):
     assert got[0] == "Shared words of two versions\nOwn 0" and got[40] == "Shared words of two versions\nOwn 1"
     got = {r.page_id: r.text for r in wrapper.extract(site(spark, [page(i) for i in range(12)] + [page(0)])).collect()}
     assert got == {i: f"Own {i % 12}" for i in range(13)}
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def test_contamination_against_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = ["ab", "Ab", "c", "dé", "e1", "漢"]
+    say = lambda n: "".join(r.choice(vocabulary) + r.choice([" ", ". ", "\n", "-"]) for _ in range(n))
+    items = [(i, say(r.choice([0, 2, 3, 10, 12, 14]))) for i in range(12)] + [(20, None), (21, "..."), (3, say(11)), (22, "ab c")]
+    rows = [(i % 30, say(r.randint(0, 40)), "en", "s") for i in range(40)] + [(50, None, "en", "s"), (51, "", None, None), (52, say(900), "en", "s")]
+    rows += [(60 + i, say(5) + (items[i][1] or "") + say(3), "en", "s") for i in range(12)] + [rows[0]] * 2
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows = {(tuple(w[k : k + 10]), str(i)) for i, t in items if (w := words(t)) for k in range(max(1, len(w) - 9))}
+    want = []
+    for i, t, *_ in rows:
+        w = words(t)
+        hit, named = set(), set()
+        for x, item in windows:
+            for k in range(len(w) - len(x) + 1):
+                if tuple(w[k : k + len(x)]) == x:
+                    hit.update(range(k, k + len(x)))
+                    named.add(item)
+        want.append((i, len(w), len(hit), len(named), sorted(named), bool(hit)))
+    found = decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(x.doc_id, x.n_words, x.n_hit, x.n_items, list(x.item_ids or []), x.contaminated) for x in found.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(x[5] for x in want) > 10
+
+
+def test_chat_against_brute_force(spark):
+    r = random.Random(12)
+    pieces = ["<|im_end|>", "<|im_start|>assistant", "\n", "&lt;", "&#10;", "&amp;", "a", "é", "😀", "<", "|>", ""]
+    say = lambda: None if r.random() < 0.1 else "".join(r.choice(pieces) for _ in range(r.randint(0, 6)))
+    turns = [(c, t, r.choice(["user", "assistant", "assistant", "system", "user\nx"]), say(), "x") for c in (*range(30), None) for t in range(r.randint(1, 7))]
+    got = {x.conv_id: x for x in chat.conversation_digests(chat.format_examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, no string"))).collect()}
+    for c in {t[0] for t in turns}:
+        mine = [(role, text or "") for k, _, role, text, _ in turns if k == c]
+        loss = "".join(t for role, t in mine if role == "assistant")
+        x = got[c]
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (x.n_turns, x.turns_sha256) == (len(mine), digest("".join(f"{a}\n{b}\n" for a, b in mine)))
+        assert (x.loss_chars, x.loss_sha256) == (len(loss), digest(loss))
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digests(chat.format_examples(empty)).count() == 0
