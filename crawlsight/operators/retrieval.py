@@ -5,7 +5,7 @@ Write ``postings`` once (Parquet) and pass it on: ranking, statistics and matchi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,20 +17,27 @@ ANSWERED, WEAK = 0.75, 0.4
 WEIGHTS = {"title": 3, "description": 2, "headings": 2, "text": 1}
 
 
+def _runs(ordered: Column) -> Column:
+    """(value, n) of each run of equal values in a sorted array, in one pass over it."""
+    places = F.transform(ordered, lambda _, i: i)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ordered)))
+    return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda i, j: F.struct(F.get(ordered, i).alias("value"), (j - i).alias("n")))
+
+
 def postings(pages: DataFrame) -> DataFrame:
     """(page_id, host, term, tf, dl) of ``pages`` (page_id, host, title, description, headings, text); stemmed terms.
 
-    A page without words has one row without a term, so that the statistics count it.
+    A page without words has one row without a term, so that the statistics count it. A page is counted within its row: its
+    words, each as often as its field weighs, are sorted, and only distinct words are stemmed. Nothing is shuffled.
     """
-    fields = F.array(*(F.struct(F.lit(w).alias("w"), tokenise(F.col(f)).alias("t")) for f, w in WEIGHTS.items()))
-    # dealt by page once: both counts below stay within a page, and only distinct words are stemmed
-    read = pages.repartition("page_id").select("page_id", "host", fields.alias("f"))
-    size = F.aggregate("f", F.lit(0).cast("long"), lambda acc, x: acc + x.w * F.size(x.t))
-    words = read.select("page_id", "host", size.alias("dl"), F.explode("f").alias("f")).select("page_id", "host", "dl", "f.w", F.explode_outer("f.t").alias("token"))
-    tf = F.sum(F.when(F.col("token").isNotNull(), F.col("w")).otherwise(0))
-    counts = words.where("token is not null or dl = 0").groupBy("page_id", "host", "dl", "token").agg(tf.alias("tf"))
-    terms = counts.groupBy("page_id", "host", "dl", stem(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))
-    return terms.select("page_id", "host", "term", "tf", "dl")
+    repeated = F.flatten(F.concat(*(F.array_repeat(tokenise(F.col(f)), w) for f, w in WEIGHTS.items())))
+    own = ("page_id", "host")
+    words = pages.select(*own, F.sort_array(repeated).alias("s"))
+    counted = words.select(*own, F.size("s").cast("long").alias("dl"), _runs(F.col("s")).alias("r"))
+    stems = counted.select(*own, "dl", F.sort_array(F.flatten(F.transform("r", lambda r: F.array_repeat(stem(r.value), r.n)))).alias("s"))
+    terms = stems.select(*own, "dl", F.explode_outer(_runs(F.col("s"))).alias("r"))
+    return terms.select(*own, F.col("r.value").alias("term"), F.coalesce(F.col("r.n").cast("long"), F.lit(0)).alias("tf"), "dl")
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
@@ -56,8 +63,10 @@ def scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, page_id, host, score, matched, coverage, missing_terms) of every page with a query term."""
     stats = corpus_stats(index)
     asked = query_terms(queries)
-    wanted = asked.join(term_stats(index, stats), "term")
-    hit = index.join(wanted, "term").join(F.broadcast(stats), how="inner")
+    # only postings of asked terms are counted and met
+    few = index.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = asked.join(term_stats(few, stats), "term")
+    hit = few.join(wanted, "term").join(F.broadcast(stats), how="inner")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     found = hit.groupBy("query_id", "page_id", "host").agg(
         F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"), F.collect_set("token").alias("found"), F.first("tokens").alias("tokens")
