@@ -19,24 +19,19 @@ def mentions(text: Column, needles: Column) -> Column:
     return F.exists(needles, lambda n: F.contains(compact(text), n))
 
 
-#: Brands up to this many are sent to every executor.
-SENT_BRANDS = 10_000
 
 
 def brand_hits(answers: DataFrame, brands: DataFrame) -> DataFrame:
     """(answer_id, brand, position) of ``answers`` (answer_id, text) that name a brand of ``brands`` (brand, needles of four characters and more).
 
-    position: rank of the first top-level list item whose head names it; null outside lists. Few brands are sent
-    to every answer; many meet only the answers that have the first four characters of one of their needles.
+    position: rank of the first top-level list item whose head names it; null outside lists. An answer meets only the brands
+    that share the first four characters of a needle with it, so no answer is held against all brands.
     """
-    if brands.count() <= SENT_BRANDS:
-        met = answers.join(F.broadcast(brands), mentions(answers["text"], F.col("needles")))
-    else:
-        squeezed = compact(F.col("text"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(squeezed) - 3), lambda i: F.substring(squeezed, i, 4)))
-        starts = answers.where(F.length(squeezed) >= 4).select("answer_id", "text", F.explode(grams).alias("start"))
-        keys = brands.select("brand", "needles", F.explode(F.array_distinct(F.transform("needles", lambda n: F.substring(n, 1, 4)))).alias("start"))
-        met = starts.join(keys, "start").where(mentions(F.col("text"), F.col("needles"))).dropDuplicates(["answer_id", "brand"]).drop("start")
+    squeezed = answers.where("text IS NOT NULL").select("answer_id", "text", compact(F.col("text")).alias("squeezed")).where(F.length("squeezed") >= 4)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("squeezed") - 3), lambda i: F.substring("squeezed", i, 4)))
+    keys = brands.select("brand", F.explode("needles").alias("needle")).where(F.length("needle") >= 4).select("brand", "needle", F.substring("needle", 1, 4).alias("start")).distinct()
+    met = squeezed.select("answer_id", "squeezed", F.explode(grams).alias("start")).join(keys, "start").where(F.contains("squeezed", "needle")).select("answer_id", "brand").distinct()
+    met = answers.join(met, "answer_id").join(brands.groupBy("brand").agg(F.array_distinct(F.flatten(F.collect_list("needles"))).alias("needles")), "brand").select("answer_id", "brand", "text", "needles")
     item = F.coalesce(
         F.nullif(F.regexp_extract("line", r"^(?:\d+[.)]|[-*•])\s+(.*)$", 1), F.lit("")),
         F.nullif(F.regexp_extract("line", r"^#{2,4}\s+(?:\d+[.)]\s*)?(.*)$", 1), F.lit("")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -217,6 +217,12 @@ FIXES = {
 }
 
 
+def check_catalogue(spark: SparkSession) -> DataFrame:
+    """(check_id, layer, weight, fix): the 27 checks as a table."""
+    every = [x[:3] for part in (CHECKS, MARKUP_CHECKS, ENTITY_CHECKS, SPEED_CHECKS, _UNKNOWN) for x in part]
+    return spark.createDataFrame([(*x, FIXES[x[0]]) for x in every], "check_id string, layer string, weight int, fix string")
+
+
 def check_evidence(signals: DataFrame, keep: int = SHOWN) -> DataFrame:
     """(host, check_id, n, of, urls): the pages that each page-level check finds wrong, how many of how many, the ``keep`` first by page_id.
 

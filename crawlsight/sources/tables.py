@@ -67,9 +67,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df.sparkSession, name).put(df, "rows")
 
 
+RESPONSE = {"page_id": "long", "url": "string", "final_url": "string", "status": "int", "ms": "double", "bytes": "long", "content_type": "string", "x_robots_tag": "string", "headers": "map<string,string>", "html": "string"}
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Raw pages as ``RESPONSE`` says, from Parquet that has page_id, url and html at least.
+
+    What a table lacks is null, but the final address is then the address; content type and robots tag are taken from the
+    headers, whose names count in any case, where they have no column of their own.
+    """
+    found = spark.read.parquet(path)
+    has = set(found.columns)
+    rows = found.select(*((F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in RESPONSE.items()))
+    header = lambda name: F.get(F.filter(F.map_entries("headers"), lambda e: F.lower(e.key) == name), F.lit(0)).getField("value")
+    return rows.withColumns({
+        "final_url": F.coalesce("final_url", "url"), "content_type": F.coalesce("content_type", header("content-type")), "x_robots_tag": F.coalesce("x_robots_tag", header("x-robots-tag")),
+        "bytes": F.coalesce("bytes", F.octet_length("html").cast("long")),
+    })
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """Append a run's rows below its snapshot_id."""
-    df.write.mode("append").partitionBy("snapshot_id").parquet(path)
+    """A run's rows below its snapshot_id. A run that is written again replaces itself; other runs stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
 
 
 def merged_history(old: DataFrame, new: DataFrame, keep: int = 60) -> DataFrame:

@@ -139,3 +139,19 @@ def test_trails_batch_and_stream(spark, tmp_path):
     stream = tables.last_states(tables.read_trails(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))))
     stream.writeStream.format("memory").queryName("trail_states").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert read(spark.table("trail_states")) == want
+
+
+def test_pages_snapshots_and_catalogue(spark, tmp_path):
+    spark.createDataFrame([(1, "https://a.com/", "<p>é"), (2, "https://b.com/", None)], "page_id int, url string, html string").write.parquet(str(tmp_path / "thin"))
+    got = tables.read_pages(spark, str(tmp_path / "thin")).orderBy("page_id").collect()
+    assert (got[0].final_url, got[0].status, got[0].bytes, got[0].content_type, got[1].bytes) == ("https://a.com/", None, 5, None, None)
+    spark.createDataFrame([(1, "u", "v", 200, {"Content-Type": "text/html", "X-ROBOTS-TAG": "noindex"}, "x")], "page_id long, url string, final_url string, status int, headers map<string,string>, html string").write.parquet(str(tmp_path / "full"))
+    full = tables.read_pages(spark, str(tmp_path / "full")).first()
+    assert (full.final_url, full.status, full.content_type, full.x_robots_tag) == ("v", 200, "text/html", "noindex")
+    path = str(tmp_path / "snapshots")
+    run = lambda name, *n: spark.createDataFrame([(name, i) for i in n], "snapshot_id string, n int")
+    for part in (run("r1", 1, 2), run("r2", 3), run("r1", 1, 2)):
+        tables.write_snapshot(part, path)
+    assert sorted((r.snapshot_id, r.n) for r in spark.read.parquet(path).collect()) == [("r1", 1), ("r1", 2), ("r2", 3)]
+    catalogue = readiness.check_catalogue(spark)
+    assert catalogue.count() == readiness.ALL_CHECKS and {r.layer: r.w for r in catalogue.groupBy("layer").agg(F.sum("weight").alias("w")).collect()} == readiness.ALL_WEIGHTS

@@ -90,8 +90,7 @@ def test_many_brands_meet_by_their_first_letters(spark, monkeypatch):
     brands = spark.createDataFrame([("Acme Data", ["acmedata", "acme"]), ("Other", ["other"]), ("Zed", ["zedco"])], "brand string, needles array<string>")
     told = spark.createDataFrame([(1, "1. Rival\n2. Ac-me Data: good"), (2, "none"), (3, "abc"), (4, None), (5, "- OTHER and acme")], "answer_id int, text string")
     want = {(r.answer_id, r.brand, r.position) for r in answers.brand_hits(told, brands).collect()}
-    monkeypatch.setattr(answers, "SENT_BRANDS", 0)
-    assert {(r.answer_id, r.brand, r.position) for r in answers.brand_hits(told, brands).collect()} == want == {(1, "Acme Data", 2), (5, "Other", 1), (5, "Acme Data", 1)}
+    assert want == {(1, "Acme Data", 2), (5, "Other", 1), (5, "Acme Data", 1)}
 
 
 def test_journey_outcomes(spark):
@@ -152,7 +151,9 @@ def test_routes_and_moves(spark):
         "journey_id string, n int, host string, action string, url string",
     )
     done = spark.createDataFrame([("j", "a.test/seen")], "journey_id string, key string")
-    assert sorted(r.n for r in journeys.admit_moves(asked, done, fetches=2).collect()) == [2, 6, 7, 8]
+    # one of the two fetches is spent on what was seen, and a search without words is none
+    assert sorted(r.n for r in journeys.admit_moves(asked, done, fetches=2).collect()) == [2, 8]
+    assert sorted(r.n for r in journeys.admit_moves(asked.withColumn("query", F.lit("cost")), done, fetches=3).collect()) == [2, 6, 7, 8]
 
 
 def test_history(spark):
