@@ -1,5 +1,5 @@
 """The registered queries; importing the package registers those of every module."""
 
-from . import queries, sites
+from . import queries, sites, trails
 
-__all__ = ["queries", "sites"]
+__all__ = ["queries", "sites", "trails"]
