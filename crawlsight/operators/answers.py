@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import compact, js_round
 
@@ -19,29 +18,30 @@ def mentions(text: Column, needles: Column) -> Column:
     return F.exists(needles, lambda n: F.contains(compact(text), n))
 
 
-
-
 def brand_hits(answers: DataFrame, brands: DataFrame) -> DataFrame:
     """(answer_id, brand, position) of ``answers`` (answer_id, text) that name a brand of ``brands`` (brand, needles of four characters and more).
 
     position: rank of the first top-level list item whose head names it; null outside lists. An answer meets only the brands
     that share the first four characters of a needle with it, so no answer is held against all brands.
     """
-    squeezed = answers.where("text IS NOT NULL").select("answer_id", "text", compact(F.col("text")).alias("squeezed")).where(F.length("squeezed") >= 4)
+    squeezed = answers.where("text IS NOT NULL").select("answer_id", compact(F.col("text")).alias("squeezed")).where(F.length("squeezed") >= 4)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("squeezed") - 3), lambda i: F.substring("squeezed", i, 4)))
     keys = brands.select("brand", F.explode("needles").alias("needle")).where(F.length("needle") >= 4).select("brand", "needle", F.substring("needle", 1, 4).alias("start")).distinct()
     met = squeezed.select("answer_id", "squeezed", F.explode(grams).alias("start")).join(keys, "start").where(F.contains("squeezed", "needle")).select("answer_id", "brand").distinct()
-    met = answers.join(met, "answer_id").join(brands.groupBy("brand").agg(F.array_distinct(F.flatten(F.collect_list("needles"))).alias("needles")), "brand").select("answer_id", "brand", "text", "needles")
-    item = F.coalesce(
-        F.nullif(F.regexp_extract("line", r"^(?:\d+[.)]|[-*•])\s+(.*)$", 1), F.lit("")),
-        F.nullif(F.regexp_extract("line", r"^#{2,4}\s+(?:\d+[.)]\s*)?(.*)$", 1), F.lit("")),
+    needles = brands.groupBy("brand").agg(F.array_distinct(F.flatten(F.collect_list("needles"))).alias("needles"))
+    rows = answers.select("answer_id", _item_heads(F.col("text")).alias("heads")).join(met, "answer_id").join(needles, "brand")
+    named = F.transform("heads", lambda h: F.exists("needles", lambda n: F.contains(h, n)))
+    return rows.select("answer_id", "brand", F.nullif(F.array_position(named, True), F.lit(0)).cast("int").alias("position"))
+
+
+def _item_heads(text: Column) -> Column:
+    """The heads of a text's top-level list items and small headings, compacted, in their order."""
+    item = lambda line: F.coalesce(
+        F.nullif(F.regexp_extract(line, r"^(?:\d+[.)]|[-*•])\s+(.*)$", 1), F.lit("")),
+        F.nullif(F.regexp_extract(line, r"^#{2,4}\s+(?:\d+[.)]\s*)?(.*)$", 1), F.lit("")),
     )
-    lines = met.select("answer_id", "brand", "needles", F.posexplode(F.split("text", "\r?\n", -1)).alias("no", "line")).where(~F.col("line").rlike(r"^\s{2,}"))
-    items = lines.withColumn("item", item).where("item is not null")
-    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("answer_id", "brand").orderBy("no")))
-    named = ranked.where(mentions(F.get(F.split("item", r":|–|—|\s-\s", -1), F.lit(0)), F.col("needles")))
-    first = named.groupBy("answer_id", "brand").agg(F.min("rank").alias("position"))
-    return met.select("answer_id", "brand").join(first, ["answer_id", "brand"], "left")
+    top = F.filter(F.split(text, "\r?\n", -1), lambda line: ~line.rlike(r"^\s{2,}"))
+    return F.transform(F.array_compact(F.transform(top, item)), lambda i: compact(F.get(F.split(i, r":|–|—|\s-\s", -1), F.lit(0))))
 
 
 def answer_counts(answers: DataFrame) -> DataFrame:
