@@ -59,12 +59,12 @@ class Store:
 # ---------------------------------------------------------------- gapless numbers
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, salts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, salts: int | Column = 64) -> DataFrame:
     """Number the rows of each key from 0 without gaps, no key in one task.
 
     Rows of a key are dealt to ``salts`` parts by a hash of ``order``; each part is numbered by a window and
     starts after the parts before it. ``keys`` must have few values (the counts per key and part are broadcast:
-    at most values x salts rows); ``order`` should tell rows apart.
+    at most values x salts rows); ``order`` should tell rows apart. ``salts`` may be a column that depends on the keys.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))

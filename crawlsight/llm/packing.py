@@ -121,6 +121,16 @@ _PIECE = pa.schema(
 )
 
 
+#: The parts of a length that are numbered apart: some at least, then one for so many bytes of ids, more bytes where these would be too many parts.
+LEAST_PARTS, PART_BYTES, MOST_PARTS = 32, 64 << 20, 1 << 18
+
+
+def _parts(counts: dict[int, int], capacity: int) -> list[int]:
+    """In how many parts the pieces of each length, 0 to ``capacity``, are numbered: at most MOST_PARTS + (LEAST_PARTS + 1) x lengths in all."""
+    size = max(PART_BYTES, -(-sum(4 * n * c for n, c in counts.items()) // MOST_PARTS))
+    return [LEAST_PARTS + 4 * n * counts.get(n, 0) // size for n in range(capacity + 1)]
+
+
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length, more) with sequence_id and offset. Read several times: store it first.
 
@@ -152,7 +162,8 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank_in_length", salts=32)
+    folded = F.split(F.lit(",".join(map(str, _parts(counts, capacity)))), ",").cast("array<int>")  # one literal, looked up by place
+    ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank_in_length", salts=F.get(folded, F.col("length").cast("int")))
     return ranked.select(*pieces.columns, "_rank_in_length").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 

@@ -72,6 +72,23 @@ def test_packing(spark, odd):
     assert packing.pack(docs(spark, []), TOKENIZER).count() == 0
 
 
+def test_parts_of_a_length_grow_with_it(spark, monkeypatch):
+    assert packing._parts({}, 3) == [32] * 4
+    grown = packing._parts({4096: 6_000_000_000, 7: 10}, 4096)
+    assert grown[7] == 32 and grown[4096] > 200_000 and sum(grown) <= packing.MOST_PARTS + 33 * 4097
+    monkeypatch.setattr(packing, "PART_BYTES", 64)
+    monkeypatch.setattr(packing, "LEAST_PARTS", 1)
+    pieces = spark.createDataFrame([(i, 0, 0, 8 if i % 3 else 3) for i in range(300)], "doc_id long, piece int, start long, length long")
+    placed = packing.assign(pieces, 16).collect()
+    by = {}
+    for r in placed:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(placed) == 300 and len(by) == 120  # 200 eights in 100, 100 threes in 20
+    for spans in by.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) <= 16
+
+
 def test_id_store_round_trip(spark, odd, tmp_path):
     path = Store(spark, "t").path("s")
     idstore.write(docs(spark, odd), path, TOKENIZER)
@@ -242,6 +259,11 @@ def test_chat_round_trip(spark):
     assert [r.y for r in rows if r.conv_id == 1] == [hard, "", ""] and [r.y for r in rows if r.conv_id == 3] == ["😀é", "😀é"]
 
 
+def test_chat_of_nothing(spark):
+    examples = chat.format_examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert examples.count() == 0
+
+
 def test_shards(spark, odd):
     texts = [*odd, *((50 + i, "same") for i in range(40)), *((200 + i, f"own {i}") for i in range(37))]
     rows = sharding.shard(docs(spark, texts), shards=4).collect()
@@ -286,6 +308,38 @@ def test_quality(spark):
     assert all(r.kept for r in quality.judge(docs(spark, good[:3]), labels.limit(0)).collect())
 
 
+def test_very_long_text_is_judged_whole(spark):
+    labelled = [(i, prose(i, 60) if i % 2 else "BUY!! NOW!! " * 20) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in labelled], "doc_id long, quality int, toxic int")
+    long = prose(900, 60_000)
+    told = quality.judge(docs(spark, [*labelled, (900, long), (901, "BUY!! NOW!! " * 50_000), (901, "BUY!! NOW!! " * 50_000)]), labels)
+    rows = {r.doc_id: r for r in told.collect()}
+    assert rows[900].kept and not rows[901].kept and told.count() == 123
+    assert rows[900].text == long and rows[900].row == "r"  # columns that clash come back as they were
+
+
+def test_site_shifts_against_brute_force(spark):
+    for seed in range(4):
+        r = random.Random(seed)
+        sites = [(r.choice(["a", "b", "c", None]), r.choice(["x", "y", None])) for _ in range(1 + 8 * seed)]
+        rows = [(h, p, r.gauss(2 if h == "a" else -1, 1.5)) for h, p in sites for _ in range(r.randint(1, 12))]
+        good = lambda q: 1 / (1 + np.exp(-q))
+        n, total = len(rows), sum(good(q) for *_, q in rows)
+        mean = min(max(total / n, 1e-4), 1 - 1e-4)
+        of = lambda keep: [good(q) for h, p, q in rows if keep(h, p)]
+        hosts = {h for h, *_ in rows}
+        between = sum(sum(of(lambda x, _: x == h)) ** 2 / len(of(lambda x, _: x == h)) for h in hosts) / n - mean**2 - mean * (1 - mean) * len(hosts) / n
+        shrink = min(max(mean * (1 - mean) / between - 1, quality.LEAST_SHRINK), quality.MOST_SHRINK) if between > 0 else quality.MOST_SHRINK
+        expected = {}
+        for h, p in {(h, p) for h, p, _ in rows}:
+            host, path = of(lambda x, _: x == h), of(lambda x, y: (x, y) == (h, p))
+            share = (sum(path) + shrink * (sum(host) + shrink * mean) / (len(host) + shrink)) / (len(path) + shrink)
+            shift = np.log(share / (1 - share)) - np.log(mean / (1 - mean))
+            expected[h, p] = min(max(shift, -quality.SITE_LIMIT), quality.SITE_LIMIT)
+        got = {(x.host, x.path): x.site_shift for x in quality.site_shifts(spark.createDataFrame(rows, "host string, path string, _q double")).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
 def test_secret_ledger(spark):
     key = "é AKIA" + "A" * 16 + " password = hunter2x token: ab " + "0a" * 12
     texts = docs(spark, [(1, key), (2, key), (2, key), (3, None), (4, ""), (5, "token=ab")])
@@ -440,3 +494,15 @@ def test_pipeline_keeps_null_and_repeated_ids(spark, tmp_path):
     assert texts(one) == sorted(((i, t.replace("AKIA" + "A" * 16, "[access]") if t else t) for i, t in left), key=str)
     packed = cp.packed(spark, one, at).collect()
     assert sum(r.piece == 0 for r in packed) == len(left)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    one = spark.createDataFrame([(1, prose(3, 40), None, None, None)], schema)
+    assert cp.decontaminated(spark, one, str(tmp_path)).collect() == one.collect()  # no item, no contamination
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
