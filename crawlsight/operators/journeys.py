@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
+from ..functions.text import ascii_edges
 from ..functions.urls import host_of, own_domain, part, resolve_link, url_key
 
 SLOW_MS, THIN_WORDS = 2500, 120
@@ -64,6 +65,7 @@ def fetch_issues(log: DataFrame) -> DataFrame:
 
 def prove_intent(text: Column, proof: str) -> Column:
     """The words around the first proof in a text, 90 characters each side; empty without one."""
+    proof = ascii_edges(proof)
     at, hit = F.regexp_instr(text, F.lit(proof)), F.regexp_substr(text, F.lit(proof))
     begin = F.greatest(F.lit(1), at - 90)
     end = F.least(F.length(text), at + F.length(hit) + 89)
@@ -169,9 +171,9 @@ def rank_routes(links: DataFrame, visited: DataFrame | None = None) -> DataFrame
     depth = F.size(F.filter(F.split(path, "/"), lambda x: x != ""))
 
     def strength(routes: tuple) -> Column:
-        found = F.when(subject.rlike(routes[0]), len(routes) * 10)
+        found = F.when(subject.rlike(ascii_edges(routes[0])), len(routes) * 10)
         for i, r in enumerate(routes[1:], 1):
-            found = found.when(subject.rlike(r), (len(routes) - i) * 10)
+            found = found.when(subject.rlike(ascii_edges(r)), (len(routes) - i) * 10)
         return found
 
     ranks = F.inline(F.array(*(F.struct(F.lit(i).alias("intent"), (strength(r) - depth).alias("score")) for i, r in ROUTES.items())))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import collapse, word_count
+from ..functions.text import ascii_edges, collapse, word_count
 from ..functions.urls import resolve_link
 from ..sources.tables import Stored
 from .signals import HIDDEN, MOUNT, attribute, plain, tag_with
@@ -54,16 +54,16 @@ def agent_view(responses: DataFrame) -> DataFrame:
         "_page": kind.rlike("(?i)html|xml") | body.rlike(r"(?i)<html[\s>]"), "_shown": F.regexp_replace(body, HIDDEN, " "),
     })
     shown = c("_shown")
-    inside = F.regexp_extract(shown, r"(?is)<body\b[^>]*>(.*?)(?:</body>|$)", 1)
-    main, article = (plain(F.regexp_extract(shown, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)) for t in ("main", "article"))
+    inside = F.regexp_extract(shown, ascii_edges(r"(?is)<body\b[^>]*>(.*?)(?:</body>|$)"), 1)
+    main, article = (plain(F.regexp_extract(shown, ascii_edges(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>"), 1)) for t in ("main", "article"))
     staged = staged.withColumns({
         "_body": F.when(~c("_page"), collapse(body)).when(plain(inside) != "", plain(inside)).otherwise(plain(shown)),
         "_main": F.when(main != "", main).otherwise(article),
         "title": F.when(c("_page"), plain(F.regexp_extract(body, "(?is)<title[^>]*>(.*?)</title>", 1))).otherwise(""),
     })
     words = word_count(c("_body"))
-    scripts = F.regexp_count(body, F.lit(r"(?i)<script\b[^>]*\ssrc\s*="))
-    password = body.rlike(r"(?is)<input\b[^>]*\stype\s*=\s*[\"']?password\b")
+    scripts = F.regexp_count(body, F.lit(ascii_edges(r"(?i)<script\b[^>]*\ssrc\s*=")))
+    password = body.rlike(ascii_edges(r"(?is)<input\b[^>]*\stype\s*=\s*[\"']?password\b"))
     begin = F.concat_ws(" ", "title", F.substring("_body", 1, 600))
     return staged.withColumns({
         "text": F.substring(F.when(c("_page") & (c("_main") != ""), c("_main")).otherwise(c("_body")), 1, 16_000), "words": words,

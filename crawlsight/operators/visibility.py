@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import compact, js_round
+from ..functions.text import ascii_edges, compact, js_round
 from ..functions.urls import own_domain, source_domain
 from .answers import answer_counts, mentions
 
@@ -34,7 +34,7 @@ def is_platform(name: Column) -> Column:
 def recognises(text: Column, brand: Column, needles: Column) -> Column:
     """Whether an answer names the brand, and not only to say that it knows nothing of it."""
     quoted = F.regexp_replace(brand, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    disowned = F.regexp_like(text, F.concat(F.lit(DISOWNED), quoted, F.lit(r"\b(?!['’]s)")))
+    disowned = F.regexp_like(text, F.concat(F.lit(DISOWNED), quoted, F.lit(ascii_edges(r"\b(?!['’]s)"))))
     return mentions(text, needles) & ~text.rlike(UNKNOWN) & ~disowned
 
 
