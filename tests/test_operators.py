@@ -266,3 +266,18 @@ def test_markup_checks(spark):
     assert got["b.test"] == {
         "indexable": "pass", "alt-text": "na", "offering-schema": "fail", "faq-schema": "warn", "open-graph": "fail", "about-contact": "warn", "jsonld-valid": "fail", "freshness": "na",
     }
+
+
+def test_asked_postings_rank_as_all_do(spark):
+    rows = [(i, f"h{i % 3}.test", "Pricing plans" if i % 2 else "", "cost of tools", "", " ".join(["tool price gdpr word"[k % 4 * 5:] for k in range(i)])) for i in range(12)]
+    pages = spark.createDataFrame([*rows, (99, "h9.test", "", "", "", "")], SCHEMA)
+    asked = spark.createDataFrame([(1, "tools and prices for gdpr"), (2, "pricing plan"), (3, "nothing here says xylophone")], "query_id int, query string")
+    every, few = retrieval.postings(pages), retrieval.asked_postings(pages, asked)
+    assert sorted(retrieval.corpus_stats(few).first()) == sorted(retrieval.corpus_stats(every).first())
+    assert {r.term for r in few.collect()} == {None, *(r.term for r in retrieval.query_terms(asked).collect())} & {None, *(r.term for r in every.collect())}
+    for per_host in (False, True):
+        both = [sorted(map(str, retrieval.rank_pages(asked, index, 2, per_host).collect())) for index in (every, few)]
+        assert both[0] == both[1] and both[0]
+    # a page's sums are made where its postings lie: no list of words and no pair of query and page is dealt out again
+    plan = retrieval.scores(asked, few)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "hashpartitioning(query_id" not in plan
