@@ -101,3 +101,13 @@ def test_lost_questions(spark):
     assert {(r.query_id, r.host) for r in lost.where("lost").collect()} == {(1, "a"), (3, "a")}
     hits = lost.withColumns({"query": F.concat(F.lit("word"), "query_id"), "url": F.lit(""), "missing_terms": F.array(F.lit("x"))})
     assert [(r.query_id, r.reason) for r in briefs.briefs(hits).where("host = 'a'").orderBy("rank").collect()] == [(1, "lost"), (3, "lost"), (2, "weak")]
+
+
+def test_score_board_stores_only_what_checks_read(spark):
+    from crawlsight.operators import readiness, signals
+    from crawlsight.plans.sites import _UNASKED
+
+    pages = spark.createDataFrame([(1, "https://a.test/", "<title>A</title><p>x</p>")], "page_id long, url string, html string")
+    kept = signals.page_signals(pages).drop(*_UNASKED)
+    assert {"text", "readable", "passages"} <= set(_UNASKED) <= set(signals.page_signals(pages).columns)
+    assert readiness.checks(kept).columns and readiness.markup_checks(kept).columns  # no check asks for what is left out
