@@ -265,6 +265,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
+#: Rows of a file of signed sets, each of which has hundreds of signatures: the tasks that count these hold few files' at a time.
+FILE_ROWS = 512
 #: Members of each bucket that are compared with everyone in it, turn by turn, before what is left is compared.
 CHOSEN = (3, 8, 16)
 #: What is left is compared if it is no more than so many pairs for a row of the index, or a turn has not halved it.
@@ -282,7 +284,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, keep: Sequence[str] = ()
     """
     store = Store(docs.sparkSession, "jaccard")
     coded, ks = _signed(docs, n, Reach(num), keep)
-    signed = store.put(coded.withColumn("_row", F.monotonically_increasing_id()), "signed")
+    signed = store.put(coded.withColumn("_row", F.monotonically_increasing_id()), "signed", FILE_ROWS)
     # a class is known by the first row that carries its signatures
     classes = store.put(
         signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(

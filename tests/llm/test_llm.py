@@ -220,6 +220,21 @@ def variants(seed, base, n, most):
     return out
 
 
+def test_signed_sets_are_read_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILE_ROWS", 50, raising=False)
+    seen, buckets = [], jaccard._buckets
+
+    def counted(store, groups, ks):
+        signed = spark.read.parquet(store.path("signed"))
+        seen.extend(r["count"] for r in signed.groupBy(F.input_file_name()).count().collect())
+        return buckets(store, groups, ks)
+
+    monkeypatch.setattr(jaccard, "_buckets", counted)
+    rows = jaccard.similar(docs(spark, [(i, prose(i // 2, 30)) for i in range(220)]).coalesce(1), 4, 85).collect()
+    assert sum(seen) == 220 and max(seen) <= 50
+    assert {(r.doc_id, r.component_id) for r in rows} == {(i, i - i % 2) for i in range(220)}
+
+
 @pytest.mark.parametrize(("n", "num", "left", "sent"), [(4, 85, jaccard.LEFT, jaccard.SENT_ROWS), (5, 80, 0, 0)])
 def test_jaccard_against_brute_force(spark, odd, n, num, left, sent, monkeypatch):
     texts = list(odd)
