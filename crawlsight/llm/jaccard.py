@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -267,6 +267,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
 
 #: Rows of a file of signed sets, each of which has hundreds of signatures: the tasks that count these hold few files' at a time.
 FILE_ROWS = 512
+#: Parts of the signatures, by their remainder, that are counted one after the other: shuffle files of one part are on disk at a time.
+PARTS = 2
 #: Members of each bucket that are compared with everyone in it, turn by turn, before what is left is compared.
 CHOSEN = (3, 8, 16)
 #: What is left is compared if it is no more than so many pairs for a row of the index, or a turn has not halved it.
@@ -299,6 +301,9 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, keep: Sequence[str] = ()
     sketches = store.put(
         groups.select("id", "n", "g", "sketch", "fold").join(_sent(store.put(buckets.select("id").distinct(), "ids")), "id", "left_semi"), "sketches"
     )
+    # the signatures, by far the most of it, are not read any more
+    own = store.put(signed.select("doc_id", *keep, "n", "h1", "h2"), "own")
+    store.drop("signed")
     labels, rows, before = None, buckets.count(), None
     for turn in range(len(CHOSEN) + 1):
         here, left = buckets, None
@@ -323,13 +328,13 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, keep: Sequence[str] = ()
     least = far.groupBy("component_id").agg(F.min("least").alias("first"), F.sum("rows").alias("all")).where("all > 1")
     known = store.put(far.join(least, "component_id").select("h1", "h2", "n", "first", F.col("component_id").alias("group")), "known")
     out = store.put(
-        signed.select("doc_id", *keep, "n", "h1", "h2").join(_sent(known), ["h1", "h2", "n"], "left").select(
+        own.join(_sent(known), ["h1", "h2", "n"], "left").select(
             "doc_id", *keep, F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"),
             *([F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")] if group else []),
         ), "result",
     )
-    store.drop("signed", "classes", "ids", "sketches", "buckets", "known", *(f"{x}{t}" for x in ("split", "links", "labels") for t in range(len(CHOSEN) + 1)))
+    store.drop("own", "classes", "ids", "sketches", "buckets", "known", *(f"{x}{t}" for x in ("split", "links", "labels") for t in range(len(CHOSEN) + 1)))
     return out
 
 
@@ -341,8 +346,12 @@ def _buckets(store: Store, groups: DataFrame, ks: list[int]) -> DataFrame:
     rows = groups.select("id", "n", "g", F.lit(True).alias("is_whole"), F.explode("whole").alias("sig")).union(
         groups.where(F.size("near") > 0).select("id", "n", "g", F.lit(False).alias("is_whole"), F.explode("near").alias("sig"))
     )
-    counts = store.put(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-    found = rows.join(counts, "sig")
+    found = []
+    for part in range(PARTS):
+        here = rows.where(F.pmod("sig", F.lit(PARTS)) == part)
+        counts = store.put(here.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+        found.append(store.put(here.join(counts, "sig"), f"found{part}"))
+    found = reduce(DataFrame.union, found)
     k = F.element_at(F.array(*map(F.lit, ks or [0])), F.col("g") + 1)
     hot = F.col("is_whole") & (F.col("c") > 8)
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("id", "g").orderBy(F.desc(hot), F.desc("c"), "sig")))
@@ -351,7 +360,7 @@ def _buckets(store: Store, groups: DataFrame, ks: list[int]) -> DataFrame:
     each = spots.groupBy("sig", "g").agg(F.count(F.lit(1)).alias("c"), *members).where("c > 1")
     once = store.put(each.groupBy("g", "c", "f1", "f2").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("w")).select("sig", "w"), "once")
     out = store.put(spots.join(_sent(once), "sig"), "buckets")
-    store.drop("counts", "spots", "once")
+    store.drop("counts", "spots", "once", *(f"found{part}" for part in range(PARTS)))
     return out
 
 

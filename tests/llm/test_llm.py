@@ -1,8 +1,10 @@
 """The training-data operators on small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import dataclasses
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -235,6 +237,44 @@ def test_signed_sets_are_read_a_few_at_a_time(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in rows} == {(i, i - i % 2) for i in range(220)}
 
 
+def test_store_deletes_what_it_shuffled(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = disk.getAllFiles().mkString(" ").split()
+        return {n for n in (x.rsplit("/", 1)[-1] for x in names) if n.startswith("shuffle_")}
+
+    before, store = shuffled(), Store(spark, "test")
+    out = store.put(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert out.count() == 5000 and out.agg(F.sum("s")).first()[0] == 19_999 * 10_000
+    # other queries are left as they are
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_jaccard_counts_signatures_in_parts_and_drops_them(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTS", 3, raising=False)
+    parts, signed, put = [], [], Store.put
+
+    def watched(self, df, name, *more):
+        out = put(self, df, name, *more)
+        if name.startswith("found"):
+            parts.append({r[0] for r in out.select(F.pmod("sig", F.lit(3))).distinct().collect()})
+        if name.startswith("pairs"):
+            signed.append(os.path.exists(self.path("signed")))
+        return out
+
+    monkeypatch.setattr(Store, "put", watched)
+    rows = jaccard.similar(docs(spark, [(i, prose(i // 2, 30) + " more" * (i % 2)) for i in range(60)]), 4, 80).collect()
+    assert parts == [{0}, {1}, {2}]
+    assert signed and not any(signed)
+    assert {(r.doc_id, r.component_id) for r in rows} == {(i, i - i % 2) for i in range(60)}
+
+
 @pytest.mark.parametrize(("n", "num", "left", "sent"), [(4, 85, jaccard.LEFT, jaccard.SENT_ROWS), (5, 80, 0, 0)])
 def test_jaccard_against_brute_force(spark, odd, n, num, left, sent, monkeypatch):
     texts = list(odd)
